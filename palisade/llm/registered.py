@@ -7,22 +7,90 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import simhash
+from palisade.llm import archive, chat, decontaminate, licenses, mixing, quality, secrets, simhash, suffixes, tokens
 from palisade.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.replicated(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "mix_copy", "mix_key", F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archive.verified(archive.read_records(archive.rebuild_records(*archive.archive_pages(table(spark, sf_dir, "pages")))))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotations(table(spark, sf_dir, "conversations"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": pipeline,
+        "op1_secrets": op1_secrets,
         "op2_simhash": op2_simhash,
+        "op3_tokens": op3_tokens,
+        "op4_mixing": op4_mixing,
+        "op5_warc": op5_warc,
+        "op6_suffixes": op6_suffixes,
+        "op7_quotations": op7_quotations,
+        "op8_quality": op8_quality,
+        "op9_decontamination": op9_decontamination,
+        "op10_licenses": op10_licenses,
     }
 
 
+#: The base columns of the scans are plain SQL, but what the methods add is not; these queries are
+#: held against brute force in the tests.
+OP5_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+owners AS (SELECT html, max(page_id) AS owner FROM p WHERE n >= {archive.LEAST_REVISIT} GROUP BY html)
+SELECT p.page_id, p.n AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN owner IS NULL OR owner = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN owner <> p.page_id THEN owner END AS refers_to
+FROM p LEFT JOIN owners o ON p.html = o.html"""
+
+OP4_SQL = f"SELECT m.*, strlen(d.text)::BIGINT AS n_bytes FROM ({mixing.oracle()}) m JOIN documents d USING (doc_id)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL}
