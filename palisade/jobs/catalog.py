@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from palisade.jobs import detection, ingest, live, reporting
 from palisade.registry import ORACLES, QUERIES, Query
 
+MODULES = (ingest, detection, reporting, live)
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
