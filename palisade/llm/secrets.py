@@ -78,22 +78,25 @@ def is_private_der(data: bytes) -> bool:
 
 
 def is_openssh_key(data: bytes) -> bool:
-    """The container's magic, three strings, a count, then as many length-prefixed keys and a private part."""
+    """The container's magic, three strings, a count, that many public keys and a private part, nothing after."""
     if not data.startswith(OPENSSH):
         return False
-    at, parts = len(OPENSSH), 0
-    while parts < 5 and at + 4 <= len(data):
-        size = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        if parts == 3 and not (parts := 4):
-            return False
-        if parts == 4 and size == 1 and at + 4 <= len(data):
-            size = int.from_bytes(data[at : at + 4], "big")
-            at += 4
-        at, parts = at + size, parts + 1
-        if at > len(data):
-            return False
-    return parts == 5
+    at = len(OPENSSH)
+
+    def skip(n: int) -> bool:
+        """Pass n length-prefixed strings."""
+        nonlocal at
+        for _ in range(n):
+            if at + 4 > len(data):
+                return False
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at <= len(data)
+
+    if not skip(3) or at + 4 > len(data):
+        return False
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    return 1 <= keys <= 16 and skip(keys + 1) and at == len(data)
 
 
 def is_private_key(data: bytes) -> bool:

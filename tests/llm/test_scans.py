@@ -1,0 +1,164 @@
+import base64
+import json
+import random
+
+import pytest
+from tests.llm import brute
+
+from palisade.llm import licenses, quality, secrets
+from palisade.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else (b := len(body).to_bytes(4, "big").lstrip(b"\0")) and bytes([0x80 | len(b)]) + b
+    return bytes([tag]) + size + body
+
+
+def rsa_key():
+    rng = random.Random(3)
+    return der(0x30, der(2, b"\0"), *(der(2, b"\x01" + rng.randbytes(n)) for n in (127, 2, 127, 63, 63, 63, 63, 63)))
+
+
+def token():
+    part = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=").decode()
+    return ".".join((part(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()), part(b'{"sub":1}'), part(b"x" * 32)))
+
+
+AWKWARD = [None, "", "   ", "é" * 50, "\U0001f600 password = abcdefghijkl12", "token: secret=abcdefghijklmno", "PASSWORD:'ABCDEFGHIJKL' aſ api_key=0123456789ab", "AKIA1234567890123X AKIAB", "deadbeefdeadbeef" * 9, "paſſword=abcdefghijklm", "x" * 200_000 + " secret=abcdefghijklmnop"]
+
+
+def test_base_spans_equal_brute_force(spark):
+    texts = [r.text for r in table(spark, SF, "documents").collect()] + AWKWARD
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.find_secrets(df).collect()}
+    assert got == {i: brute.secrets(t) for i, t in enumerate(texts)}
+
+
+def test_structure_is_confirmed():
+    key = rsa_key()
+    good = base64.b64encode(key).decode()
+    kinds = lambda t: [secrets.KINDS[k] for _, k, _ in secrets.spans_of(t)]
+    assert "key64" in kinds(f"see {good} there")
+    assert "key64" not in kinds("see " + base64.b64encode(key[:-1]).decode())
+    assert "keyhex" in kinds(key.hex())
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{good}\n-----END RSA PRIVATE KEY-----") == ["pem"]
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\nnothing here\n-----END RSA PRIVATE KEY-----") == []
+    assert kinds(f"Bearer {token()}") == ["token"]
+    assert kinds("Bearer eyJub3RqdXN0.eyJub3RqdXN0.abc") == []
+    blob = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = secrets.OPENSSH + blob(b"none") + blob(b"none") + blob(b"") + (1).to_bytes(4, "big") + blob(b"k" * 40) + blob(b"p" * 90)
+    assert secrets.is_openssh_key(ssh) and not secrets.is_openssh_key(ssh[:-1])
+    assert secrets.is_private_der(der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48")), der(4, der(4, b"abc"))))
+    assert not secrets.is_private_der(der(0x30, der(0x30, der(6, b"\x2a\x86\x48")), der(3, b"\0abc")))
+
+
+def test_redaction_and_edges(spark):
+    t = "a password=abcdefghijkl b"
+    df = spark.createDataFrame([(1, t, "s", 25), (1, t, "s", 25), (None, None, None, None)], "doc_id long, text string, spans string, n_chars long")
+    rows = secrets.redact_secrets(df).collect()
+    assert rows[0].text == "a [REDACTED] b" == rows[1].text and rows[0].n_chars == 14 and rows[2].text is None
+    assert secrets.redact_secrets(df).columns == df.columns
+    assert secrets.find_secrets(df.limit(0)).collect() == []
+    assert secrets.redact("abcdef", [(1, 0, 3), (2, 1, 4)]) == "a[REDACTED]ef"
+
+
+QUALITY_TEXTS = [None, "", "a b c d e a b c d e", "x " * 40, "l one\nl one\n \n\nl one", "# & < é ü", "a\x0bb\x0cc d e", "one two three four five six seven eight nine ten " * 3, "w" * 100_000]
+
+
+def test_quality_base_equals_brute_force(spark):
+    texts = [r.text for r in table(spark, SF, "documents").collect()] + QUALITY_TEXTS
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = quality.judge(df, table(spark, SF, "labels"), ["doc_id"]).collect()
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows} == {i: brute.quality(t) for i, t in enumerate(texts)}
+    assert all(not r.kept for r in rows if r.base_failed)
+
+
+def test_trees_separate_held_out_documents_and_keep_the_good(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    forest = quality.train(docs.where("doc_id % 2 = 0"), labels)
+    held = quality.document_statistics(docs.where("doc_id % 2 = 1").join(labels, "doc_id"), ["doc_id", "quality"]).toPandas()
+    stats = held[list(quality.STATS)].to_numpy()
+    passed = ~quality.base_failed(stats)
+    kept, good = forest.keeps(quality.features(stats))[passed], held["quality"].to_numpy()[passed] == 1
+    assert kept[good].mean() >= 0.99
+    assert good.sum() > 50 and kept[~good].mean() <= 0.5
+
+
+def test_trees_are_monotonic():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.random((2000, 2))
+    y = ((x[:, 0] < 0.5) ^ (rng.random(2000) < 0.2) ^ (x[:, 1] > 0.8)).astype(float)
+    forest = quality.fit(x, y, [-1, 0], trees=20)
+    steps = np.column_stack([np.linspace(0, 1, 200), np.full(200, 0.3)])
+    for other in (0.1, 0.5, 0.9):
+        steps[:, 1] = other
+        assert (np.diff(forest.margin(steps)) <= 1e-12).all()
+
+
+def test_quality_edges(spark):
+    docs = spark.createDataFrame([(1, "a " * 5, "x"), (1, None, "x"), (None, "some words that are all different here and quite enough of them", "y")], "doc_id long, text string, kept string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert [r.text for r in quality.reject_low_quality(docs, none).collect()] == [docs.collect()[2].text]
+    assert quality.reject_low_quality(docs, none).columns == docs.columns
+    odd = spark.createDataFrame([(None, 1), (1, None), (1, 0)], "doc_id long, quality int")
+    assert quality.judge(docs, odd, ["doc_id"]).count() == 3
+    assert quality.judge(docs.limit(0), odd, ["doc_id"]).collect() == []
+
+
+LICENSE_TEXTS = [
+    None,
+    "",
+    "MIT License MIT LICENSE mit license",
+    "licensed under the GNU General Public License, version 3.",
+    "CC BY-NC 4.0 and cc by",
+    "SPDX-License-Identifier: Apache-2.0",
+    "smit license or mit licenses",
+    "ÀMIT license cc by apache license",
+    "\x00 Apache License, Version 2.0",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "mit license " * 400,
+]
+
+
+def test_license_base_equals_brute_force(spark):
+    texts = [r.text for r in table(spark, SF, "documents").collect()] + LICENSE_TEXTS
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan_licenses(df).collect()}
+    assert got == {i: brute.licenses(t) for i, t in enumerate(texts)}
+
+
+def test_license_rules(spark):
+    df = spark.createDataFrame(list(enumerate(LICENSE_TEXTS)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert len(licenses.rules()) >= 300
+    assert rows[3].labels == "gpl,gpl-3.0" and {d.label for d in rows[3].detections} == {"gpl-3.0"}
+    assert "cc-by-nc-4.0" in rows[4].labels.split(",") and "cc-by-nc" not in rows[4].labels.split(",")
+    assert rows[5].labels == "apache-2.0" and rows[5].score == 1.0
+    assert rows[6].labels == "" and rows[6].score == 0.0
+    assert rows[9].labels == "mit"
+    assert 0 <= min(r.score for r in rows.values()) and max(r.score for r in rows.values()) <= 1
+
+
+def plain_detections(text):
+    import re
+
+    norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.low(text))) + " "
+    found = [(m.start(), m.end(), r.priority, r.label) for r in licenses.rules() if r.keyword in norm for m in re.finditer(r.pattern, norm)]
+    return sorted(d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or (e[2] == d[2] and e[1] - e[0] > d[1] - d[0])) for e in found))
+
+
+def test_license_suppression_equals_brute_force(spark):
+    texts = LICENSE_TEXTS[2:] + ["released under the terms of the Mozilla Public License 2.0, see http://www.apache.org/licenses/LICENSE-2.0", "Creative Commons Attribution-ShareAlike 3.0 https://creativecommons.org/licenses/by-sa/3.0/"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan_licenses(df).collect():
+        assert sorted((d.a, d.b, d.priority, d.label) for d in r.detections) == plain_detections(texts[r.doc_id])
+
+
+@pytest.mark.parametrize("operator", [secrets.find_secrets, licenses.scan_licenses])
+def test_empty_tables(spark, operator):
+    assert operator(spark.createDataFrame([], "doc_id long, text string, labels string")).collect() == []
