@@ -276,3 +276,19 @@ def keyword_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def allowlisted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     nets = ("198.18.0.0/26", "198.18.1.7", "2001:db8::/32")
     return log_events(spark, sf_dir).where(P.not_allowlisted(F.col("src_ip"), nets)).select("id", "src_ip")
+
+
+@query("stored_alerts", f"{ALL_SQL} SELECT rule_id, count(DISTINCT alert_key) AS alerts, count(*) AS evidence FROM every GROUP BY rule_id")
+def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts and evidence stored twice, which replaces them, and read back."""
+    import uuid
+
+    from palisade.sources.lines import write_alerts
+    from palisade.sources.scratch import scratch_dir
+
+    path = f"{scratch_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    _, alerts, evidence = _evaluated(spark, sf_dir)
+    for _ in range(2):
+        write_alerts(alerts, evidence, path)
+    n = spark.read.parquet(f"{path}/evidence").groupBy("rule_id").agg(F.count("*").alias("evidence"))
+    return spark.read.parquet(f"{path}/alerts").groupBy("rule_id").agg(F.count("*").alias("alerts")).join(n, "rule_id")

@@ -142,3 +142,9 @@ def appended_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     L.append_events(events.where("id % 2 = 0"), path)
     L.append_events(events, path)
     return spark.read.parquet(path).agg(F.count("*").alias("events"), F.countDistinct("source_file", "line_no").alias("lines"), F.countDistinct("event_date").alias("days"))
+
+
+@query("cleaned_lines", "SELECT page_id, (replace(rtrim(html, chr(13) || chr(10)), chr(0), ''))[1:8192] AS line FROM pages")
+def cleaned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", L.clean_line(F.concat("html", F.lit("\r\n"))).alias("line"))

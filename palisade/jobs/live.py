@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.jobs.detection import ALERTS, ALL_SQL, RARE, RARE_SQL, RULES, SCAN, SCAN_SQL, THRESHOLD, THRESHOLD_SQL, shown
+from palisade.jobs.detection import ALERTS, ALL_SQL, GUESSED, GUESSED_SQL, RARE, RARE_SQL, RULES, SCAN, SCAN_SQL, THRESHOLD, THRESHOLD_SQL, shown
 from palisade.jobs.reporting import E, _timeline_sql
 from palisade.operators.rules import Rule
 from palisade.registry import query
@@ -69,6 +69,9 @@ query("stream_threshold", f"WITH {LOG_EVENTS_SQL}, {THRESHOLD_SQL} SELECT group_
 query("stream_port_scan", f"WITH {LOG_EVENTS_SQL}, {SCAN_SQL} SELECT group_key, event_id, alert_key FROM scan")(_stream_detect(SCAN))
 
 
+query("stream_sequence", f"WITH RECURSIVE {LOG_EVENTS_SQL}, {GUESSED_SQL} SELECT group_key, event_id, alert_key FROM guessed")(_stream_detect(GUESSED))
+
+
 @query("stream_alerts", f"{ALL_SQL} {ALERTS.format(n='every')}")
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "alert-tables")
