@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm import archive, chat, decontaminate, licenses, mixing, quality, secrets, simhash, suffixes, tokens
 from palisade.llm.common import table
+from palisade.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,18 +80,6 @@ def queries() -> dict[str, Query]:
     }
 
 
-#: The base columns of the scans are plain SQL, but what the methods add is not; these queries are
-#: held against brute force in the tests.
-OP5_SQL = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
-owners AS (SELECT html, max(page_id) AS owner FROM p WHERE n >= {archive.LEAST_REVISIT} GROUP BY html)
-SELECT p.page_id, p.n AS payload_bytes, sha1(p.html) AS payload_digest,
-  CASE WHEN owner IS NULL OR owner = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN owner <> p.page_id THEN owner END AS refers_to
-FROM p LEFT JOIN owners o ON p.html = o.html"""
-
-OP4_SQL = f"SELECT m.*, strlen(d.text)::BIGINT AS n_bytes FROM ({mixing.oracle()}) m JOIN documents d USING (doc_id)"
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL}
+    """SQL where it can say the result; the other queries are held against brute force in the tests."""
+    return dict(ORACLES)
