@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-1. Word shingles of documents are matched to those of the items. A window similar to
-   an item shares shingles with it, so only windows with a shared shingle are made:
-   this loses nothing.
+1. Word shingles of documents are matched to those of the items. In a window similar
+   enough to an item at most (1 - s) / (1 + s) of the shingles are strangers to it, so
+   some shingle at a multiple of STRIDE is shared, and only windows over such a match
+   are made: this loses nothing. (The stride is 1 where windows are too short for that.)
 2. Each such window of an item's number of words gets a SimHash of its shingles.
 3. Multi-index blocks: fingerprints within RADIUS bits agree on at least one of
    RADIUS + 1 blocks, so joining on (window size, block, value) finds every pair
@@ -23,6 +24,7 @@ from pyspark.sql import Window
 from palisade.llm.common import written
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
+STRIDE = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Item shingles up to which they are broadcast; more go through a shuffled join.
 MOST_BROADCAST = 400_000
@@ -38,11 +40,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, r"[\x20\x09-\x0D]+", -1), "")
 
 
-def shingles(words: Column, size: int | Column) -> Column:
-    """Hash of the shingle at each word; of the whole sequence where it is shorter."""
-    size = F.lit(size) if isinstance(size, int) else size
+def shingles(words: Column, size: int | Column, step: int | Column = 1) -> Column:
+    """Hash of the shingle at each ``step``-th word; of the whole sequence where it is shorter."""
+    size, step = (F.lit(x) if isinstance(x, int) else x for x in (size, step))
     last = F.greatest(F.size(words) - size, F.lit(0))
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, size), " ")))).otherwise(F.expr("CAST(array() AS array<bigint>)"))
+    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last, step), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, size), " ")))).otherwise(F.expr("CAST(array() AS array<bigint>)"))
 
 
 def fingerprint_lanes(shingle: Column) -> list[Column]:
@@ -77,6 +79,13 @@ def prepared_items(benchmark: DataFrame, size: int) -> DataFrame:
     return items.select("item_id", n.alias("n"), F.least(n, F.lit(size)).alias("size"), shingles(F.col("words"), size).alias("shs"))
 
 
+def stride_for(least: int, similarity: float) -> int:
+    """The largest step up to STRIDE that meets a shared shingle in each window of ``least`` shingles and more."""
+    strangers = (1 - similarity) / (1 + similarity)
+    good = (k for k in range(STRIDE, 1, -1) if all(w // k > strangers * w + 1e-9 for w in range(least, least + 20 * STRIDE)))
+    return next(good, 1)
+
+
 def window_bounds(hits: DataFrame) -> DataFrame:
     """Rows (k1, k2, n, size, pos, doc_words) to the starts of all n-word windows over them, as disjoint ranges (lo, hi)."""
     last = F.greatest(F.col("doc_words") - F.col("n"), F.lit(0))
@@ -95,20 +104,25 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, size: int = SHIN
     items = written(prepared_items(benchmark, size), "bench-items")
     marks = items.select("n", "size", F.explode("shs").alias("sh")).distinct()
     few = marks.count() <= MOST_BROADCAST
-    # Shingle sizes in use: at most ``size`` numbers.
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())
+    # Shingle sizes in use (at most ``size`` numbers), with the fewest shingles that an item has.
+    sizes = sorted(tuple(r) for r in items.groupBy("size").agg(F.min(F.size("shs"))).collect())
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64("text").alias("k2"), "text")
     worded = rows.select("k1", "k2", words_of(F.col("text")).alias("words"))
-    nothing = worded.select("k1", "k2", F.lit(0).alias("size"), F.lit(0).alias("doc_words"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("sh")).where("false")
+    nothing = worded.select("k1", "k2", F.lit(0).alias("size"), F.lit(0).alias("doc_words"), F.lit(0).alias("step"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("sh")).where("false")
     placed = nothing
-    for s in sizes:
-        placed = placed.unionByName(worded.select("k1", "k2", F.lit(s).alias("size"), F.size("words").alias("doc_words"), F.posexplode(shingles(F.col("words"), s)).alias("pos", "sh")))
+    for s, least in sizes:
+        # A document with few shingles is one short window.
+        step = F.when(F.size("words") - s + 1 < STRIDE, 1).otherwise(stride_for(min(least, STRIDE), similarity))
+        placed = placed.unionByName(worded.select("k1", "k2", F.lit(s).alias("size"), F.size("words").alias("doc_words"), step.alias("step"), F.posexplode(shingles(F.col("words"), s, step)).alias("at", "sh")))
+    placed = placed.withColumn("pos", F.col("at") * F.col("step"))
     wanted = F.broadcast(marks) if few else marks
     hits = placed.join(wanted, ["size", "sh"]).select("k1", "k2", "n", "size", "pos", "doc_words")
     bounds = written(window_bounds(hits), "bench-bounds")
     chosen = bounds.groupBy("k1", "k2").agg(F.collect_list(F.struct("n", "size", "lo", "hi")).alias("ranges"))
-    near = rows.join(chosen, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", words_of(F.col("text")).alias("words"), F.explode("ranges").alias("r"))
-    near = near.select("k1", "k2", "r.n", "r.lo", shingles(F.slice("words", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo") + F.col("r.n")), F.col("r.size")).alias("shs"), (F.col("r.hi") - F.col("r.lo")).alias("more"), F.col("r.size").alias("size"))
+    # Texts are moved once here, at every size alike; what is left is small and written.
+    near = rows.join(chosen.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", words_of(F.col("text")).alias("words"), F.explode("ranges").alias("r"))
+    cut = F.slice("words", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo") + F.col("r.n"))
+    near = written(near.select("k1", "k2", "r.n", "r.lo", shingles(cut, F.col("r.size")).alias("shs"), (F.col("r.hi") - F.col("r.lo")).alias("more"), F.col("r.size").alias("size")), "bench-near")
     windows = near.select("k1", "k2", "n", "lo", F.explode(F.sequence(F.lit(0), "more")).alias("k"), "shs", "size")
     windows = windows.select("k1", "k2", "n", (F.col("lo") + F.col("k")).alias("first_word"), F.slice("shs", F.col("k") + 1, F.col("n") - F.col("size") + 1).alias("shs"))
     key = ["k1", "k2", "n", "first_word"]
@@ -147,4 +161,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a window alike to a benchmark item; repeated rows stay repeated."""
     found = contaminated_windows(docs, benchmark).select("k1", "k2").distinct()
     keyed = docs.withColumn("__k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__k2", F.xxhash64("text"))
-    return keyed.join(found, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_anti").select(*docs.columns)
+    return keyed.join(found.hint("merge"), (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_anti").select(*docs.columns)
