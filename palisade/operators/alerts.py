@@ -25,7 +25,7 @@ def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 def summarize_alerts(evidence: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per alert: span in time, count, summary, in order of the first event."""
     facts = evidence.groupBy("rule_id", "group_key", "alert_key").agg(
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("count"), F.countDistinct("port").alias("ports")
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("count"), F.size(F.collect_set("port")).cast("long").alias("ports")
     )
     seconds = ((F.unix_micros("last_seen") - F.unix_micros("first_seen")) / 1_000_000).cast("long")
     summary, name, severity, group_by = F.lit(""), F.lit(""), F.lit(""), F.lit("")

@@ -1,8 +1,9 @@
 """Detectors: events and a rule to evidence rows (rule_id, group_key, alert_key, event_id, ts, port, spans).
 
-Events of a group are cut into islands at gaps beyond a limit. Gaps are found within
-(group, day) and between the days of a group, so a very frequent group is spread over
-many tasks; all later windows run inside islands.
+Events of a group are cut into islands at gaps beyond a limit; all later windows run
+inside islands. Up to MOST_IN_TASK events in all, no group can be too large for a
+task, and rows are dealt by group once. Beyond that gaps are found within (group, day)
+and between the days of a group, so a very frequent group is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -19,29 +20,42 @@ from palisade.operators.rules import Keyword, PortScan, RarePort, Rule, Sequence
 
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
+#: Events in all up to which each group may be sorted in one task.
+MOST_IN_TASK = 5_000_000
 EVIDENCE = f"rule_id string, group_key string, alert_key string, event_id long, ts timestamp, port int, spans {SPANS}"
 
 
-def islands(events: DataFrame, limit: int, inclusive: bool = False, bucket: int = DAY) -> DataFrame:
-    """Rows (key, t, id, ...) with the number of their island: a new one where the gap is above limit (or equal, if inclusive)."""
+def is_spread(events: DataFrame) -> bool:
+    """Whether there are so many events that groups must be spread over tasks."""
+    return events.select("id").limit(MOST_IN_TASK + 1).count() > MOST_IN_TASK
+
+
+def islands(events: DataFrame, limit: int, inclusive: bool = False, spread: bool = True, bucket: int = DAY) -> DataFrame:
+    """Rows (key, t, id, ...) with the number of their island: a new one where the gap is above limit (or equal, if inclusive).
+
+    Spread rows are dealt by (key, bucket); only a row for each bucket meets by key.
+    """
+    beyond = (lambda gap: gap >= limit) if inclusive else (lambda gap: gap > limit)
+    if not spread:
+        by_key = Window.partitionBy("key").orderBy("t", "id")
+        cut = F.when(beyond(F.col("t") - F.lag("t").over(by_key)), 1).otherwise(0)
+        return events.withColumn("cut", cut).withColumn("island", F.sum("cut").over(by_key).cast("long")).drop("cut")
+    inside = Window.partitionBy("key", "bucket").orderBy("t", "id")
     placed = events.withColumn("bucket", F.floor(F.col("t") / bucket))
-    days = placed.groupBy("key", "bucket").agg(F.max("t").alias("last_t"))
+    cut = F.when(beyond(F.col("t") - F.lag("t").over(inside)), 1).otherwise(0)
+    marked = placed.withColumn("cut", cut).withColumn("local", F.sum("cut").over(inside))
+    buckets = marked.groupBy("key", "bucket").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.sum("cut").alias("cuts"))
     by_key = Window.partitionBy("key").orderBy("bucket")
-    days = days.select("key", "bucket", F.lag("last_t").over(by_key).alias("before"))
-    inside = Window.partitionBy("key", "bucket").orderBy("t", "id")
-    joined = placed.join(days, ["key", "bucket"])
-    gap = F.col("t") - F.coalesce(F.lag("t").over(inside), F.col("before"))
-    cut = gap >= limit if inclusive else gap > limit
-    marked = joined.withColumn("cut", F.when(cut, 1).otherwise(0)).withColumn("local", F.sum("cut").over(inside))
-    sums = marked.groupBy("key", "bucket").agg(F.sum("cut").alias("cuts"))
-    base = sums.select("key", "bucket", (F.sum("cuts").over(by_key) - F.col("cuts")).alias("base"))
-    out = marked.join(base, ["key", "bucket"])
-    return out.withColumn("island", (F.col("base") + F.col("local")).cast("long")).drop("bucket", "before", "cut", "local", "base")
+    at_start = F.when(beyond(F.col("first_t") - F.lag("last_t").over(by_key)), 1).otherwise(0)
+    buckets = buckets.withColumn("at_start", at_start)
+    base = F.sum(F.col("cuts") + F.col("at_start")).over(by_key) - F.col("cuts")
+    buckets = buckets.select("key", "bucket", base.alias("base"))
+    return marked.join(buckets, ["key", "bucket"]).withColumn("island", (F.col("base") + F.col("local")).cast("long")).drop("bucket", "cut", "local", "base")
 
 
-def bursts(events: DataFrame, rule: Rule) -> DataFrame:
+def bursts(events: DataFrame, rule: Rule, spread: bool = True) -> DataFrame:
     """Counted events with the burst they belong to: a gap equal to the cooldown still joins."""
-    return islands(counted_events(events, rule), rule.cooldown_seconds * SECOND)
+    return islands(counted_events(events, rule), rule.cooldown_seconds * SECOND, spread=spread)
 
 
 def in_island() -> Window:
@@ -82,9 +96,9 @@ def keyword_spans(rule: Keyword) -> Column:
     return pattern_spans(F.col("message"), prefix, rule_line(F.col("service"), F.col("message")), patterns)
 
 
-def detect_keyword(events: DataFrame, rule: Keyword) -> DataFrame:
+def detect_keyword(events: DataFrame, rule: Keyword, spread: bool = True) -> DataFrame:
     """Every line that has what the rule asks for alerts; lines close in time share an alert."""
-    return as_evidence(bursts(events.where(keyword_condition(rule)), rule), rule, keyword_spans(rule))
+    return as_evidence(bursts(events.where(keyword_condition(rule)), rule, spread), rule, keyword_spans(rule))
 
 
 def scan_keywords(events: DataFrame, rules: list[Keyword]) -> DataFrame:
@@ -104,46 +118,52 @@ def scan_keywords(events: DataFrame, rules: list[Keyword]) -> DataFrame:
     return events.where(gate).select(F.col("id").alias("event_id"), F.explode(hits).alias("rule_id"))
 
 
-def detect_rare_port(events: DataFrame, rule: RarePort) -> DataFrame:
-    return as_evidence(bursts(events, rule), rule, port_span(F.col("message"), F.col("dst_port")))
+def detect_rare_port(events: DataFrame, rule: RarePort, spread: bool = True) -> DataFrame:
+    return as_evidence(bursts(events, rule, spread), rule, port_span(F.col("message"), F.col("dst_port")))
 
 
-def detect_threshold(events: DataFrame, rule: Threshold) -> DataFrame:
+def detect_threshold(events: DataFrame, rule: Threshold, spread: bool = True) -> DataFrame:
     """At least N counted events closer than the window. Without Python where the cooldown covers the window."""
     spans = span_of(F.col("message"), F.col("key"))
     if rule.cooldown_seconds < rule.window_seconds:
-        return by_segment(events, rule, spans)
-    rows = bursts(events, rule).withColumn("rn", F.row_number().over(in_island()))
+        return by_segment(events, rule, spans, spread)
+    rows = bursts(events, rule, spread).withColumn("rn", F.row_number().over(in_island()))
     hit = F.col("t") - F.lag("t", rule.threshold - 1).over(in_island()) < rule.window_seconds * SECOND
     rows = rows.withColumn("hit", F.when(hit, F.col("rn"))).withColumn("trigger", F.min("hit").over(whole_island()))
     return as_evidence(rows.where(F.col("rn") >= F.col("trigger") - (rule.threshold - 1)), rule, spans)
 
 
-def detect_port_scan(events: DataFrame, rule: PortScan) -> DataFrame:
+def detect_port_scan(events: DataFrame, rule: PortScan, spread: bool = True) -> DataFrame:
     """At least K different ports of a group within the window.
 
     A port is active from a packet until the window after its last packet; the number
     of active ports at each packet is a running sum of starts and ends.
     """
-    spans = merge_spans(F.concat(span_of(F.col("message"), F.col("key")), port_span(F.col("message"), F.col("dst_port"))))
+    both = lambda port: merge_spans(F.concat(span_of(F.col("message"), F.col("key")), port_span(F.col("message"), F.col(port))))
+    spans = both("dst_port")
     if rule.cooldown_seconds < rule.window_seconds:
-        return by_segment(events, rule, spans)
+        spans = both("port")
+        return by_segment(events, rule, spans, spread)
     window = rule.window_seconds * SECOND
-    rows = bursts(events, rule)
+    rows = bursts(events, rule, spread)
     by_port = Window.partitionBy("key", "island", "dst_port").orderBy("t", "id")
-    edges = rows.select("key", "island", "id", "t", F.lag("t").over(by_port).alias("back"), F.lead("t").over(by_port).alias("ahead"))
+    back, ahead = F.lag("t").over(by_port), F.lead("t").over(by_port)
+    rows = rows.withColumn("back", back).withColumn("ahead", ahead)
     starts = F.when(F.col("back").isNull() | (F.col("t") - F.col("back") >= window), 1).otherwise(0)
-    ends = F.when(F.col("ahead").isNull() | (F.col("ahead") - F.col("t") >= window), F.struct((F.col("t") + window).alias("at"), F.lit(0).alias("kind"), "id", F.lit(-1).alias("step")))
-    changes = edges.select("key", "island", F.explode(F.array_compact(F.array(F.struct(F.col("t").alias("at"), F.lit(1).alias("kind"), "id", starts.alias("step")), ends))).alias("c")).select("key", "island", "c.*")
-    order = Window.partitionBy("key", "island").orderBy("at", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
-    active = changes.withColumn("n", F.sum("step").over(order)).where((F.col("kind") == 1) & (F.col("n") >= rule.min_ports))
-    triggers = active.groupBy("key", "island").agg(F.min("at").alias("trigger_t"))
-    return as_evidence(rows.join(triggers, ["key", "island"]).where(F.col("t") > F.col("trigger_t") - window), rule, spans)
-
-
-def detect_sequence(events: DataFrame, rule: Sequence) -> DataFrame:
+    is_last = F.col("ahead").isNull() | (F.col("ahead") - F.col("t") >= window)
+    start = F.struct(F.col("t").alias("at"), F.lit(1).alias("kind"), starts.alias("step"))
+    end = F.struct((F.col("t") + window).alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("step"))
+    changes = rows.withColumn("c", F.explode(F.when(is_last, F.array(start, end)).otherwise(F.array(start)))).drop("back", "ahead")
+    order = Window.partitionBy("key", "island").orderBy("c.at", "c.kind", "id").rowsBetween(Window.unboundedPreceding, 0)
+    active = changes.withColumn("n", F.sum("c.step").over(order))
+    full = F.when((F.col("c.kind") == 1) & (F.col("n") >= rule.min_ports), F.col("t"))
+    active = active.withColumn("trigger_t", F.min(full).over(whole_island()))
+    return as_evidence(active.where((F.col("c.kind") == 1) & (F.col("t") > F.col("trigger_t") - window)).drop("c", "n", "trigger_t"), rule, spans)
+
+
+def detect_sequence(events: DataFrame, rule: Sequence, spread: bool = True) -> DataFrame:
     """The rule's steps in order, counted back from an event of the last step."""
-    return by_segment(events, rule, span_of(F.col("message"), F.col("key")))
+    return by_segment(events, rule, span_of(F.col("message"), F.col("key")), spread)
 
 
 class Machine:
@@ -191,10 +211,10 @@ def completes(steps: list[int], counts: list[int]) -> bool:
     return all(sum(1 for _ in zip(range(n), (s for s in todo if s >> k & 1))) == n for k, n in enumerate(counts))
 
 
-def by_segment(events: DataFrame, rule: Rule, spans: Column) -> DataFrame:
+def by_segment(events: DataFrame, rule: Rule, spans: Column, spread: bool = True) -> DataFrame:
     """Any windowed rule: cut where nothing is carried over a gap, drop segments that cannot alert, walk the rest."""
     limit = max(rule.cooldown_seconds * SECOND + 1, rule.window * SECOND)
-    rows = islands(counted_events(events, rule), limit, inclusive=True)
+    rows = islands(counted_events(events, rule), limit, inclusive=True, spread=spread)
     if isinstance(rule, Sequence):
         served = [match_filter(s.match) for s in rule.steps]
         rows = rows.withColumn("steps", sum((F.when(c, 1 << k).otherwise(0) for k, c in enumerate(served)), F.lit(0)).cast("long"))
@@ -205,19 +225,21 @@ def by_segment(events: DataFrame, rule: Rule, spans: Column) -> DataFrame:
     else:
         least = rule.threshold if isinstance(rule, Threshold) else rule.min_ports
         rows = rows.withColumn("steps", F.lit(0).cast("long")).withColumn("n", F.count("*").over(whole_island())).where(F.col("n") >= least).drop("n")
-    slim = rows.select("key", "island", "id", "t", F.col("dst_port").cast("int").alias("port"), "steps")
+    slim = rows.select("key", "island", "id", "t", F.col("dst_port").cast("int").alias("port"), "steps", "message")
 
     def run(groups: pd.DataFrame) -> pd.DataFrame:
         g = groups.sort_values(["t", "id"], kind="stable")
+        ports = [None if pd.isna(p) else int(p) for p in g["port"]]
         machine = Machine(rule)
-        flat: list[tuple[int, int]] = []
-        for t, event_id, port, steps in zip(g["t"].tolist(), g["id"].tolist(), g["port"].tolist(), g["steps"].tolist(), strict=True):
-            flat += machine.push(t, event_id, port, steps)
-        return pd.DataFrame([(g["key"].iloc[0], *row) for row in flat], columns=["key", "id", "first_id"])
+        first: dict[int, int] = {}
+        for t, event_id, port, steps in zip(g["t"].tolist(), g["id"].tolist(), ports, g["steps"].tolist(), strict=True):
+            first |= machine.push(t, event_id, port, steps)
+        g = g[g["id"].isin(list(first))]
+        return g.assign(first_id=g["id"].map(first))[["key", "id", "t", "port", "message", "first_id"]]
 
-    chosen = slim.groupBy("key", "island").applyInPandas(run, "key string, id long, first_id long")
-    out = rows.join(chosen, ["key", "id"]).withColumn("alert_key", F.concat_ws(":", F.lit(rule.id), "key", F.col("first_id").cast("string")))
-    return out.select(F.lit(rule.id).alias("rule_id"), F.col("key").alias("group_key"), "alert_key", F.col("id").alias("event_id"), "ts", F.col("dst_port").cast("int").alias("port"), spans.alias("spans"))
+    chosen = slim.groupBy("key", "island").applyInPandas(run, "key string, id long, t long, port int, message string, first_id long")
+    alert = F.concat_ws(":", F.lit(rule.id), "key", F.col("first_id").cast("string"))
+    return chosen.select(F.lit(rule.id).alias("rule_id"), F.col("key").alias("group_key"), alert.alias("alert_key"), F.col("id").alias("event_id"), F.timestamp_micros("t").alias("ts"), "port", spans.alias("spans"))
 
 
 #: Detector by kind of rule.
@@ -227,17 +249,18 @@ DETECTORS = {Keyword: detect_keyword, Threshold: detect_threshold, Sequence: det
 RULE_COLUMNS = ("id", "ts", "host", "service", "level", "action", "user", "src_ip", "dst_port", "message")
 
 
-def detect(events: DataFrame, rule: Rule) -> DataFrame:
-    return DETECTORS[type(rule)](events, rule)
+def detect(events: DataFrame, rule: Rule, spread: bool | None = None) -> DataFrame:
+    return DETECTORS[type(rule)](events, rule, is_spread(events) if spread is None else spread)
 
 
 def evidence_of(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """Evidence of all enabled rules."""
     seen = events.select(*RULE_COLUMNS)
+    spread = is_spread(seen)
     out = None
     for rule in rules:
         if rule.enabled:
-            found = detect(seen, rule)
+            found = detect(seen, rule, spread)
             out = found if out is None else out.unionByName(found)
     return out if out is not None else events.sparkSession.createDataFrame([], EVIDENCE)
 
