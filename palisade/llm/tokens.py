@@ -1,13 +1,13 @@
 """Token counts: pieces counted once per distinct pre-token, joined to per-document frequencies.
 
-1. Texts are cut into pre-tokens; a document becomes (pre-token, times) pairs,
-   written once to the shared folder.
-2. The distinct pre-tokens, with the number of documents that hold each, go through
-   the tokenizer's merges once each.
-3. The counts come back by join and are summed per document. The most frequent
-   pre-tokens, of bounded number and length, come back by broadcast, so frequent
-   words never meet in one task; all others by an ordinary join.
-
+1. Texts are cut into pre-tokens, and a document's pre-tokens into (pre-token, times).
+2. The most frequent pre-tokens of a sample of documents, of bounded number and length,
+   go through the tokenizer's merges once and are broadcast; their share of each
+   document is summed on the spot, so frequent words are never shuffled.
+3. All other pairs are dealt and sorted by pre-token. Where the pairs of one pre-token
+   meet, it is counted once and joined to its frequencies; products are summed by row.
+
+Results do not depend on the sample: it only says which pairs need no shuffle.
 No token ids are ever kept.
 """
 
@@ -17,18 +17,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import written
+from palisade.llm.common import shuffle_partitions
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text outside these blocks (where all versions of Unicode agree) is cut by the library itself.
 PLAIN = regex.compile(r"[\x00-\x1b\x20-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*")
-#: Frequent pre-tokens that are broadcast: so many at most, of so many characters each.
-HEAD_ROWS, HEAD_CHARS = 40_000, 48
+#: Frequent pre-tokens that are broadcast: so many at most, of so many characters each, from about so many documents.
+HEAD_ROWS, HEAD_CHARS, SAMPLE_DOCS = 100_000, 48, 20_000
+ROWS = "row long, doc_id long, n_bytes long, n long, piece string, times int"
 LIMIT = 1024
 
 
@@ -63,43 +65,82 @@ class PreTokens:
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def n_tokens(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """Tokens of each text, a thousand texts at a time to keep few encodings in memory."""
+        out: list[int] = []
+        for k in range(0, len(texts), 1000):
+            out += [len(e.ids) for e in self.tokenizer.encode_batch(texts[k : k + 1000], add_special_tokens=False)]
+        return out
 
 
-def frequencies(docs: DataFrame, path: str) -> DataFrame:
-    """(row, doc_id, n_bytes, pieces, times): a row's distinct pre-tokens and how often each occurs."""
+def frequent_pieces(docs: DataFrame, path: str) -> dict[str, int]:
+    """Tokens of the most frequent pre-tokens, by documents of a sample that hold them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = PreTokens(path)
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.slice(k, 512)
-                counts = [Counter(cutter.pieces(t.as_py() or "")) for t in part.column(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array([0 if t.as_py() is None else len(t.as_py().encode()) for t in part.column(2)], pa.int64()),
-                        pa.array([list(c) for c in counts], pa.list_(pa.string())),
-                        pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())),
-                    ],
-                    ["row", "doc_id", "n_bytes", "pieces", "times"],
-                )
+            for k in range(0, len(batch), 256):
+                held = Counter(p for t in batch.column(0).slice(k, 256) for p in set(cutter.pieces(t.as_py() or "")) if len(p) <= HEAD_CHARS)
+                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["piece", "n_docs"])
+
+    total = docs.count()
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_DOCS / max(total, 1)))
+    counts = docs.where(part).select("text").mapInArrow(cut, "piece string, n_docs long").groupBy("piece").agg(F.sum("n_docs").alias("n_docs"))
+    head = [r[0] for r in counts.orderBy(F.desc("n_docs"), "piece").limit(HEAD_ROWS).select("piece").collect()]
+    return dict(zip(head, PreTokens(path).n_tokens(head), strict=True))
+
+
+def document_pairs(docs: DataFrame, path: str, head: dict[str, int]) -> DataFrame:
+    """For each row one with its bytes and the sum over frequent pre-tokens (times null), and a pair for each other pre-token."""
+    known = docs.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, tokens_of = PreTokens(path), known.value.get
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                rows, ids, sizes, sums, pieces, times = [], [], [], [], [], []
+                for row, doc_id, text in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                    total, at = 0, len(rows)
+                    for piece, n in Counter(cutter.pieces(text or "")).items():
+                        if (tokens := tokens_of(piece)) is not None:
+                            total += n * tokens
+                        else:
+                            pieces.append(piece)
+                            times.append(n)
+                            rows.append(row)
+                    more = len(rows) - at
+                    rows.append(row)
+                    # Spread over tasks by the row's own number; times tells them from pairs.
+                    pieces.append(str(row))
+                    times.append(None)
+                    ids += [None] * more + [doc_id]
+                    sizes += [None] * more + [len((text or "").encode())]
+                    sums += [None] * more + [total]
+                kinds = [pa.int64()] * 4 + [pa.string(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rows, ids, sizes, sums, pieces, times), kinds, strict=True)], ["row", "doc_id", "n_bytes", "n", "piece", "times"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "row long, doc_id long, n_bytes long, pieces array<string>, times array<int>")
+    return rows.mapInArrow(run, ROWS)
 
 
-def piece_counts(pieces: DataFrame, path: str) -> DataFrame:
-    """(piece, n_docs) with distinct pieces to the same and the tokens of each."""
+def counted_pairs(pairs: DataFrame, path: str) -> DataFrame:
+    """Pairs dealt by pre-token to (row, doc_id, n_bytes, n) with the product of times and tokens; each pre-token is counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PreTokens(path)
+        last: tuple[str, int] | None = None
         for batch in batches:
-            counts = counter.n_tokens(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], ["piece", "n_docs", "n"])
+            pieces = batch.column(4).dictionary_encode()
+            distinct = pieces.dictionary.to_pylist()
+            new = distinct[1:] if last and distinct and distinct[0] == last[0] else distinct
+            counts = ([last[1]] if len(new) < len(distinct) else []) + counter.n_tokens(new)
+            last = (distinct[-1], counts[-1]) if distinct else last
+            products = pc.multiply(batch.column(5).cast(pa.int64()), pa.array(counts, pa.int64()).take(pieces.indices))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pc.coalesce(batch.column(3), products)], ["row", "doc_id", "n_bytes", "n"])
 
-    return pieces.select("piece", "n_docs").mapInArrow(run, "piece string, n_docs long, n long")
+    n = shuffle_partitions(pairs.sparkSession)
+    dealt = pairs.repartition(n, "piece").sortWithinPartitions("piece")
+    return dealt.mapInArrow(run, "row long, doc_id long, n_bytes long, n long")
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -110,18 +151,6 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     no rows; other columns are ignored.
     """
     path = path or vocabulary_path()
-    kept = written(frequencies(docs, path), "tokens-frequencies")
-    pairs = kept.select("row", F.explode(F.arrays_zip("pieces", "times")).alias("p")).select("row", F.col("p.pieces").alias("piece"), F.col("p.times").alias("times"))
-    counted = written(piece_counts(pairs.groupBy("piece").agg(F.count("*").alias("n_docs")), path), "tokens-pieces")
-    head = written(
-        counted.where(F.char_length("piece") <= HEAD_CHARS).orderBy(F.desc("n_docs"), "piece").limit(HEAD_ROWS).select("piece", "n"),
-        "tokens-head",
-    )
-    zero = kept.select("row", "doc_id", "n_bytes", F.lit(0).cast("long").alias("n"))
-    product = (F.col("times") * F.col("n")).cast("long").alias("n")
-    none = F.lit(None).cast("long")
-    frequent = pairs.join(F.broadcast(head), "piece").select("row", none.alias("doc_id"), none.alias("n_bytes"), product)
-    others = pairs.join(F.broadcast(head.select("piece")), "piece", "left_anti").join(counted.select("piece", "n"), "piece")
-    rare = others.select("row", none.alias("doc_id"), none.alias("n_bytes"), product)
-    summed = zero.unionByName(frequent).unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    counted = counted_pairs(document_pairs(docs, path, frequent_pieces(docs, path)), path)
+    summed = counted.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
