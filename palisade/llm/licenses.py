@@ -222,14 +222,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     repeated rows are scanned as often as they occur; other columns are ignored.
     """
     chosen = rules()
-    keywords = sorted({r.keyword for r in chosen})
     rows = docs.select(F.col("doc_id").cast("long"), words_of(F.col("text")).alias("norm"))
     norm = F.col("norm")
     rows = rows.withColumn("n_words", F.when(norm == "  ", F.lit(0)).otherwise(_spaces(norm) - 1).cast("long"))
     gate = norm.rlike("licen|copyright|spdx|creative|public domain|rights reserved|permission|redistribut|cc by|cc0|unencumbered|confidential|wtfpl|altered source|advertising materials|opensource org")
     empty = F.expr("CAST(array() AS array<struct<a:int,b:int,priority:int,label:string,confidence:double>>)")
     rows = rows.withColumn("found", F.when(gate, _detections(norm, chosen)).otherwise(empty))
-    assert keywords
     rows = rows.select("doc_id", "n_words", *(c.alias(k) for k, c in _base(norm, F.col("n_words")).items()), _unsuppressed(F.col("found")).alias("detections"))
     labels = F.array_sort(F.array_distinct(F.concat(F.col("base"), F.transform("detections", lambda d: d["label"]))))
     best = F.array_max(F.transform("detections", lambda d: d["confidence"]))

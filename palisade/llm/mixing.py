@@ -8,8 +8,6 @@ the order of another hash.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +81,6 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
 
 def oracle(table: str = "documents", seed: str = SEED) -> str:
     """SQL for (doc_id, source, mix_copy, mix_key) of ``replicated`` without weights, in one step per count."""
-    most = int(math.ceil(RATE_STEP)) and STEPS
     return f"""
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n_docs FROM {table} GROUP BY source),
 rates AS (
@@ -93,7 +90,7 @@ steps AS (
   SELECT source, rate, greatest(ceil(rate / {RATE_STEP}::DOUBLE), 1)::INT AS parts, 0 AS j, exp(-(rate / greatest(ceil(rate / {RATE_STEP}::DOUBLE), 1))) AS term,
     exp(-(rate / greatest(ceil(rate / {RATE_STEP}::DOUBLE), 1))) AS below FROM rates
   UNION ALL
-  SELECT source, rate, parts, j + 1, term * (rate / parts) / (j + 1), below + term * (rate / parts) / (j + 1) FROM steps WHERE j < {most}),
+  SELECT source, rate, parts, j + 1, term * (rate / parts) / (j + 1), below + term * (rate / parts) / (j + 1) FROM steps WHERE j < {STEPS}),
 draws AS (
   SELECT d.doc_id, d.source, i, ('0x' || substr(md5('{seed}/' || coalesce(d.doc_id::VARCHAR, 'null') || '/' || i), 1, {HASH_DIGITS}))::BIGINT::DOUBLE / {float(16**HASH_DIGITS)!r}::DOUBLE AS u
   FROM (SELECT DISTINCT doc_id, source FROM {table}) d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source,
