@@ -8,8 +8,9 @@
    by sorting on the pair of bucket numbers at an offset and at that offset plus the
    depth, the new numbers serving the next depth, until the depth is ``length``; a
    position alone in its bucket is settled and drops out.
-3. Keys with very many runs are not gathered in one task: their distinct runs are
-   counted by digest, and windows of these by digest of the window, as aggregates.
+3. Keys with very many runs are not gathered in one task: their runs are salted, each
+   salt is settled by itself, and what it holds once is looked for in the other salts
+   by digest, as an aggregate.
 4. Repeated windows become byte ranges, are merged per document and cut out.
 
 Only whole windows found equal are removed: the refinement compares bytes, the path
@@ -32,7 +33,7 @@ from palisade.llm.common import shuffle_partitions, slices, written
 LENGTH = 200
 GRAM = 32
 CHUNK_BYTES = 1 << 20
-#: Runs of one key that one task may hold; beyond it the aggregated path is taken.
+#: Runs of one key that one task may hold; keys with more are salted.
 HOT_RUNS = 8_000
 #: Bytes of runs refined together.
 REFINE_BYTES = 1 << 21
@@ -150,26 +151,26 @@ def window_runs(docs: DataFrame, length: int) -> DataFrame:
 
 
 def run_bytes(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """(key, k1, k2, first, n, bytes) for the chosen runs of each document."""
-    lists = runs.groupBy("k1", "k2").agg(F.collect_set(F.struct("key", "first", "n")).alias("runs"))
+    """(key, runs, k1, k2, first, bytes) for the chosen runs of each document."""
+    lists = runs.groupBy("k1", "k2").agg(F.collect_set(F.struct("key", "runs", "first", "n")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 text, chosen = (batch.column(2)[k].as_py() or "").encode(), batch.column(3)[k].values
-                keys, first, n = (chosen.field(f) for f in ("key", "first", "n"))
+                keys, times, first, n = (chosen.field(f) for f in ("key", "runs", "first", "n"))
                 pieces = [text[a : a + m + length - 1] for a, m in zip(first.to_pylist(), n.to_pylist(), strict=True)]
                 k1, k2 = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array([k1] * len(pieces), pa.int64()), pa.array([k2] * len(pieces), pa.int64()), first, n, pa.array(pieces, pa.binary())],
-                    ["key", "k1", "k2", "first", "n", "bytes"],
+                    [keys, times, pa.array([k1] * len(pieces), pa.int64()), pa.array([k2] * len(pieces), pa.int64()), first, pa.array(pieces, pa.binary())],
+                    ["key", "runs", "k1", "k2", "first", "bytes"],
                 )
 
-    return docs.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(cut, "key long, k1 long, k2 long, first long, n int, bytes binary")
+    return docs.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(cut, "key long, runs long, k1 long, k2 long, first long, bytes binary")
 
 
 def refine(pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """For each run's bytes, which of its windows start more than once among all of them."""
+    """For each run's bytes the bucket of each of its windows among all of them; -1 for a window that starts once."""
     lengths = np.array([len(p) for p in pieces])
     stops = np.cumsum(lengths)
     starts = stops - lengths
@@ -194,7 +195,7 @@ def refine(pieces: list[bytes], length: int) -> list[np.ndarray]:
         bucket = np.full(total, -1, np.int64)
         bucket[active] = np.where(times[number] > 1, number, -1) if len(active) else bucket[:0]
         depth += step
-    return [bucket[a : b - length + 1] >= 0 for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+    return [bucket[a : b - length + 1] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
 
 
 def ranges(flags: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,48 +204,63 @@ def ranges(flags: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1 + length
 
 
+COLUMNS = ("key", "k1", "k2", "first", "bytes", "runs")
+
+
+def dealt(runs: DataFrame) -> DataFrame:
+    """Runs with bytes by key, those of very frequent keys by key and salt."""
+    salts = F.ceil(F.col("runs") / F.lit(HOT_RUNS)).cast("long")
+    salted = runs.withColumn("salt", F.when(F.col("runs") > HOT_RUNS, F.pmod(F.xxhash64("k1", "k2", "first"), salts)).otherwise(F.lit(0)))
+    return salted.repartition(shuffle_partitions(runs.sparkSession), "key", "salt").sortWithinPartitions("key", "salt")
+
+
+def chunks(batches: Iterator[pa.RecordBatch], least: int = REFINE_BYTES) -> Iterator[list[tuple]]:
+    """Rows of whole (key, salt) groups together, about ``least`` bytes at a time; 0: each group by itself."""
+    held: list[tuple] = []
+    size, last = 0, None
+    for batch in batches:
+        salts = batch.column("salt").to_pylist()
+        for salt, row in zip(salts, zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True), strict=True):
+            if size > least and (row[0], salt) != last:
+                yield held
+                held, size = [], 0
+            held.append(row)
+            size += len(row[4])
+            last = row[0], salt
+    if held:
+        yield held
+
+
+def by_bytes(rows: list[tuple]) -> dict[int, dict[bytes, list[tuple]]]:
+    """Rows by key and bytes."""
+    out: dict[int, dict[bytes, list[tuple]]] = {}
+    for row in rows:
+        out.setdefault(row[0], {}).setdefault(row[4], []).append(row)
+    return out
+
+
 def repeated_ranges(runs: DataFrame, length: int) -> DataFrame:
-    """Runs with bytes, dealt by key, to (k1, k2, a, b) byte ranges of repeated windows."""
+    """Dealt runs to (k1, k2, a, b) byte ranges of windows repeated among the runs of one task."""
 
     def settle(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-        by_key: dict[int, dict[bytes, list[tuple]]] = {}
-        for row in rows:
-            by_key.setdefault(row[0], {}).setdefault(row[4], []).append(row)
         unsettled: list[tuple[bytes, list[tuple]]] = []
-        for same in by_key.values():
+        for same in by_bytes(rows).values():
             for piece, owners in same.items():
                 if len(owners) > 1:
-                    yield from ((k1, k2, first, first + len(piece)) for _, k1, k2, first, _ in owners)
+                    yield from ((row[1], row[2], row[3], row[3] + len(piece)) for row in owners)
                 if len(same) > 1 or len(owners) == 1:
                     unsettled.append((piece, owners))
-        at = 0
-        while at < len(unsettled):
-            part, size = [], 0
-            # All runs of a key stay together: a chunk ends only where the key changes.
-            while at < len(unsettled) and (size < REFINE_BYTES or unsettled[at][1][0][0] == part[-1][1][0][0]):
-                part.append(unsettled[at])
-                size += len(unsettled[at][0])
-                at += 1
-            for (_, owners), flags in zip(part, refine([p for p, _ in part], length), strict=True):
-                if len(owners) == 1 and flags.any():
-                    _, k1, k2, first, _ = owners[0]
-                    yield from ((k1, k2, first + int(a), first + int(b)) for a, b in zip(*ranges(flags, length), strict=True))
+        if unsettled:
+            for (_, owners), buckets in zip(unsettled, refine([p for p, _ in unsettled], length), strict=True):
+                if len(owners) == 1 and (buckets >= 0).any():
+                    _, k1, k2, first, *_ = owners[0]
+                    yield from ((k1, k2, first + int(a), first + int(b)) for a, b in zip(*ranges(buckets >= 0, length), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "k1", "k2", "first", "bytes")), strict=True):
-                if size > REFINE_BYTES and row[0] != held[-1][0]:
-                    yield rows_of(settle(held))
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield rows_of(settle(held))
+        for rows in chunks(batches):
+            yield rows_of(settle(rows))
 
-    n = shuffle_partitions(runs.sparkSession)
-    return runs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "k1 long, k2 long, a long, b long")
+    return runs.mapInArrow(run, "k1 long, k2 long, a long, b long")
 
 
 def rows_of(found: Iterator[tuple[int, int, int, int]]) -> pa.RecordBatch:
@@ -253,31 +269,32 @@ def rows_of(found: Iterator[tuple[int, int, int, int]]) -> pa.RecordBatch:
 
 
 def hot_ranges(runs: DataFrame, length: int) -> DataFrame:
-    """As repeated_ranges, for very frequent keys, by counting digests of runs and of windows."""
+    """(k1, k2, a, b) of windows of very frequent keys that a salt holds once and another salt holds too.
+
+    A salt gives the digest of each of its different windows once: with its place
+    where it holds the window once, with weight 2 where it is settled already.
+    """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for run, piece in zip(batch.column("run").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                digests = [xxhash.xxh3_128_digest(piece[k : k + length]) for k in range(len(piece) - length + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([run] * len(digests)), pa.array(range(len(digests)), pa.int64()), pa.array(digests, pa.binary())], ["run", "at", "window"])
+        for rows in chunks(batches, 0):
+            distinct = [(piece, owners) for same in by_bytes(rows).values() for piece, owners in same.items()]
+            given: set[int] = set()
+            for (piece, owners), buckets in zip(distinct, refine([p for p, _ in distinct], length), strict=True):
+                _, k1, k2, first, *_ = owners[0]
+                once = (buckets < 0) & (len(owners) == 1)
+                places = [k for k, bucket in enumerate(buckets.tolist()) if bucket < 0 or not (bucket in given or given.add(bucket))]
+                digests = [xxhash.xxh3_128_digest(piece[k : k + length]) for k in places]
+                n = len(places)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digests, pa.binary()), pa.array(np.where(once[places], 1, 2), pa.int32()), pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array(first + np.array(places, np.int64))],
+                    ["window", "weight", "k1", "k2", "a"],
+                )
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for run, places in zip(batch.column("run").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                flags = np.zeros(max(places) + 1, bool)
-                flags[places] = True
-                a, b = ranges(flags, length)
-                yield pa.RecordBatch.from_arrays([pa.array([run] * len(a)), pa.array(a), pa.array(b)], ["run", "a", "b"])
-
-    named = runs.withColumn("run", F.sha2("bytes", 256))
-    distinct = written(named.groupBy("run").agg(F.count("*").alias("times"), F.first("bytes").alias("bytes")), "suffix-hot")
-    every = distinct.select("run", "bytes").mapInArrow(windows, "run string, at long, window binary")
-    twice = every.groupBy("window").count().where("count > 1").select("window")
-    places = every.join(twice, "window", "left_semi").groupBy("run").agg(F.collect_list("at").alias("places"))
-    some = places.mapInArrow(merged, "run string, a long, b long")
-    whole = distinct.where("times > 1").select("run", F.lit(0).cast("long").alias("a"), F.octet_length("bytes").cast("long").alias("b"))
-    relative = whole.unionByName(some)
-    return named.select("run", "k1", "k2", "first").join(relative, "run").select("k1", "k2", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
+    # The id keeps this filter above the exchange, which repeated_ranges shares.
+    runs = runs.where((F.col("runs") > HOT_RUNS) & (F.monotonically_increasing_id() >= 0))
+    every = runs.mapInArrow(windows, "window binary, weight int, k1 long, k2 long, a long")
+    twice = every.groupBy("window").agg(F.sum("weight").alias("times")).where("times > 1").select("window")
+    return every.where("weight = 1").join(twice, "window", "left_semi").select("k1", "k2", "a", (F.col("a") + length).alias("b"))
 
 
 def merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -301,11 +318,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     runs = written(window_runs(keyed.where(F.octet_length("text") >= length), length), "suffix-runs")
     keys = written(runs.groupBy("key").agg(F.count("*").alias("runs")).where("runs > 1"), "suffix-keys")
     chosen = written(runs.where("n > 0").join(keys, "key"), "suffix-chosen")
-    cold = chosen.where(F.col("runs") <= HOT_RUNS).drop("runs")
-    found = repeated_ranges(run_bytes(keyed, cold, length), length)
+    shards = dealt(run_bytes(keyed, chosen, length))
+    found = repeated_ranges(shards, length)
     if not keys.where(F.col("runs") > HOT_RUNS).isEmpty():
-        hot = chosen.where(F.col("runs") > HOT_RUNS).drop("runs")
-        found = found.unionByName(hot_ranges(written(run_bytes(keyed, hot, length), "suffix-hot-runs"), length))
+        found = found.unionByName(hot_ranges(shards, length))
     return keyed, found
 
 
