@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import slices, written
@@ -39,6 +40,10 @@ TREE_SAMPLE = 20_000
 LEAF_SIZE, MOST_DEPTH = 256, 14
 BRUTE = 48
 DENSE = 32
+#: Documents whose shingles are counted to put frequent ones last, and the most that are told apart.
+SHINGLE_SAMPLE, MOST_FREQUENT = 5_000, 200_000
+#: Pairs up to which their documents' ids are broadcast to find the texts.
+MOST_BROADCAST = 1_000_000
 
 
 def fingerprint(text: bytes, words_per_shingle: int = 4) -> int:
@@ -223,13 +228,156 @@ def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 4, radius: i
     return hashed.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4) -> DataFrame:
+def _shingles(text: bytes, words_per_shingle: int) -> tuple[int, np.ndarray]:
+    """A hash of the text's words, and the hashes of its different shingles (none without words)."""
+    words = text.lower().split()
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    whole = digest(joined, SEED + 1)
+    if not words:
+        return whole, np.zeros(0, np.uint64)
+    if len(words) <= words_per_shingle:
+        return whole, np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-words_per_shingle])).tolist()
+    stops = (ends[words_per_shingle - 1 :] - 1).tolist()
+    return whole, np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
+
+
+def _frequent_shingles(docs: DataFrame, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that a bounded sample of texts holds often, sorted, and the place of each by rising frequency."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch.column(0), CHUNK_BYTES):
+                found = [_shingles(t, words_per_shingle)[1] for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+
+    share = max(1, math.ceil(docs.count() / SHINGLE_SAMPLE))
+    sampled = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(share)) == 0).select("text").mapInArrow(run, "key long")
+    found = sampled.groupBy("key").count().where("count >= 3").orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).toPandas()
+    keys = found["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], (len(keys) - np.arange(len(keys)))[order]
+
+
+def similar_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): documents linked by a Jaccard similarity of shingle sets, transitively.
+
+    Two sets that similar share one of the first shingles of each in any order that
+    holds for all documents, here rare ones first. Every shingle's documents are first
+    compared with one centre, the one with the fewest rare shingles; then documents
+    that share a shingle and are in different components yet are compared pair by pair.
+    The sample behind the order decides the work only, never the links. Texts of equal
+    words are one node; null texts and texts without words are alike.
+    """
+    share = Fraction(similarity).limit_denominator(1000)
+    up, down = share.numerator, share.denominator
+    spark = docs.sparkSession
+    kept = spark.sparkContext.broadcast(_frequent_shingles(docs, words_per_shingle))
+
+    def rank_of(keys: np.ndarray) -> np.ndarray:
+        frequent, place = kept.value
+        if not len(frequent):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
+        return np.where(frequent[at] == keys, place[at], 0)
+
+    def first_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in slices(batch.column(1), CHUNK_BYTES):
+                rows = []
+                for text in texts:
+                    node, keys = _shingles(text, words_per_shingle)
+                    rank = rank_of(keys)
+                    n = len(keys) - -(-up * len(keys) // down) + 1 if len(keys) else 0
+                    rows.append((node, len(keys), int((rank == 0).sum()), keys[np.lexsort((keys, rank))[:n]].view(np.int64)))
+                nodes, sizes, rare, prefixes = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(texts)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(rare, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                    ["doc_id", "node", "size", "rare", "prefix"],
+                )
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in slices(batch.column(1), CHUNK_BYTES):
+                for row, text in enumerate(texts, first):
+                    node, keys = _shingles(text, words_per_shingle)
+                    if (node := int(np.uint64(node).view(np.int64))) == batch.column(0)[row].as_py():
+                        yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([keys.tobytes()])], ["node", "keys"])
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose first shingles leave room for enough shared ones: up to the nearer end of the two, all are known."""
+        for batch in batches:
+            fits = []
+            for x, y, n, m in zip(*(c for c in batch.columns[2:]), strict=True):
+                x, y = (k.values.to_numpy(zero_copy_only=False).view(np.uint64) for k in (x, y))
+                n, m, ranks = n.as_py(), m.as_py(), (rank_of(x), rank_of(y))
+                end = min((r[-1], k[-1]) for r, k in zip(ranks, (x, y), strict=True))
+                inside = [int(((r < end[0]) | ((r == end[0]) & (k <= end[1]))).sum()) for r, k in zip(ranks, (x, y), strict=True)]
+                shared = len(np.intersect1d(x, y, assume_unique=True)) + min(n - inside[0], m - inside[1])
+                fits.append((up + down) * shared >= up * (n + m))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits, pa.bool_())) for c in (batch.column(0), batch.column(1))], ["a", "b"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(down * shared >= up * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(alike, pa.bool_())) for c in (batch.column(0), batch.column(1))], ["a", "b"])
+
+    rows = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first_shingles, "doc_id long, node long, size long, rare long, prefix array<long>"), "similar")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("size", "rare", "prefix"))), "similar-nodes")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        known = nodes.select("node", "prefix", "size")
+        pairs = pairs.join(known.toDF("a", "x", "n"), "a").join(known.toDF("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
+        pairs = written(pairs.mapInArrow(plausible, "a long, b long"), "similar-pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = nodes.join(ends, "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node")
+        if pairs.count() <= MOST_BROADCAST:
+            wanted = F.broadcast(wanted)
+        texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("node", "text")
+        sets = written(texts.mapInArrow(whole_sets, "node long, keys binary"), "similar-sets")
+        left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"), "similar-links")
+
+    def possible(size_a: str, at_a: str, size_b: str, at_b: str) -> Column:
+        """From these places on, enough can be shared; holds at the first shingle that a similar pair shares."""
+        return F.expr(f"{up + down} * least({size_a} - {at_a}, {size_b} - {at_b}) >= {up} * ({size_a} + {size_b})")
+
+    keyed = nodes.select("node", F.posexplode("prefix").alias("at", "key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    held = written(keyed.join(shared, "key").join(nodes.select("node", "size", "rare"), "node"), "similar-held")
+    centres = held.groupBy("key").agg(F.min(F.struct("rare", "node", "size", "at")).alias("best"))
+    centres = centres.select("key", F.col("best.node").alias("centre"), F.col("best.size").alias("centre_size"), F.col("best.at").alias("centre_at"))
+    met = written(held.drop("rare").join(centres, "key"), "similar-met")
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = met.where("node <> centre").where(possible("size", "at", "centre_size", "centre_at")).select(F.col("node").alias("a"), F.col("centre").alias("b")).select(*pair).distinct()
+    found = links(stars)
+    roots = connected_components(found)
+    rooted = written(met.where("node <> centre").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "size", "at", "root"), "similar-rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = written(rooted.join(mixed, "key"), "similar-left")
+    other = left.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
+    rest = left.withColumnRenamed("node", "a").join(other, "key").where("a < b AND root <> root_b").where(possible("size", "at", "size_b", "at_b")).select("a", "b").distinct()
+    roots = connected_components(found.unionByName(links(rest)))
+    rooted = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    groups = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows.select("doc_id", "node").join(rooted.join(groups, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """The rows of docs that stay: of each group the document with the smallest doc_id.
 
-    Of repeated rows with one doc_id, one stays. Rows with a null doc_id have no
-    identity to be grouped under and all stay.
+    Groups are those of fingerprints within radius, or with a similarity those of
+    similar_groups. Of repeated rows with one doc_id, one stays. Rows with a null doc_id
+    have no identity to be grouped under and all stay.
     """
-    groups = near_duplicate_groups(docs.where("doc_id IS NOT NULL"), words_per_shingle, radius)
+    named = docs.where("doc_id IS NOT NULL")
+    groups = near_duplicate_groups(named, words_per_shingle, radius) if similarity is None else similar_groups(named, words_per_shingle, similarity)
     heads = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

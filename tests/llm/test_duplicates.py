@@ -150,3 +150,40 @@ def test_refinement_of_random_pieces():
     seen = Counter(p[k : k + 12] for p in pieces for k in range(len(p) - 11))
     for piece, buckets in zip(pieces, suffixes.refine(pieces, 12)):
         assert (buckets >= 0).tolist() == [seen[piece[k : k + 12]] > 1 for k in range(len(piece) - 11)]
+
+
+def plain_similar(rows):
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    tops = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    least = {}
+    for (doc_id, _), top in zip(rows, tops):
+        least[top] = min(doc_id, least.get(top, doc_id))
+    return {doc_id: least[top] for (doc_id, _), top in zip(rows, tops)}
+
+
+def test_similar_groups_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
+    n = 1000
+    for size in (30, 60, 200):
+        for copies in (3, 40):
+            base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            for k in range(copies):
+                words = list(base)
+                for at in rng.sample(range(size), min(k, rng.randrange(1 + size // 30))):
+                    words[at] = f"new{rng.randrange(5000)}"
+                rows.append((n := n + 1, " ".join(words)))
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one TWO"), (905, "one two three four five"), (906, "one two three four six")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    want = plain_similar(rows)
+    assert got == want
+    far = {d for d, _, c in plain_groups([r for r in rows if r[0] >= 1000]) if c == d}
+    assert any(want[d] != d for d in far)  # near copies beyond four bits
+    kept = simhash.keep_one_of_each(df, words_per_shingle=5, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert simhash.similar_groups(df.limit(0)).collect() == []
