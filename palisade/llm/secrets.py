@@ -24,11 +24,13 @@ N_BASE = 3
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)+")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+#: Object identifiers of encryption by password begin so (PKCS#5, PKCS#12).
+BY_PASSWORD = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
 OPENSSH = b"openssh-key-v1\0"
 REDACTED = "[REDACTED]"
 
@@ -59,14 +61,17 @@ def _elements(data: bytes, start: int, stop: int) -> list[tuple[int, int, int]]
 
 
 def is_private_der(data: bytes) -> bool:
-    """A whole SEQUENCE with the members of a PKCS#1, SEC1 or PKCS#8 private key, nested lengths exact."""
+    """A whole SEQUENCE with the members of a PKCS#1, SEC1 or PKCS#8 private key, plain or encrypted, nested lengths exact."""
     top = _tlv(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
     inner = _elements(data, top[1], top[2])
-    if not inner or inner[0][0] != 0x02:
+    tags = [t for t, _, _ in inner or []]
+    if tags == [0x30, 0x04]:
+        algorithm = _elements(data, *inner[0][1:])
+        return bool(algorithm) and algorithm[0][0] == 0x06 and data[slice(*algorithm[0][1:])].startswith(BY_PASSWORD)
+    if tags[:1] != [0x02]:
         return False
-    tags = [t for t, _, _ in inner]
     if len(tags) >= 9 and set(tags[:9]) == {0x02}:
         return True
     if tags[1:2] == [0x04]:
@@ -125,6 +130,8 @@ def is_signed_token(text: str) -> bool:
 
 
 def armour_holds_key(body: str) -> bool:
+    """Line ends may be written out as \\n and \\r, as in JSON; header lines are passed over."""
+    body = re.sub(r"\\+[nr]", "\n", body)
     lines = [x for x in body.split("\n") if ":" not in x]
     data = from_base64("".join("".join(lines).split()))
     return data is not None and (is_private_key(data) or (":" in body and len(data) >= 32))

@@ -55,6 +55,27 @@ def test_structure_is_confirmed():
     assert not secrets.is_private_der(der(0x30, der(0x30, der(6, b"\x2a\x86\x48")), der(3, b"\0abc")))
 
 
+def test_armoured_forms_are_found_and_redacted():
+    lines = lambda x: "\n".join(y[k : k + 64] for y in [base64.b64encode(x).decode()] for k in range(0, len(y), 64))
+    scheme = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d"), der(0x30, der(4, b"saltsalt")))
+    locked = der(0x30, scheme, der(4, b"\x07" * 96))
+    plain = f"-----BEGIN PRIVATE KEY-----\n{lines(rsa_key())}\n-----END PRIVATE KEY-----"
+    forms = [
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'AB' * 16}\n\n{lines(bytes(range(256)))}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{lines(locked)}\n-----END ENCRYPTED PRIVATE KEY-----",
+        plain.replace("\n", "\\n"),
+        plain.replace("\n", "\\r\\n"),
+    ]
+    for key in forms:
+        text = f"before {key} after"
+        spans = secrets.spans_of(text)
+        assert [(a, b) for a, k, b in spans if secrets.KINDS[k] == "pem"] == [(7, 7 + len(key))]
+        assert secrets.redact(text, spans) == "before [REDACTED] after"
+    assert not secrets.is_private_der(der(0x30, der(0x30, der(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01"), der(5)), der(4, b"d" * 32)))
+    open_end = "-----BEGIN RSA PRIVATE KEY-----\n" * 2000 + forms[0]
+    assert [secrets.KINDS[k] for _, k, _ in secrets.spans_of(open_end)] == ["pem"]
+
+
 def test_redaction_and_edges(spark):
     t = "a password=abcdefghijkl b"
     df = spark.createDataFrame([(1, t, "s", 25), (1, t, "s", 25), (None, None, None, None)], "doc_id long, text string, spans string, n_chars long")
