@@ -8,6 +8,7 @@ priority, or of the same priority and longer, is suppressed.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,7 @@ class Rule(NamedTuple):
 
 #: label; keyword; title as a pattern on normalised words; identifiers, normalised.
 FAMILIES = (
-    ("mit", "mit", "(?:the )?(?:mit|expat|x11) licen[sc]e", "mit|x11|mit license"),
+    ("mit", "licen", "(?:the )?(?:mit|expat|x11) licen[sc]e", "mit|x11|mit license"),
     ("mit-0", "attribution", "mit no attribution", "mit 0"),
     ("apache-1.0", "apache", "apache (?:software )?licen[sc]e (?:version |v )?1 0", "apache 1 0"),
     ("apache-1.1", "apache", "apache (?:software )?licen[sc]e (?:version |v )?1 1", "apache 1 1"),
@@ -162,6 +163,25 @@ def rules() -> list[Rule]:
     return [r._replace(pattern=f"(?<= )(?:{r.pattern})(?= )") for r in out]
 
 
+def needed(rule: Rule) -> str:
+    """A string without which the rule cannot match: "licen", or a plain part of the pattern around its keyword, or the keyword."""
+    plain, depth = "", 0
+    for piece in re.findall(r"\\.|\[[^]]*\]|\.\{[^}]*\}\??|.\?|\(\?<?[:=]|\)\??|.", rule.pattern.removeprefix("(?<= )(?:").removesuffix(")(?= )")):
+        depth += piece.startswith("(") - piece.startswith(")")
+        plain += piece if depth == 0 and len(piece) == 1 and piece not in ")|." else "|"
+    parts = [p for p in plain.split("|") if "licen" in p or rule.keyword in p]
+    return "licen" if any("licen" in p for p in parts) else max(parts, key=len, default=rule.keyword)
+
+
+def gate(chosen: list[Rule]) -> str:
+    """An expression that finds every text that a rule can match, parted by first letters."""
+    needs = {needed(r) for r in chosen}
+    by_first: dict[str, list[str]] = {}
+    for n in sorted(n for n in needs if not any(o != n and o in n for o in needs)):
+        by_first.setdefault(n[0], []).append(n[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_first.items())
+
+
 def words_of(text: Column) -> Column:
     """Lower-case words (A-Z only) with single spaces, one more at either end; a null is a text without words."""
     text = F.coalesce(text, F.lit(""))
@@ -225,9 +245,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), words_of(F.col("text")).alias("norm"))
     norm = F.col("norm")
     rows = rows.withColumn("n_words", F.when(norm == "  ", F.lit(0)).otherwise(_spaces(norm) - 1).cast("long"))
-    gate = norm.rlike("licen|copyright|spdx|creative|public domain|rights reserved|permission|redistribut|cc by|cc0|unencumbered|confidential|wtfpl|altered source|advertising materials|opensource org")
+    passed = norm.rlike(gate(chosen))
     empty = F.expr("CAST(array() AS array<struct<a:int,b:int,priority:int,label:string,confidence:double>>)")
-    rows = rows.withColumn("found", F.when(gate, _detections(norm, chosen)).otherwise(empty))
+    rows = rows.withColumn("found", F.when(passed, _detections(norm, chosen)).otherwise(empty))
     rows = rows.select("doc_id", "n_words", *(c.alias(k) for k, c in _base(norm, F.col("n_words")).items()), _unsuppressed(F.col("found")).alias("detections"))
     labels = F.array_sort(F.array_distinct(F.concat(F.col("base"), F.transform("detections", lambda d: d["label"]))))
     best = F.array_max(F.transform("detections", lambda d: d["confidence"]))
