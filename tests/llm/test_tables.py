@@ -201,3 +201,15 @@ def test_blocks_guarantee_the_radius(spark):
 
     shared = df.select(F.size(F.array_intersect(decontaminate.blocks(F.col("a")), decontaminate.blocks(F.col("b")))).alias("n"))
     assert shared.where("n = 0").count() == 0
+
+
+def test_long_pre_tokens_in_every_document(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.vocabulary_path())
+    texts = ["-" * 60 + f" line {k} " + "=" * 200 + "\n" + " " * 100 + "x" for k in range(50)] + ["word " * 200_000, "\0" + "f" * 32]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    head = tokens.frequent_pieces(df, tokens.vocabulary_path())
+    assert tokens.head_key(" " + "=" * 200) in head and all(len(k) < tokens.LONG_PIECE for k in head)
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df).collect()}
+    assert got == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
