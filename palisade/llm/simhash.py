@@ -42,8 +42,10 @@ BRUTE = 48
 DENSE = 32
 #: Documents whose shingles are counted to put frequent ones last, and the most that are told apart.
 SHINGLE_SAMPLE, MOST_FREQUENT = 5_000, 200_000
-#: Pairs up to which their documents' ids are broadcast to find the texts.
+#: Pairs up to which the ids of their documents (16 bytes each) are broadcast.
 MOST_BROADCAST = 1_000_000
+#: Stands for a null doc_id.
+NO_ID = -(2**63)
 
 
 def fingerprint(text: bytes, words_per_shingle: int = 4) -> int:
@@ -261,123 +263,137 @@ def _frequent_shingles(docs: DataFrame, words_per_shingle: int) -> tuple[np.ndar
     return keys[order], (len(keys) - np.arange(len(keys)))[order]
 
 
-def similar_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): documents linked by a Jaccard similarity of shingle sets, transitively.
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingle: int, up: int, down: int) -> DataFrame:
+    """The candidate pairs (a, b) of nodes whose shingle sets are alike.
+
+    First by their first shingles, which bound what two sets can share; the few pairs
+    left by their whole sets, made anew from the texts. Small lists of nodes are
+    broadcast (their number is counted), larger ones joined by a shuffle.
+    """
+
+    def ends_of(found: DataFrame) -> DataFrame:
+        ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+        return F.broadcast(ends) if found.count() <= MOST_BROADCAST else ends
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in slices(batch.column(1), CHUNK_BYTES):
+                keys = [_shingles(t, words_per_shingle)[1].view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
+
+    pairs = written(pairs, "similar-pairs")
+    known = nodes.join(ends_of(pairs), "node", "left_semi").select("node", F.struct("size", F.struct("end_rank", "end_key").alias("end"), "prefix").alias("n"))
+    known = written(known, "similar-near")
+    met = pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b")
+    # Up to the nearer end of the two lists every shared shingle is in both; beyond it at most the rest of that set.
+    beyond = F.when(F.col("x.end") <= F.col("y.end"), F.col("x.size") - F.size("x.prefix")).otherwise(F.col("y.size") - F.size("y.prefix"))
+    most = F.size(F.array_intersect("x.prefix", "y.prefix")) + beyond
+    plausible = written(met.where(F.lit(up + down) * most >= F.lit(up) * (F.col("x.size") + F.col("y.size"))).select("a", "b"), "similar-plausible")
+    wanted = nodes.join(ends_of(plausible), "node", "left_semi").select("node", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2"))
+    if plausible.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = _keyed_texts(docs).join(wanted, ["k1", "k2"]).select("node", "text").mapInArrow(whole_sets, "node long, keys array<long>")
+    sets = written(texts.groupBy("node").agg(F.first("keys").alias("keys")), "similar-sets")
+    both = plausible.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return written(both.where(F.lit(up + down) * shared >= F.lit(up) * (F.size("x") + F.size("y"))).select("a", "b"), "similar-links")
+
+
+def _keyed_texts(docs: DataFrame) -> DataFrame:
+    """(k1, k2, text): rows told apart by doc_id (null: a value of its own) and a hash of the text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64("text").alias("k2"), "text")
+
+
+def similar_nodes(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Rows (k1, k2, node) and nodes (node, row, root): different texts linked by a Jaccard similarity of shingle sets, transitively.
 
     Two sets that similar share one of the first shingles of each in any order that
-    holds for all documents, here rare ones first. Every shingle's documents are first
-    compared with one centre, the one with the fewest rare shingles; then documents
-    that share a shingle and are in different components yet are compared pair by pair.
-    The sample behind the order decides the work only, never the links. Texts of equal
-    words are one node; null texts and texts without words are alike.
+    holds for all documents, here rare ones first. Every node is first compared with
+    one centre, of those of its shared shingles the one with the fewest rare shingles;
+    then nodes that share a shingle and are in different components yet are compared
+    pair by pair. The sample behind the order decides the work only, never the links.
+    ``row`` is the first row (k1, k2) of the node, a null doc_id last.
     """
     share = Fraction(similarity).limit_denominator(1000)
     up, down = share.numerator, share.denominator
-    spark = docs.sparkSession
-    kept = spark.sparkContext.broadcast(_frequent_shingles(docs, words_per_shingle))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent_shingles(docs, words_per_shingle))
 
     def rank_of(keys: np.ndarray) -> np.ndarray:
-        frequent, place = kept.value
-        if not len(frequent):
+        known, place = frequent.value
+        if not len(known):
             return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
-        return np.where(frequent[at] == keys, place[at], 0)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, place[at], 0)
 
     def first_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k1", "k2", "node", "size", "rare", "end_rank", "end_key", "prefix"]
         for batch in batches:
-            for first, texts in slices(batch.column(1), CHUNK_BYTES):
-                rows = []
+            for first, texts in slices(batch.column(2), CHUNK_BYTES):
+                numbers, prefixes = [], []
                 for text in texts:
                     node, keys = _shingles(text, words_per_shingle)
-                    rank = rank_of(keys)
+                    rank, signed = rank_of(keys), keys.view(np.int64)
                     n = len(keys) - -(-up * len(keys) // down) + 1 if len(keys) else 0
-                    rows.append((node, len(keys), int((rank == 0).sum()), keys[np.lexsort((keys, rank))[:n]].view(np.int64)))
-                nodes, sizes, rare, prefixes = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(rare, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                    ["doc_id", "node", "size", "rare", "prefix"],
-                )
-
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in slices(batch.column(1), CHUNK_BYTES):
-                for row, text in enumerate(texts, first):
-                    node, keys = _shingles(text, words_per_shingle)
-                    if (node := int(np.uint64(node).view(np.int64))) == batch.column(0)[row].as_py():
-                        yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([keys.tobytes()])], ["node", "keys"])
-
-    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose first shingles leave room for enough shared ones: up to the nearer end of the two, all are known."""
-        for batch in batches:
-            fits = []
-            for x, y, n, m in zip(*(c for c in batch.columns[2:]), strict=True):
-                x, y = (k.values.to_numpy(zero_copy_only=False).view(np.uint64) for k in (x, y))
-                n, m, ranks = n.as_py(), m.as_py(), (rank_of(x), rank_of(y))
-                end = min((r[-1], k[-1]) for r, k in zip(ranks, (x, y), strict=True))
-                inside = [int(((r < end[0]) | ((r == end[0]) & (k <= end[1]))).sum()) for r, k in zip(ranks, (x, y), strict=True)]
-                shared = len(np.intersect1d(x, y, assume_unique=True)) + min(n - inside[0], m - inside[1])
-                fits.append((up + down) * shared >= up * (n + m))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits, pa.bool_())) for c in (batch.column(0), batch.column(1))], ["a", "b"])
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(down * shared >= up * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(alike, pa.bool_())) for c in (batch.column(0), batch.column(1))], ["a", "b"])
-
-    rows = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first_shingles, "doc_id long, node long, size long, rare long, prefix array<long>"), "similar")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("size", "rare", "prefix"))), "similar-nodes")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        known = nodes.select("node", "prefix", "size")
-        pairs = pairs.join(known.toDF("a", "x", "n"), "a").join(known.toDF("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
-        pairs = written(pairs.mapInArrow(plausible, "a long, b long"), "similar-pairs")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = nodes.join(ends, "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node")
-        if pairs.count() <= MOST_BROADCAST:
-            wanted = F.broadcast(wanted)
-        texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("node", "text")
-        sets = written(texts.mapInArrow(whole_sets, "node long, keys binary"), "similar-sets")
-        left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"), "similar-links")
+                    chosen = np.lexsort((signed, rank))[:n]
+                    prefixes.append(signed[chosen])
+                    end = (rank[chosen[-1]], signed[chosen[-1]]) if n else (0, 0)
+                    numbers.append((np.uint64(node).view(np.int64), len(keys), int((rank == 0).sum()), *end))
+                own = (batch.column(c).slice(first, len(texts)) for c in range(2))
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.array(c, np.int64)) for c in zip(*numbers, strict=True)), pa.array(prefixes, pa.list_(pa.int64()))], names)
+
+    fields = "k1 long, k2 long, node long, size long, rare long, end_rank long, end_key long, prefix array<long>"
+    rows = written(_keyed_texts(docs).mapInArrow(first_shingles, fields), "similar")
+    first_row = F.min(F.struct((F.col("k1") == NO_ID).alias("nameless"), "k1", "k2")).alias("row")
+    nodes = written(rows.groupBy("node").agg(first_row, *(F.first(c).alias(c) for c in ("size", "rare", "end_rank", "end_key", "prefix"))), "similar-nodes")
 
     def possible(size_a: str, at_a: str, size_b: str, at_b: str) -> Column:
         """From these places on, enough can be shared; holds at the first shingle that a similar pair shares."""
         return F.expr(f"{up + down} * least({size_a} - {at_a}, {size_b} - {at_b}) >= {up} * ({size_a} + {size_b})")
 
+    def pair(a: str, b: str) -> tuple[Column, Column]:
+        return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
     keyed = nodes.select("node", F.posexplode("prefix").alias("at", "key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
     held = written(keyed.join(shared, "key").join(nodes.select("node", "size", "rare"), "node"), "similar-held")
     centres = held.groupBy("key").agg(F.min(F.struct("rare", "node", "size", "at")).alias("best"))
-    centres = centres.select("key", F.col("best.node").alias("centre"), F.col("best.size").alias("centre_size"), F.col("best.at").alias("centre_at"))
-    met = written(held.drop("rare").join(centres, "key"), "similar-met")
-    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    stars = met.where("node <> centre").where(possible("size", "at", "centre_size", "centre_at")).select(F.col("node").alias("a"), F.col("centre").alias("b")).select(*pair).distinct()
-    found = links(stars)
+    stars = held.join(centres, "key").where("node <> best.node").where(possible("size", "at", "best.size", "best.at"))
+    stars = stars.groupBy("node").agg(F.min("best").alias("best")).select(*pair("node", "best.node")).distinct()
+    found = _links(stars, nodes, docs, words_per_shingle, up, down)
     roots = connected_components(found)
-    rooted = written(met.where("node <> centre").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "size", "at", "root"), "similar-rooted")
+    rooted = written(held.join(roots, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root")), "similar-rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = written(rooted.join(mixed, "key"), "similar-left")
-    other = left.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
-    rest = left.withColumnRenamed("node", "a").join(other, "key").where("a < b AND root <> root_b").where(possible("size", "at", "size_b", "at_b")).select("a", "b").distinct()
-    roots = connected_components(found.unionByName(links(rest)))
-    rooted = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", "node").join(rooted.join(groups, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    other = left.toDF("key", "node_b", "size_b", "at_b", "root_b")
+    rest = left.join(other, "key").where("node < node_b AND root <> root_b").where(possible("size", "at", "size_b", "at_b"))
+    more = _links(rest.select(*pair("node", "node_b")).distinct(), nodes, docs, words_per_shingle, up, down)
+    roots = connected_components(found.unionByName(more))
+    rooted = nodes.join(roots, "node", "left").select("node", "row", F.coalesce("root", "node").alias("root"))
+    return rows.select("k1", "k2", "node"), rooted
+
+
+def similar_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) per row of docs: the smallest doc_id of the documents linked by similarity, transitively.
+
+    Texts of equal words (by 64 bits of hash) are alike, and so are null texts and
+    texts without words. A component of null doc_ids only has a null id. Whole texts,
+    very long ones too; repeated rows stay repeated; an empty table gives no rows.
+    """
+    rows, rooted = similar_nodes(docs, words_per_shingle, similarity)
+    heads = rooted.groupBy("root").agg(F.min("row").alias("head"))
+    named = rooted.join(heads, "root").select("node", F.nullif(F.col("head.k1"), F.lit(NO_ID)).alias("component_id"))
+    return rows.join(named, "node").select(F.nullif("k1", F.lit(NO_ID)).alias("doc_id"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
-    """The rows of docs that stay: of each group the document with the smallest doc_id.
+def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay: one of each group of similar_groups.
 
-    Groups are those of fingerprints within radius, or with a similarity those of
-    similar_groups. Of repeated rows with one doc_id, one stays. Rows with a null doc_id
-    have no identity to be grouped under and all stay.
+    It is the row with the smallest doc_id, a null one last, then the smallest hash of
+    the text; of repeated rows with one doc_id and text, any one. Other columns are
+    kept, whatever their names.
     """
-    named = docs.where("doc_id IS NOT NULL")
-    groups = near_duplicate_groups(named, words_per_shingle, radius) if similarity is None else similar_groups(named, words_per_shingle, similarity)
-    heads = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    _, rooted = similar_nodes(docs, words_per_shingle, similarity)
+    heads = rooted.groupBy("root").agg(F.min("row").alias("head")).select(F.col("head.k1").alias("__k1"), F.col("head.k2").alias("__k2"))
+    keyed = docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__k2": F.xxhash64("text")})
+    kept = keyed.join(heads.hint("merge"), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    return kept.select(*docs.columns)

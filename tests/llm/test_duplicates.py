@@ -90,11 +90,14 @@ def test_components_of_chains_stars_and_repeats(spark):
 
 
 def test_one_of_each_group_stays(spark):
-    rows = [(5, "the same words in every copy"), (3, "the same words in every copy"), (3, "the same words in every copy"), (8, "something else entirely here"), (None, "no id"), (None, "no id")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS component_id")
+    copy = "the same words in every copy"
+    rows = [(5, copy), (3, copy), (3, copy), (8, "something else entirely here"), (None, "no id"), (None, "no id"), (None, copy), (11, "two texts of"), (13, "two texts of"), (13, "one id, and this one is alone"), (14, None), (15, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS component_id", "1 AS node", "2 AS k1")
     kept = simhash.keep_one_of_each(df)
     assert kept.columns == df.columns
-    assert sorted((str(r.doc_id) for r in kept.collect())) == ["3", "8", "None", "None"]
+    want = [(3, copy), (8, "something else entirely here"), (None, "no id"), (11, "two texts of"), (13, "one id, and this one is alone"), (14, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert simhash.keep_one_of_each(df.limit(0)).collect() == []
 
 
 def repeating_texts():
@@ -178,12 +181,14 @@ def test_similar_groups_equal_brute_force(spark):
                     words[at] = f"new{rng.randrange(5000)}"
                 rows.append((n := n + 1, " ".join(words)))
     rows += [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one TWO"), (905, "one two three four five"), (906, "one two three four six")]
+    long = " ".join(f"v{k}" for k in range(60_000))
+    rows += [(907, long), (908, long + " end")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
     want = plain_similar(rows)
     assert got == want
     far = {d for d, _, c in plain_groups([r for r in rows if r[0] >= 1000]) if c == d}
     assert any(want[d] != d for d in far)  # near copies beyond four bits
-    kept = simhash.keep_one_of_each(df, words_per_shingle=5, similarity=0.8)
+    kept = simhash.keep_one_of_each(df)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
     assert simhash.similar_groups(df.limit(0)).collect() == []

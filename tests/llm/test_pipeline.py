@@ -2,7 +2,7 @@ from collections import Counter
 
 import corpus_pipeline
 from tests.llm import brute
-from tests.llm.test_duplicates import plain_groups
+from tests.llm.test_duplicates import plain_similar
 
 from palisade.llm import mixing, quality, registered, secrets
 from palisade.llm.common import table
@@ -19,7 +19,7 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     stats = np.array([quality.statistics(r.text.encode()) for r in rows.values()])
     good = ~quality.base_failed(stats) & forest.keeps(quality.features(stats))
     kept = [(i, r.text) for (i, r), g in zip(rows.items(), good) if g]
-    heads = {c for _, _, c in plain_groups(kept)}
+    heads = set(plain_similar(kept).values())
     kept = [(i, t) for i, t in kept if i in heads]
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     leaks = {i for i, _ in brute.contamination(kept, items)}
