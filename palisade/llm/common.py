@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,24 +18,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver can see.
+    """The folder that every executor and the driver can see, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests, a local folder is made and set.
+    Where that is unset a folder of this machine serves, but only if all of Spark runs on it.
     """
-    if not (found := spark.conf.get(CHECKPOINT_KEY, None)):
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
+    if found := spark.conf.get(CHECKPOINT_KEY, None):
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
+    return _local_dir(spark.sparkContext.applicationId)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Tables().written(df, name)
+
+
+class Tables:
+    """Tables written on the way to a result; dropped once the result itself is written, as nothing reads them then."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        self.paths.append((df.sparkSession, path))
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for spark, path in self.paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import slices, written
+from palisade.llm.common import Tables, slices, written
 from palisade.llm.graph import connected_components
 
 SEED = 42
@@ -230,12 +230,16 @@ def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 4, radius: i
     return hashed.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _whole(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED + 1)
+
+
 def _shingles(text: bytes, words_per_shingle: int) -> tuple[int, np.ndarray]:
     """A hash of the text's words, and the hashes of its different shingles (none without words)."""
     words = text.lower().split()
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    whole = digest(joined, SEED + 1)
+    whole = _whole(words)
     if not words:
         return whole, np.zeros(0, np.uint64)
     if len(words) <= words_per_shingle:
@@ -263,7 +267,7 @@ def _frequent_shingles(docs: DataFrame, words_per_shingle: int) -> tuple[np.ndar
     return keys[order], (len(keys) - np.arange(len(keys)))[order]
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingle: int, up: int, down: int) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingle: int, up: int, down: int, tables: Tables) -> DataFrame:
     """The candidate pairs (a, b) of nodes whose shingle sets are alike.
 
     First by their first shingles, which bound what two sets can share; the few pairs
@@ -281,22 +285,22 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingl
                 keys = [_shingles(t, words_per_shingle)[1].view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
 
-    pairs = written(pairs, "similar-pairs")
+    pairs = tables.written(pairs, "similar-pairs")
     known = nodes.join(ends_of(pairs), "node", "left_semi").select("node", F.struct("size", F.struct("end_rank", "end_key").alias("end"), "prefix").alias("n"))
-    known = written(known, "similar-near")
+    known = tables.written(known, "similar-near")
     met = pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b")
     # Up to the nearer end of the two lists every shared shingle is in both; beyond it at most the rest of that set.
     beyond = F.when(F.col("x.end") <= F.col("y.end"), F.col("x.size") - F.size("x.prefix")).otherwise(F.col("y.size") - F.size("y.prefix"))
     most = F.size(F.array_intersect("x.prefix", "y.prefix")) + beyond
-    plausible = written(met.where(F.lit(up + down) * most >= F.lit(up) * (F.col("x.size") + F.col("y.size"))).select("a", "b"), "similar-plausible")
+    plausible = tables.written(met.where(F.lit(up + down) * most >= F.lit(up) * (F.col("x.size") + F.col("y.size"))).select("a", "b"), "similar-plausible")
     wanted = nodes.join(ends_of(plausible), "node", "left_semi").select("node", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2"))
     if plausible.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     texts = _keyed_texts(docs).join(wanted, ["k1", "k2"]).select("node", "text").mapInArrow(whole_sets, "node long, keys array<long>")
-    sets = written(texts.groupBy("node").agg(F.first("keys").alias("keys")), "similar-sets")
+    sets = tables.written(texts.groupBy("node").agg(F.first("keys").alias("keys")), "similar-sets")
     both = plausible.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return written(both.where(F.lit(up + down) * shared >= F.lit(up) * (F.size("x") + F.size("y"))).select("a", "b"), "similar-links")
+    return tables.written(both.where(F.lit(up + down) * shared >= F.lit(up) * (F.size("x") + F.size("y"))).select("a", "b"), "similar-links")
 
 
 def _keyed_texts(docs: DataFrame) -> DataFrame:
@@ -304,8 +308,8 @@ def _keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64("text").alias("k2"), "text")
 
 
-def similar_nodes(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Rows (k1, k2, node) and nodes (node, row, root): different texts linked by a Jaccard similarity of shingle sets, transitively.
+def similar_nodes(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, row, root) of each different text: texts linked by a Jaccard similarity of shingle sets, transitively.
 
     Two sets that similar share one of the first shingles of each in any order that
     holds for all documents, here rare ones first. Every node is first compared with
@@ -317,6 +321,7 @@ def similar_nodes(docs: DataFrame, words_per_shingle: int = 5, similarity: float
     share = Fraction(similarity).limit_denominator(1000)
     up, down = share.numerator, share.denominator
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent_shingles(docs, words_per_shingle))
+    tables = Tables()
 
     def rank_of(keys: np.ndarray) -> np.ndarray:
         known, place = frequent.value
@@ -342,9 +347,9 @@ def similar_nodes(docs: DataFrame, words_per_shingle: int = 5, similarity: float
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.array(c, np.int64)) for c in zip(*numbers, strict=True)), pa.array(prefixes, pa.list_(pa.int64()))], names)
 
     fields = "k1 long, k2 long, node long, size long, rare long, end_rank long, end_key long, prefix array<long>"
-    rows = written(_keyed_texts(docs).mapInArrow(first_shingles, fields), "similar")
     first_row = F.min(F.struct((F.col("k1") == NO_ID).alias("nameless"), "k1", "k2")).alias("row")
-    nodes = written(rows.groupBy("node").agg(first_row, *(F.first(c).alias(c) for c in ("size", "rare", "end_rank", "end_key", "prefix"))), "similar-nodes")
+    rows = _keyed_texts(docs).mapInArrow(first_shingles, fields)
+    nodes = tables.written(rows.groupBy("node").agg(first_row, *(F.first(c).alias(c) for c in ("size", "rare", "end_rank", "end_key", "prefix"))), "similar-nodes")
 
     def possible(size_a: str, at_a: str, size_b: str, at_b: str) -> Column:
         """From these places on, enough can be shared; holds at the first shingle that a similar pair shares."""
@@ -353,23 +358,29 @@ def similar_nodes(docs: DataFrame, words_per_shingle: int = 5, similarity: float
     def pair(a: str, b: str) -> tuple[Column, Column]:
         return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
+    def links(pairs: DataFrame) -> DataFrame:
+        return _links(pairs.distinct(), nodes, docs, words_per_shingle, up, down, tables)
+
     keyed = nodes.select("node", F.posexplode("prefix").alias("at", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
-    held = written(keyed.join(shared, "key").join(nodes.select("node", "size", "rare"), "node"), "similar-held")
+    held = tables.written(keyed.join(shared, "key").join(nodes.select("node", "size", "rare"), "node"), "similar-held")
     centres = held.groupBy("key").agg(F.min(F.struct("rare", "node", "size", "at")).alias("best"))
     stars = held.join(centres, "key").where("node <> best.node").where(possible("size", "at", "best.size", "best.at"))
-    stars = stars.groupBy("node").agg(F.min("best").alias("best")).select(*pair("node", "best.node")).distinct()
-    found = _links(stars, nodes, docs, words_per_shingle, up, down)
-    roots = connected_components(found)
-    rooted = written(held.join(roots, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root")), "similar-rooted")
+    stars = stars.groupBy("node").agg(F.min("best").alias("best")).select(*pair("node", "best.node"))
+    roots = connected_components(links(stars))
+    rooted = tables.written(held.join(roots, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root")), "similar-rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = written(rooted.join(mixed, "key"), "similar-left")
+    left = tables.written(rooted.join(mixed, "key"), "similar-left")
     other = left.toDF("key", "node_b", "size_b", "at_b", "root_b")
     rest = left.join(other, "key").where("node < node_b AND root <> root_b").where(possible("size", "at", "size_b", "at_b"))
-    more = _links(rest.select(*pair("node", "node_b")).distinct(), nodes, docs, words_per_shingle, up, down)
-    roots = connected_components(found.unionByName(more))
+    more = links(rest.select(*pair("node", "node_b")))
+    for end in ("a", "b"):
+        more = more.join(roots.toDF(end, f"root_{end}"), end, "left").withColumn(end, F.coalesce(f"root_{end}", end))
+    last = connected_components(more.select("a", "b")).toDF("root", "last")
     rooted = nodes.join(roots, "node", "left").select("node", "row", F.coalesce("root", "node").alias("root"))
-    return rows.select("k1", "k2", "node"), rooted
+    out = written(rooted.join(last, "root", "left").select("node", "row", F.coalesce("last", "root").alias("root")), "similar-roots")
+    tables.drop()
+    return out
 
 
 def similar_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -379,10 +390,18 @@ def similar_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: floa
     texts without words. A component of null doc_ids only has a null id. Whole texts,
     very long ones too; repeated rows stay repeated; an empty table gives no rows.
     """
-    rows, rooted = similar_nodes(docs, words_per_shingle, similarity)
+    rooted = similar_nodes(docs, words_per_shingle, similarity)
     heads = rooted.groupBy("root").agg(F.min("row").alias("head"))
     named = rooted.join(heads, "root").select("node", F.nullif(F.col("head.k1"), F.lit(NO_ID)).alias("component_id"))
-    return rows.join(named, "node").select(F.nullif("k1", F.lit(NO_ID)).alias("doc_id"), "component_id")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in slices(batch.column(1), CHUNK_BYTES):
+                nodes = np.array([_whole(t.lower().split()) for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(nodes)], ["doc_id", "node"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(whole, "doc_id long, node long")
+    return rows.join(named, "node").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -392,8 +411,8 @@ def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: fl
     the text; of repeated rows with one doc_id and text, any one. Other columns are
     kept, whatever their names.
     """
-    _, rooted = similar_nodes(docs, words_per_shingle, similarity)
-    heads = rooted.groupBy("root").agg(F.min("row").alias("head")).select(F.col("head.k1").alias("__k1"), F.col("head.k2").alias("__k2"))
-    keyed = docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__k2": F.xxhash64("text")})
-    kept = keyed.join(heads.hint("merge"), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
-    return kept.select(*docs.columns)
+    rooted = similar_nodes(docs, words_per_shingle, similarity)
+    heads = rooted.groupBy("root").agg(F.min("row").alias("head")).select(F.col("head.k1").alias("k1"), F.col("head.k2").alias("k2"))
+    keyed = docs.select(F.struct(*docs.columns).alias("document"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64("text").alias("k2"))
+    kept = keyed.join(heads.hint("merge"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return kept.select("document.*")
