@@ -2,8 +2,8 @@
 
 A source's mean repetition rate is its share of the target over its share of the
 corpus. Each document's count is the inverse of the Poisson distribution with that
-mean at a uniform number hashed from (seed, doc_id); copies are exploded and put in
-the order of another hash.
+mean at a uniform number hashed from (seed, doc_id); copies are exploded and dealt out
+and ordered by another hash.
 """
 
 from __future__ import annotations
@@ -11,12 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.common import shuffle_partitions, written
+
 SEED = "mix-1"
 #: Target share of a source is proportional to (its documents) ** TEMPERATURE where no weights are given.
 TEMPERATURE = 0.5
 #: Steps of the inverse; mean rates above RATE_STEP are sums of Poisson numbers with smaller means.
 STEPS, RATE_STEP = 40, 8.0
 HASH_DIGITS = 13
+#: Sources whose rates are broadcast, and the parts that each source's rows are dealt to beyond that.
+MOST_BROADCAST, SALTS = 100_000, 64
 
 
 def uniform(*parts: Column) -> Column:
@@ -37,12 +41,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epoch
     else:
         given = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))]) if weights else F.expr("CAST(map() AS map<string,double>)")
         weight = F.coalesce(F.element_at(given, F.col("source")), F.lit(0.0))
-    weighed = counts.withColumn("weight", weight)
-    total = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("n_docs").alias("all_docs"))
-    # One row, so the size of this broadcast is fixed.
-    rated = weighed.join(F.broadcast(total))
-    rate = F.when(F.col("all_weight") > 0, F.lit(epochs) * F.col("weight") * F.col("all_docs") / (F.col("all_weight") * F.col("n_docs"))).otherwise(F.lit(0.0))
-    return rated.select("source", "n_docs", rate.alias("rate"))
+    weighed = written(counts.withColumn("weight", weight), "mix-weights")
+    all_weight, all_docs = weighed.agg(F.sum("weight"), F.sum("n_docs")).first()
+    rate = F.lit(epochs) * F.col("weight") * F.lit(all_docs) / (F.lit(all_weight) * F.col("n_docs")) if all_weight else F.lit(0.0)
+    return weighed.select("source", "n_docs", rate.alias("rate"))
 
 
 def poisson_count(u: Column, rate: Column) -> Column:
@@ -58,25 +60,45 @@ def poisson_count(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda acc: acc["k"])
 
 
+def with_rate(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """rows (source, ...) with their source's rate.
+
+    Up to MOST_BROADCAST sources the rates are broadcast and no row moves; more meet
+    the rows by (source, salt), so that a source with many rows is spread.
+    """
+    named = rates.select(F.col("source").alias("of"), "rate")
+    same = F.col("source").eqNullSafe(F.col("of"))
+    if named.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(named), same).drop("of")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    spread = named.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return salted.join(spread, same & (F.col("salt") == F.col("of_salt"))).drop("of", "salt", "of_salt")
+
+
 def replicated(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED) -> DataFrame:
     """docs' columns with ``mix_copy`` (from 0) and ``mix_key``, every row as often as its count says, shuffled globally.
 
-    Counts depend on seed, doc_id and the source's rate only: repeated rows are
-    repeated alike; a null doc_id is hashed as a value of its own. Means above
-    RATE_STEP are drawn as sums, which keeps the distribution exact. Columns of docs
-    named mix_copy or mix_key are replaced. An empty table gives no rows.
+    The result is in the order of the hash ``mix_key``: as that is uniform, partitions are
+    equal ranges of it, known beforehand. Counts depend on seed, doc_id and the
+    source's rate only: repeated rows are repeated alike; a null doc_id is hashed as a
+    value of its own. Means above RATE_STEP are drawn as sums, which keeps the
+    distribution exact. Texts are moved once, very long ones too, and never looked at.
+    Columns of docs named mix_copy or mix_key are replaced; all others stay, whatever
+    their names. An empty table gives no rows.
     """
-    docs = docs.drop("mix_copy", "mix_key")
-    rates = source_rates(docs, weights, epochs).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"))
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["mix_source"])).drop("mix_source")
-    parts = F.greatest(F.ceil(F.col("mix_rate") / F.lit(RATE_STEP)), F.lit(1)).cast("int")
-    each = F.col("mix_rate") / parts
-    draws = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: poisson_count(uniform(F.lit(seed), F.col("doc_id"), i), each))
-    count = F.aggregate(draws, F.lit(0), lambda a, b: a + b)
-    copies = joined.withColumn("mix_count", count).where("mix_count > 0")
-    copies = copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1))).drop("mix_count", "mix_rate")
-    key = F.md5(F.concat_ws("/", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")))
-    return copies.withColumn("mix_key", key).orderBy("mix_key")
+    own = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
+    rows = docs.select(F.struct(*own).alias("document"), F.col("doc_id").alias("id"), F.col("source").alias("source"))
+    joined = with_rate(rows, source_rates(docs, weights, epochs))
+    parts = F.greatest(F.ceil(F.col("rate") / F.lit(RATE_STEP)), F.lit(1)).cast("int")
+    each = F.col("rate") / parts
+    draws = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: poisson_count(uniform(F.lit(seed), F.col("id"), i), each))
+    copies = joined.withColumn("n", F.aggregate(draws, F.lit(0), lambda a, b: a + b)).where("n > 0")
+    copies = copies.select("document", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("mix_copy"))
+    key = F.md5(F.concat_ws("/", F.lit(seed), F.lit("order"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")))
+    n = shuffle_partitions(docs.sparkSession)
+    place = F.shiftright(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * n, 32)
+    dealt = copies.withColumn("mix_key", key).repartitionById(n, place.cast("int")).sortWithinPartitions("mix_key")
+    return dealt.select("document.*", "mix_copy", "mix_key")
 
 
 def oracle(table: str = "documents", seed: str = SEED) -> str:

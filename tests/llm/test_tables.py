@@ -72,6 +72,14 @@ def test_mixing_edges(spark):
     assert mixing.replicated(df).columns == ["doc_id", "source", "text", "mix_copy", "mix_key"]
 
 
+def test_mixing_of_many_sources_and_clashing_names(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id AS doc_id", "concat('s', id % 7) AS source", "repeat('long text ', if(id = 5, 200000, 1)) AS text", "1 AS rate", "2 AS mix_rate", "3 AS mix_count", "4 AS document", "5 AS salt", "6 AS id", "7 AS n", "8 AS of")
+    few = sorted(mixing.replicated(df, epochs=2.0).collect())
+    assert {r.mix_rate for r in few} == {2} and few[0].asDict().keys() == {*df.columns, "mix_copy", "mix_key"}
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 2)
+    assert sorted(mixing.replicated(df, epochs=2.0).collect()) == few
+
+
 def pages(spark):
     big = "<html>" + "é" * 600 + "</html>"
     rows = [(1, "http://a", big), (7, "http://b", big), (3, "http://c\r\nX: y", big), (4, None, "small"), (5, "http://e", "small"), (6, "http://f", None), (9, "http://g", "a\r\n\r\nb" * 400), (None, "http://h", big), (7, "http://b", big)]
