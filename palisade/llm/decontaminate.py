@@ -6,27 +6,29 @@
    are made: this loses nothing. (The stride is 1 where windows are too short for that.)
 2. Each such window of an item's number of words gets a SimHash of its shingles.
 3. Multi-index blocks: fingerprints within RADIUS bits agree on at least one of
-   RADIUS + 1 blocks, so joining on (window size, block, value) finds every pair
-   within the radius.
-4. The pairs left are verified by the exact similarity of their weighted shingles
+   RADIUS + 1 blocks of 10 bits or more, so joining on (window size, block, value)
+   finds every pair within the radius.
+4. Windows of similarity 0.8 have fingerprints 9.7 bits apart on average, so the blocks
+   alone would miss many. The exact way for the rest: a window that similar holds one
+   of the item's first (1 - s) m + 1 shingles in any order, here the rarest among the
+   items first, and s m places with a shingle of the item.
+5. The pairs of 3 and 4 are verified by the exact similarity of their weighted shingles
    (sum of smaller over sum of larger counts), which must reach ``similarity``.
-
-RADIUS allows for how far apart SimHashes of windows with similarity 0.8 fall (mean
-9.7 bits, deviation 2.9).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from palisade.llm.common import written
+from palisade.llm.common import Tables, written
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 5
 STRIDE = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Item shingles up to which they are broadcast; more go through a shuffled join.
+#: Rows of the items' tables up to which they are broadcast; more go through shuffled joins.
 MOST_BROADCAST = 400_000
 #: Counters of a fingerprint's bits: three of 21 bits to a long, so items may have 2**21 - 1 words.
 LANE, LANES = 21, 3
@@ -73,10 +75,29 @@ def blocks(fp: Column, radius: int = RADIUS) -> Column:
 
 
 def prepared_items(benchmark: DataFrame, size: int) -> DataFrame:
-    """(item_id, n, size, shs): words and shingle hashes of each item that has words."""
+    """(item, item_id, n, size, shs): a number of its own, words and shingle hashes of each item that has words."""
     items = benchmark.select(F.col("item_id").cast("long"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     n = F.size("words")
-    return items.select("item_id", n.alias("n"), F.least(n, F.lit(size)).alias("size"), shingles(F.col("words"), size).alias("shs"))
+    items = items.select("item_id", n.alias("n"), F.least(n, F.lit(size)).alias("size"), shingles(F.col("words"), size).alias("shs")).distinct()
+    return items.select(F.monotonically_increasing_id().alias("item"), "*")
+
+
+def item_weights(items: DataFrame) -> DataFrame:
+    """(item, n, size, item_m, sh, b): how often each item holds each of its shingles."""
+    return items.select("item", "n", "size", F.size("shs").alias("item_m"), F.explode("shs").alias("sh")).groupBy("item", "n", "size", "item_m", "sh").agg(F.count("*").alias("b"))
+
+
+def first_shingles(weights: DataFrame, similarity: float) -> DataFrame:
+    """(item, n, sh): shingles of which every window at least ``similarity`` alike holds one."""
+    held = weights.groupBy("size", "sh").agg(F.count("*").alias("held"))
+    before = F.sum("b").over(Window.partitionBy("item").orderBy("held", "sh").rowsBetween(Window.unboundedPreceding, -1))
+    placed = weights.join(held, ["size", "sh"]).withColumn("before", F.coalesce(before, F.lit(0)))
+    return placed.where(F.col("before") <= F.col("item_m") - least_shared(F.col("item_m"), similarity)).select("item", "n", "sh")
+
+
+def least_shared(item_m: Column, similarity: float) -> Column:
+    """Places of a window that hold a shingle of the item, at least, in a window at least ``similarity`` alike."""
+    return F.ceil(F.lit(similarity) * item_m - F.lit(1e-9))
 
 
 def stride_for(least: int, similarity: float) -> int:
@@ -96,51 +117,72 @@ def window_bounds(hits: DataFrame) -> DataFrame:
     return marked.groupBy("k1", "k2", "n", "size", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
 
+def matched_shingles(worded: DataFrame, sizes: list[tuple[int, int]], similarity: float) -> DataFrame:
+    """(k1, k2, size, doc_words, pos, sh): shingles of each size in use, at a stride that loses no window."""
+
+    def of_size(s: int, least: int) -> Column:
+        # A document with few shingles is one short window.
+        step = F.when(F.size("words") - s + 1 < STRIDE, 1).otherwise(stride_for(min(least, STRIDE), similarity))
+        return F.transform(shingles(F.col("words"), s, step), lambda sh, at: F.struct(F.lit(s).alias("size"), (at * step).alias("pos"), sh.alias("sh")))
+
+    every = [of_size(*x) for x in sizes]
+    found = F.concat(*every) if every else F.expr("CAST(array() AS array<struct<size:int,pos:int,sh:bigint>>)")
+    return worded.select("k1", "k2", F.size("words").alias("doc_words"), F.explode(found).alias("m")).select("k1", "k2", "doc_words", "m.size", "m.pos", "m.sh")
+
+
+def plausible_windows(near: DataFrame, items: DataFrame, weights: DataFrame, similarity: float, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(k1, k2, n, first_word, item): windows of the stretches in ``near`` that can be ``similarity`` alike to the item."""
+    region = ["k1", "k2", "n", "lo"]
+    marked = near.select(*region, F.explode("shs").alias("sh")).join(small(first_shingles(weights, similarity)), ["n", "sh"])
+    met = near.join(marked.select(*region, "item").distinct(), region)
+    wanted = items.select("item", F.array_distinct("shs").alias("own"), F.size("shs").alias("item_m"))
+    met = met.join(small(wanted), "item")
+    hit = F.transform("shs", lambda sh: F.array_contains(F.col("own"), sh))
+    met = met.select(*region, "item", "item_m", "more", (F.col("n") - F.col("size") + 1).alias("m"), hit.alias("hit"))
+    count = lambda k: F.size(F.filter(F.slice("hit", k + 1, F.col("m")), lambda x: x))
+    good = F.filter(F.sequence(F.lit(0), "more"), lambda k: count(k) >= least_shared(F.col("item_m"), similarity))
+    return met.select("k1", "k2", "n", "lo", "item", F.explode(good).alias("k")).select("k1", "k2", "n", (F.col("lo") + F.col("k")).alias("first_word"), "item")
+
+
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(k1, k2, item_id, first_word, n_words, shared, total): windows at least ``similarity`` alike to an item.
 
     k1, k2 tell rows apart by doc_id (null: a value of its own) and a hash of the text.
     """
-    items = written(prepared_items(benchmark, size), "bench-items")
-    marks = items.select("n", "size", F.explode("shs").alias("sh")).distinct()
-    few = marks.count() <= MOST_BROADCAST
+    tables = Tables()
+    items = tables.written(prepared_items(benchmark, size), "bench-items")
+    weights = tables.written(item_weights(items), "bench-weights")
+    few = weights.count() + (radius + 1) * items.count() <= MOST_BROADCAST
+    small = F.broadcast if few else lambda df: df
     # Shingle sizes in use (at most ``size`` numbers), with the fewest shingles that an item has.
     sizes = sorted(tuple(r) for r in items.groupBy("size").agg(F.min(F.size("shs"))).collect())
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64("text").alias("k2"), "text")
-    worded = rows.select("k1", "k2", words_of(F.col("text")).alias("words"))
-    nothing = worded.select("k1", "k2", F.lit(0).alias("size"), F.lit(0).alias("doc_words"), F.lit(0).alias("step"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("sh")).where("false")
-    placed = nothing
-    for s, least in sizes:
-        # A document with few shingles is one short window.
-        step = F.when(F.size("words") - s + 1 < STRIDE, 1).otherwise(stride_for(min(least, STRIDE), similarity))
-        placed = placed.unionByName(worded.select("k1", "k2", F.lit(s).alias("size"), F.size("words").alias("doc_words"), step.alias("step"), F.posexplode(shingles(F.col("words"), s, step)).alias("at", "sh")))
-    placed = placed.withColumn("pos", F.col("at") * F.col("step"))
-    wanted = F.broadcast(marks) if few else marks
-    hits = placed.join(wanted, ["size", "sh"]).select("k1", "k2", "n", "size", "pos", "doc_words")
-    bounds = written(window_bounds(hits), "bench-bounds")
+    placed = matched_shingles(rows.select("k1", "k2", words_of(F.col("text")).alias("words")), sizes, similarity)
+    hits = placed.join(small(weights.select("n", "size", "sh").distinct()), ["size", "sh"]).select("k1", "k2", "n", "size", "pos", "doc_words")
+    bounds = tables.written(window_bounds(hits), "bench-bounds")
     chosen = bounds.groupBy("k1", "k2").agg(F.collect_list(F.struct("n", "size", "lo", "hi")).alias("ranges"))
     # Texts are moved once here, at every size alike; what is left is small and written.
     near = rows.join(chosen.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", words_of(F.col("text")).alias("words"), F.explode("ranges").alias("r"))
     cut = F.slice("words", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo") + F.col("r.n"))
-    near = written(near.select("k1", "k2", "r.n", "r.lo", shingles(cut, F.col("r.size")).alias("shs"), (F.col("r.hi") - F.col("r.lo")).alias("more"), F.col("r.size").alias("size")), "bench-near")
+    near = tables.written(near.select("k1", "k2", "r.n", "r.lo", shingles(cut, F.col("r.size")).alias("shs"), (F.col("r.hi") - F.col("r.lo")).alias("more"), F.col("r.size").alias("size")), "bench-near")
     windows = near.select("k1", "k2", "n", "lo", F.explode(F.sequence(F.lit(0), "more")).alias("k"), "shs", "size")
     windows = windows.select("k1", "k2", "n", (F.col("lo") + F.col("k")).alias("first_word"), F.slice("shs", F.col("k") + 1, F.col("n") - F.col("size") + 1).alias("shs"))
     key = ["k1", "k2", "n", "first_word"]
     lanes = windows.select(*key, F.explode("shs").alias("sh")).groupBy(*key).agg(F.count("*").alias("m"), *fingerprint_lanes(F.col("sh")))
-    window_fps = written(lanes.select(*key, fingerprint_of(F.col("m")).alias("fp")), "bench-windows")
-    item_lanes = items.select("item_id", "n", F.explode("shs").alias("sh")).groupBy("item_id", "n").agg(F.count("*").alias("m"), *fingerprint_lanes(F.col("sh")))
-    item_fps = item_lanes.select("item_id", "n", fingerprint_of(F.col("m")).alias("item_fp"))
+    window_fps = lanes.select(*key, fingerprint_of(F.col("m")).alias("fp"))
+    item_lanes = items.select("item", "n", F.explode("shs").alias("sh")).groupBy("item", "n").agg(F.count("*").alias("m"), *fingerprint_lanes(F.col("sh")))
+    item_fps = item_lanes.select("item", "n", fingerprint_of(F.col("m")).alias("item_fp"))
     left = window_fps.select(*key, "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select(*key, "fp", "b.block", "b.value")
-    right = item_fps.select("item_id", "n", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("b")).select("item_id", "n", "item_fp", "b.block", "b.value")
-    right = F.broadcast(right) if few else right
-    pairs = left.join(right, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    pairs = pairs.select(*key, "item_id").distinct()
-    counted = windows.join(pairs, key).select(*key, "item_id", F.size("shs").alias("m"), F.explode("shs").alias("sh")).groupBy(*key, "item_id", "m", "sh").agg(F.count("*").alias("a"))
-    item_counts = items.select("item_id", F.size("shs").alias("item_m"), F.explode("shs").alias("sh")).groupBy("item_id", "item_m", "sh").agg(F.count("*").alias("b"))
-    item_counts = F.broadcast(item_counts) if few else item_counts
-    shared = counted.join(item_counts, ["item_id", "sh"]).groupBy(*key, "item_id", "m", "item_m").agg(F.sum(F.least("a", "b")).alias("shared"))
-    shared = shared.withColumn("total", F.col("m") + F.col("item_m") - F.col("shared"))
-    return shared.where(F.col("shared") >= F.lit(similarity) * F.col("total")).select("k1", "k2", "item_id", "first_word", F.col("n").alias("n_words"), "shared", "total")
+    right = item_fps.select("item", "n", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("b")).select("item", "n", "item_fp", "b.block", "b.value")
+    within = left.join(small(right), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*key, "item")
+    pairs = tables.written(within.unionByName(plausible_windows(near, items, weights, similarity, small)).distinct(), "bench-pairs")
+    counted = windows.join(pairs, key).select(*key, "item", F.size("shs").alias("m"), F.explode("shs").alias("sh")).groupBy(*key, "item", "m", "sh").agg(F.count("*").alias("a"))
+    shared = counted.join(small(weights.select("item", "item_m", "sh", "b")), ["item", "sh"]).groupBy(*key, "item", "m", "item_m").agg(F.sum(F.least("a", "b")).alias("shared"))
+    shared = shared.withColumn("total", F.col("m") + F.col("item_m") - F.col("shared")).where(F.col("shared") >= F.lit(similarity) * F.col("total"))
+    found = shared.join(small(items.select("item", "item_id")), "item").select("k1", "k2", "item_id", "first_word", F.col("n").alias("n_words"), "shared", "total")
+    found = written(found, "bench-found")
+    tables.drop()
+    return found
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -148,8 +190,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = SHINGL
 
     Ties go to the earliest window. Null or empty texts and items without words hold
     nothing; an item of fewer words than a shingle is one shingle; a document shorter
-    than an item is one window. Rows with equal doc_id and text are reported once;
-    rows with a null doc_id are reported with a null. Empty tables give no rows.
+    than an item is one window. Whole texts, very long ones too. Rows with equal doc_id
+    and text are reported once; rows with a null doc_id are reported with a null, and
+    so are items with a null item_id; of several items with one item_id the best
+    counts. Other columns are ignored. Empty tables give no rows.
     """
     found = contaminated_windows(docs, benchmark, size, similarity, radius)
     alike = F.col("shared") / F.col("total")
@@ -158,7 +202,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = SHINGL
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a window alike to a benchmark item; repeated rows stay repeated."""
+    """The rows of docs without a window alike to a benchmark item; repeated rows stay repeated, all columns stay."""
     found = contaminated_windows(docs, benchmark).select("k1", "k2").distinct()
-    keyed = docs.withColumn("__k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__k2", F.xxhash64("text"))
-    return keyed.join(found.hint("merge"), (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("document"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64("text").alias("k2"))
+    return keyed.join(found.hint("merge"), ["k1", "k2"], "left_anti").select("document.*")

@@ -182,19 +182,31 @@ def test_contamination_equals_brute_force(spark):
     docs, items = item_texts()
     d = list(enumerate(docs)) + [(63, docs[0]), (63, docs[0])]
     b = [*enumerate(items), (50, None), (51, "")]
-    df = spark.createDataFrame(d, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS n")
+    df = spark.createDataFrame(d, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS n", "3 AS k1", "4 AS k2", "5 AS document")
     bench = spark.createDataFrame(b, "item_id long, text string")
     got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.find_contamination(df, bench).collect()}
     want = {k: round(v, 9) for k, v in brute.contamination(d, b).items()}
     assert got == want and len(want) >= 10
     bad = {k for k, _ in brute.contamination([(k, t) for k, (_, t) in enumerate(d)], b)}
     kept = decontaminate.drop_contaminated(df, bench)
+    assert all((r.k1, r.k2, r.document) == (3, 4, 5) for r in kept.collect())
     assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str(row) for k, row in enumerate(d) if k not in bad)
     assert kept.columns == df.columns
     assert decontaminate.find_contamination(df.limit(0), bench).collect() == []
     assert decontaminate.find_contamination(df, bench.limit(0)).collect() == []
 
 
+def test_contamination_of_long_texts_and_repeated_items(spark, monkeypatch):
+    docs, items = item_texts()
+    long = f"{'filler words of a very long text ' * 8_000} {items[2]} {'and some more of them ' * 1000}"
+    df = spark.createDataFrame([(1, long), (None, items[1]), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(2, items[2]), (2, items[2]), (2, items[4]), (None, items[1]), (7, "the same words " * 30)], "item_id long, text string")
+    want = [(1, 2, 56_000, 30, 1.0), (None, None, 0, 30, 1.0)]
+    for rows in (decontaminate.MOST_BROADCAST, 0):
+        monkeypatch.setattr(decontaminate, "MOST_BROADCAST", rows)
+        assert sorted(map(tuple, decontaminate.find_contamination(df, bench).collect()), key=str) == sorted(want, key=str)
+
+
 def test_blocks_guarantee_the_radius(spark):
     rng = random.Random(9)
     pairs = []
