@@ -12,8 +12,8 @@ from palisade.operators.detect import evidence_of
 from palisade.operators.rules import OBSERVED, Rule
 
 ALERT_FIELDS = ("rule_id", "rule_name", "severity", "group_by", "group_key", "first_seen", "last_seen", "count", "summary")
-#: Alerts up to which a range join broadcasts them; more go by day.
-MOST_BROADCAST = 100_000
+#: Buckets, about, that the time around an alert is cut into.
+PIECES = 8
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
@@ -73,20 +73,24 @@ def context_bounds(first: Column, last: Column, fixed_seconds: int | None = None
     return a - margin, b + margin + F.lit(1_000_000)
 
 
-def events_around(alerts: DataFrame, events: DataFrame, fixed_seconds: int | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def events_around(alerts: DataFrame, events: DataFrame, fixed_seconds: int | None = None) -> DataFrame:
     """(alert_key, id) of all events in the time around each alert.
 
-    Few alerts are broadcast; many meet the events by day.
+    A span of time is cut into at most PIECES aligned buckets of one power of two of
+    microseconds, as wide as a span of its length needs; events meet them by (width, bucket),
+    once for each width in use, so an event only meets alerts that are near it.
     """
     lo, hi = context_bounds(F.col("first_seen"), F.col("last_seen"), fixed_seconds)
     bounds = alerts.select("alert_key", lo.alias("lo"), hi.alias("hi"))
+    width = F.ceil(F.log2(F.greatest((F.col("hi") - F.col("lo")) / PIECES, F.lit(1.0)))).cast("int")
+    bounds = bounds.withColumn("width", F.least(width, F.lit(62)))
+    widths = [r[0] for r in bounds.select("width").distinct().collect()]  # 63 at most
+    at = lambda t, w: F.shiftright(t, w) if isinstance(w, int) else F.expr(f"shiftright({t}, {w})")
+    pieces = bounds.select("alert_key", "lo", "hi", "width", F.explode(F.sequence(at("lo", "width"), F.expr("shiftright(hi - 1, width)"))).alias("piece"))
     placed = events.select("id", F.unix_micros("ts").alias("t"))
-    inside = (F.col("t") >= F.col("lo")) & (F.col("t") < F.col("hi"))
-    if bounds.limit(most_broadcast + 1).count() <= most_broadcast:
-        return placed.join(F.broadcast(bounds), inside).select("alert_key", "id")
-    day = 86_400_000_000
-    by_day = bounds.withColumn("day", F.explode(F.sequence(F.floor(F.col("lo") / day), F.floor(F.col("hi") / day))))
-    return placed.withColumn("day", F.floor(F.col("t") / day)).join(by_day, "day").where(inside).select("alert_key", "id")
+    every = F.array(*[F.struct(F.lit(w).alias("width"), at(F.col("t"), w).alias("piece")) for w in sorted(widths)]) if widths else F.expr("CAST(array() AS array<struct<width:int,piece:bigint>>)")
+    placed = placed.select("id", "t", F.explode(every).alias("p")).select("id", "t", "p.width", "p.piece")
+    return placed.join(pieces, ["width", "piece"]).where((F.col("t") >= F.col("lo")) & (F.col("t") < F.col("hi"))).select("alert_key", "id")
 
 
 def drop_orphans(alerts: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -8,9 +8,10 @@ and between the days of a group, so a very frequent group is spread over many ta
 
 from __future__ import annotations
 
-from collections import Counter, deque
+from collections import OrderedDict, deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,12 +111,13 @@ def scan_keywords(events: DataFrame, rules: list[Keyword]) -> DataFrame:
     live = [r for r in rules if r.enabled]
     if not live:
         return events.select(F.col("id").alias("event_id"), F.lit(None).cast("string").alias("rule_id")).where("false")
-    words = [k for r in live for k in r.keywords]
+    hit = lambda rules: F.array_compact(F.array(*[F.when(match_filter(r.match) & keyword_condition(r), F.lit(r.id)) for r in rules]))
+    worded, free = [r for r in live if r.regex is None], [r for r in live if r.regex is not None]
+    words = [k for r in worded for k in r.keywords]
     gate = rule_line(F.col("service"), F.col("message")).rlike(keyword_regex(words)) if words else F.lit(False)
-    if any(r.regex is not None for r in live):
-        gate = F.lit(True)
-    hits = F.array_compact(F.array(*[F.when(match_filter(r.match) & keyword_condition(r), F.lit(r.id)) for r in live]))
-    return events.where(gate).select(F.col("id").alias("event_id"), F.explode(hits).alias("rule_id"))
+    nothing = F.expr("CAST(array() AS array<string>)")
+    hits = F.concat(F.when(gate, hit(worded)).otherwise(nothing) if worded else nothing, hit(free) if free else nothing)
+    return events.select(F.col("id").alias("event_id"), F.explode(hits).alias("rule_id"))
 
 
 def detect_rare_port(events: DataFrame, rule: RarePort, spread: bool = True) -> DataFrame:
@@ -167,39 +169,52 @@ def detect_sequence(events: DataFrame, rule: Sequence, spread: bool = True) -> D
 
 
 class Machine:
-    """The state of one group: the rows of the window, and the alert that is open. Rows come in (t, id) order."""
+    """The state of one group: rows that may still become evidence, the latest time of each port, and the open alert.
+
+    Rows (t, id, port, steps, ...) come in (t, id) order. No more is held than the rows of one window.
+    """
 
     def __init__(self, rule: Rule, recent: list | None = None, first_id: int | None = None, last_t: int = 0):
         self.rule, self.recent, self.first_id, self.last_t = rule, deque(map(tuple, recent or [])), first_id, last_t
-        self.held = Counter(port for _, _, port, _ in self.recent)
-        self.cooldown, self.window = rule.cooldown_seconds * SECOND, rule.window * SECOND
+        self.reach, self.window = rule.cooldown_seconds * SECOND, rule.window * SECOND
+        self.ports: OrderedDict[int | None, int] = OrderedDict()
+        for row in self.recent:
+            self.see(row)
+
+    def see(self, row: tuple) -> None:
+        self.ports[row[2]] = row[0]
+        self.ports.move_to_end(row[2])
 
-    def push(self, t: int, event_id: int, port: int | None, steps: int) -> list[tuple[int, int]]:
+    def push(self, *row) -> list[tuple[int, int]]:
         """(event_id, first event_id of its alert) of the rows that became evidence."""
-        if self.first_id is not None and t - self.last_t <= self.cooldown:
-            self.last_t = t
-            return [(event_id, self.first_id)]
-        self.first_id = None
-        self.recent.append((t, event_id, port, steps))
-        self.held[port] += 1
-        while t - self.recent[0][0] >= self.window:
-            gone = self.recent.popleft()[2]
-            self.held[gone] -= 1
-            if not self.held[gone]:
-                del self.held[gone]
-        if not self.is_full(steps):
-            return []
-        ids = [row[1] for row in self.recent]
-        self.first_id, self.last_t = ids[0], t
-        self.recent.clear()
-        self.held.clear()
-        return [(i, self.first_id) for i in ids]
+        return [(x[1], first) for x, first in self.walk(row)]
+
+    def walk(self, row: tuple) -> list[tuple[tuple, int]]:
+        """The same with whole rows."""
+        t = row[0]
+        if self.first_id is not None and t <= self.last_t + self.reach:
+            found = [row]
+        else:
+            self.first_id, gone = None, t - self.window
+            self.recent.append(row)
+            self.see(row)
+            while self.recent and self.recent[0][0] <= gone:
+                self.recent.popleft()
+            while self.ports and next(iter(self.ports.values())) <= gone:
+                self.ports.popitem(last=False)
+            if not self.is_full(row[3]):
+                return []
+            found = list(self.recent)
+            self.first_id = found[0][1]
+            self.recent, self.ports = deque(), OrderedDict()
+        self.last_t = t
+        return [(x, self.first_id) for x in found]
 
     def is_full(self, steps: int) -> bool:
         if isinstance(self.rule, Threshold):
             return len(self.recent) >= self.rule.threshold
         if isinstance(self.rule, PortScan):
-            return len(self.held) >= self.rule.min_ports
+            return len(self.ports) >= self.rule.min_ports
         if isinstance(self.rule, Sequence):
             return bool(steps >> (len(self.rule.steps) - 1) & 1) and completes([row[3] for row in self.recent], [s.count for s in self.rule.steps])
         return True
@@ -212,32 +227,36 @@ def completes(steps: list[int], counts: list[int]) -> bool:
 
 
 def by_segment(events: DataFrame, rule: Rule, spans: Column, spread: bool = True) -> DataFrame:
-    """Any windowed rule: cut where nothing is carried over a gap, drop segments that cannot alert, walk the rest."""
-    limit = max(rule.cooldown_seconds * SECOND + 1, rule.window * SECOND)
-    rows = islands(counted_events(events, rule), limit, inclusive=True, spread=spread)
+    """Any windowed rule: rows are dealt by group (spread: by segment of a group, cut where nothing is carried over a gap) and walked in order.
+
+    A task walks its groups one after the other, in batches, so a group of any length needs the memory of one window.
+    """
+    rows = counted_events(events, rule)
+    group = ["key"]
+    if spread:
+        limit = max(rule.cooldown_seconds * SECOND + 1, rule.window * SECOND)
+        rows, group = islands(rows, limit, inclusive=True), ["key", "island"]
+    steps = F.lit(0)
     if isinstance(rule, Sequence):
-        served = [match_filter(s.match) for s in rule.steps]
-        rows = rows.withColumn("steps", sum((F.when(c, 1 << k).otherwise(0) for k, c in enumerate(served)), F.lit(0)).cast("long"))
-        for k, step in enumerate(rule.steps):
-            n = F.sum(F.col("steps").bitwiseAND(1 << k) / (1 << k)).over(whole_island())
-            rows = rows.withColumn(f"has{k}", n >= step.count)
-        rows = rows.where(" AND ".join(f"has{k}" for k in range(len(rule.steps)))).drop(*(f"has{k}" for k in range(len(rule.steps))))
-    else:
-        least = rule.threshold if isinstance(rule, Threshold) else rule.min_ports
-        rows = rows.withColumn("steps", F.lit(0).cast("long")).withColumn("n", F.count("*").over(whole_island())).where(F.col("n") >= least).drop("n")
-    slim = rows.select("key", "island", "id", "t", F.col("dst_port").cast("int").alias("port"), "steps", "message")
-
-    def run(groups: pd.DataFrame) -> pd.DataFrame:
-        g = groups.sort_values(["t", "id"], kind="stable")
-        ports = [None if pd.isna(p) else int(p) for p in g["port"]]
-        machine = Machine(rule)
-        first: dict[int, int] = {}
-        for t, event_id, port, steps in zip(g["t"].tolist(), g["id"].tolist(), ports, g["steps"].tolist(), strict=True):
-            first |= machine.push(t, event_id, port, steps)
-        g = g[g["id"].isin(list(first))]
-        return g.assign(first_id=g["id"].map(first))[["key", "id", "t", "port", "message", "first_id"]]
-
-    chosen = slim.groupBy("key", "island").applyInPandas(run, "key string, id long, t long, port int, message string, first_id long")
+        steps = sum((F.when(match_filter(s.match), 1 << k).otherwise(0) for k, s in enumerate(rule.steps)), F.lit(0))
+    slim = rows.select(*group, "t", "id", F.col("dst_port").cast("int").alias("port"), steps.cast("long").alias("steps"), "message")
+    fields = ("key", "t", "id", "port", "message", "first_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, machine = None, Machine(rule)
+        for batch in batches:
+            out = []
+            groups = zip(*(batch.column(c).to_pylist() for c in group), strict=True)
+            for of, *row in zip(groups, *(batch.column(c).to_pylist() for c in ("t", "id", "port", "steps", "message")), strict=True):
+                if of != last:
+                    last, machine = of, Machine(rule)
+                out += [(of[0], t, i, port, message, first) for (t, i, port, _, message), first in machine.walk(tuple(row))]
+            columns = list(zip(*out, strict=True)) or [()] * len(fields)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(fields))
+
+    dealt = slim.repartition(*group).sortWithinPartitions(*group, "t", "id")
+    chosen = dealt.mapInArrow(run, "key string, t long, id long, port int, message string, first_id long")
     alert = F.concat_ws(":", F.lit(rule.id), "key", F.col("first_id").cast("string"))
     return chosen.select(F.lit(rule.id).alias("rule_id"), F.col("key").alias("group_key"), alert.alias("alert_key"), F.col("id").alias("event_id"), F.timestamp_micros("t").alias("ts"), "port", spans.alias("spans"))
 
