@@ -6,13 +6,17 @@ import bz2
 import gzip
 import io
 import lzma
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palisade.functions.text import source_name
+from palisade.sources.scratch import scratch_dir
 
 MAX_LINE = 8192
 LINE_SCHEMA = "source_file string, line_no long, raw string"
@@ -25,23 +29,29 @@ def clean_line(raw: Column) -> Column:
     return F.left(F.replace(F.regexp_replace(valid, r"[\r\n]+\z", ""), F.lit("\0"), F.lit("")), F.lit(MAX_LINE))
 
 
-def read_log_lines(spark: SparkSession, path: str, sniff: bool = False) -> DataFrame:
+def read_log_lines(spark: SparkSession, path: str | list[str], sniff: bool = False, with_path: bool = False, modified_after: str | None = None) -> DataFrame:
     """(source_file, line_no, raw) of text files: lines end at LF only and are numbered from 1 per file.
 
+    ``with_path`` adds the whole path, which tells files of one name apart;
+    ``modified_after`` leaves out files that have not changed since.
+
     Blank lines count but are left out. Lines are numbered within each block that Spark
     reads, and the blocks' counts are summed up. With ``sniff`` files are told by their
     first bytes, and compressed ones unpacked whatever their name.
     """
     if sniff:
         return unpack(spark.read.format("binaryFile").load(path).select("path", "content"))
-    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
+    text = (reader if modified_after is None else reader.option("modifiedAfter", modified_after)).text(path)
     rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), clean_line(F.col("value")).alias("raw"))
     inside = Window.partitionBy("file", "block").orderBy("at")
     placed = rows.withColumn("local", F.row_number().over(inside))
     blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
     base = blocks.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("base"))
     numbered = placed.join(base, ["file", "block"])
-    return numbered.select(source_name(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))).alias("source_file"), (F.col("base") + F.col("local")).alias("line_no"), "raw").where("trim(raw) <> ''")
+    named = source_name(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))).alias("source_file")
+    path_of = [F.col("file").alias("path")] if with_path else []
+    return numbered.select(*path_of, named, (F.col("base") + F.col("local")).alias("line_no"), "raw").where("trim(raw) <> ''")
 
 
 def unpack(files: DataFrame) -> DataFrame:
@@ -77,18 +87,31 @@ def file_fingerprints(lines: DataFrame) -> DataFrame:
     return lines.groupBy("source_file").agg(F.sha2(F.min_by("raw", "line_no"), 256).alias("fingerprint"))
 
 
-def resolve_sources(lines: DataFrame, sources: DataFrame, day: str) -> DataFrame:
-    """(source_file, fingerprint, name, is_new): a known file keeps its stored name; a new file under a taken name gets the day, then a number."""
-    found = file_fingerprints(lines)
+def resolve_sources(lines: DataFrame, sources: DataFrame, day: str | None = None) -> DataFrame:
+    """(source_file, fingerprint, name, is_new) of each file; with its path where lines have one.
+
+    A known file, told by its first line, keeps its stored name whatever it is called
+    now, and of several new files with one first line all get the first one's. A new
+    file under a taken name gets the day (or that of its first event), then a number.
+    """
+    file = ["path"] if "path" in lines.columns else ["source_file"]
+    first_day = F.lit(day) if day is not None else F.date_format(F.min("ts"), "yyyy-MM-dd")
+    found = lines.groupBy(*dict.fromkeys([*file, "source_file"])).agg(F.sha2(F.min_by("raw", "line_no"), 256).alias("fingerprint"), first_day.alias("day"))
     known = sources.select("fingerprint", F.col("name").alias("stored"))
-    taken = sources.select(F.col("name").alias("source_file"), F.lit(True).alias("taken"))
-    joined = found.join(known, "fingerprint", "left").join(taken, "source_file", "left")
-    dated = F.concat("source_file", F.lit(f" ({day}"))
-    # How many names of this day are given out already for the file name.
-    given = sources.select(F.regexp_extract("name", rf"^(.*) \({day}(?:, \d+)?\)$", 1).alias("source_file"), "name").where("source_file <> ''").groupBy("source_file").agg(F.count("*").alias("given"))
-    joined = joined.join(given, "source_file", "left").withColumn("given", F.coalesce("given", F.lit(0)))
-    fresh = F.when(F.col("taken").isNull(), F.col("source_file")).when(F.col("given") == 0, F.concat(dated, F.lit(")"))).otherwise(F.concat(dated, F.lit(", "), (F.col("given") + 1).cast("string"), F.lit(")")))
-    return joined.select("source_file", "fingerprint", F.coalesce("stored", fresh).alias("name"), F.col("stored").isNull().alias("is_new"))
+    new = found.join(known, "fingerprint", "left_anti").groupBy("fingerprint").agg(F.min_by(F.struct("source_file", "day"), F.struct(*file)).alias("of"))
+    new = new.select("fingerprint", "of.source_file", "of.day")
+    taken = sources.select(F.col("name").alias("source_file"), F.lit(1).alias("taken")).distinct()
+    # How many names with a day are given out already for each file name and day.
+    dated = sources.select(F.regexp_extract("name", r"^(.*) \((\d{4}-\d\d-\d\d)(?:, \d+)?\)$", 1).alias("source_file"), F.regexp_extract("name", r"^(.*) \((\d{4}-\d\d-\d\d)(?:, \d+)?\)$", 2).alias("day"))
+    given = dated.where("source_file <> ''").groupBy("source_file", "day").agg(F.count("*").alias("given"))
+    place = F.row_number().over(Window.partitionBy("source_file").orderBy("fingerprint"))
+    new = new.join(taken, "source_file", "left").withColumn("extra", place - 1 + F.coalesce("taken", F.lit(0)))
+    among = F.count_if(F.col("extra") > 0).over(Window.partitionBy("source_file", "day").orderBy("fingerprint"))
+    new = new.join(given, ["source_file", "day"], "left").withColumn("number", F.coalesce("given", F.lit(0)) + among)
+    said = F.concat("source_file", F.lit(" ("), "day")
+    fresh = F.when(F.col("extra") == 0, F.col("source_file")).when(F.col("number") == 1, F.concat(said, F.lit(")"))).otherwise(F.concat(said, F.lit(", "), F.col("number").cast("string"), F.lit(")")))
+    named = found.join(known, "fingerprint", "left").join(new.select("fingerprint", fresh.alias("fresh")), "fingerprint", "left")
+    return named.select(*dict.fromkeys([*file, "source_file"]), "fingerprint", F.coalesce("stored", "fresh").alias("name"), F.col("stored").isNull().alias("is_new"))
 
 
 def classify_lines(new: DataFrame, stored: DataFrame) -> DataFrame:
@@ -98,6 +121,14 @@ def classify_lines(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(held, ["source_file", "line_no"], "left").withColumn("status", status).drop("stored_raw")
 
 
+def once_each(classified: DataFrame) -> DataFrame:
+    """Of several fresh lines with one file and number the first text stays fresh; the others are its duplicates or in conflict with it."""
+    same = Window.partitionBy("source_file", "line_no").orderBy("raw")
+    again = (F.col("status") == "fresh") & (F.row_number().over(same) > 1)
+    other = F.when(F.col("raw") == F.first("raw").over(same), "duplicate").otherwise("conflict")
+    return classified.withColumn("status", F.when(again, other).otherwise(F.col("status")))
+
+
 def ingest_report(classified: DataFrame) -> DataFrame:
     """Per file: lines = parsed + unparsed + duplicates + conflicts."""
     fresh = F.col("status") == "fresh"
@@ -112,19 +143,31 @@ def lines_after(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(last, "source_file", "left").where(F.col("last_line").isNull() | (F.col("line_no") > F.col("last_line"))).drop("last_line")
 
 
-def append_events(fresh: DataFrame, table_path: str) -> None:
-    """Append events whose (source_file, line_no) the table does not have, partitioned by day."""
-    spark = fresh.sparkSession
+def read_if_there(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """A table that may not have been written yet: then without rows."""
     try:
-        stored = spark.read.parquet(table_path)
-    except Exception as e:  # noqa: BLE001 - no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        stored = None
-    new = fresh.dropDuplicates(["source_file", "line_no"])
-    if stored is not None:
-        new = new.join(stored.select("source_file", "line_no"), ["source_file", "line_no"], "left_anti")
-    new.withColumn("event_date", F.to_date("ts")).write.mode("append").partitionBy("event_date").parquet(table_path)
+        return spark.createDataFrame([], schema)
+
+
+def append_events(events: DataFrame, table_path: str) -> DataFrame:
+    """Append events whose (source_file, line_no) the table does not have, partitioned by day; the report of ingest_report.
+
+    A line whose number is stored with another text is not appended and is counted in
+    the report as a conflict. What became of each line is written once, before the table
+    changes, so the report stays true.
+    """
+    spark = events.sparkSession
+    stored = read_if_there(spark, table_path, events.schema)
+    path = f"{scratch_dir(spark)}/classified-{uuid.uuid4().hex}"
+    once_each(classify_lines(events, stored.select("source_file", "line_no", "raw"))).write.parquet(path)
+    told = spark.read.parquet(path)
+    fresh = told.where("status = 'fresh'").select(*events.columns)
+    fresh.withColumn("event_date", F.to_date("ts")).write.mode("append").partitionBy("event_date").parquet(table_path)
+    return ingest_report(told)
 
 
 def write_alerts(alerts: DataFrame, evidence: DataFrame, path: str) -> None:

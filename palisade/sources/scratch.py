@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
+@functools.cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """What the cluster names in spark.checkpoint.dir; a local folder only where that is unset."""
-    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """What the cluster names in spark.checkpoint.dir; where that is unset a folder of this machine, if all of Spark runs on it."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _local_dir(spark.sparkContext.applicationId)

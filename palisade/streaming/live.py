@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,8 +17,10 @@ from palisade.operators.filters import counted_events, match_filter
 from palisade.operators.parse import parse_events
 from palisade.operators.reports import BUCKETS
 from palisade.operators.rules import Keyword, Rule, Sequence, fingerprint
-from palisade.sources.lines import append_events, read_log_lines
+from palisade.sources.lines import append_events, read_if_there, read_log_lines, resolve_sources
+from palisade.sources.scratch import scratch_dir
 
+LINE_COLUMNS = ("source_file", "line_no", "raw")
 REPORT = "batch_id long, lines long, alerts long"
 
 
@@ -27,15 +30,45 @@ def stream_lines(spark: SparkSession, folder: str, most_files: int = 1000) -> Da
     return text.select("value", F.col("_metadata.file_path").alias("file"))
 
 
+def store_logs(spark: SparkSession, files: str | list[str], table_path: str, parser: str = "auto", year: int | None = None, zone: str = "UTC", modified_after: str | None = None) -> DataFrame:
+    """Store the lines of files that the table does not have yet, as events; the report per file.
+
+    A file is known by its first line: one that has grown, or was renamed when logs
+    rotated, goes on under its stored name, and two files of one name are kept apart.
+    Names and first lines stand beside the table, at ``<table_path>.sources``. A step that
+    failed half-way can be run again.
+    """
+    lines = read_log_lines(spark, files, with_path=True, modified_after=modified_after)
+    by_path = lines.withColumn("base", F.col("source_file")).withColumn("source_file", F.col("path"))
+    parsed = written_once(parse_events(by_path.select(*LINE_COLUMNS), parser, year, zone), "parsed")
+    named = parsed.select(F.col("source_file").alias("path"), "line_no", "raw", "ts").join(by_path.select("path", F.col("base").alias("source_file")).distinct(), "path")
+    sources = read_if_there(spark, f"{table_path}.sources", "name string, fingerprint string")
+    names = written_once(resolve_sources(named, sources), "sources")
+    told = parsed.withColumnRenamed("source_file", "path").join(names.select("path", "name"), "path")
+    report = append_events(told.select(F.col("name").alias("source_file"), *parsed.columns[1:]), table_path)
+    names.where("is_new").select("name", "fingerprint").distinct().write.mode("append").parquet(f"{table_path}.sources")
+    return report
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def follow_logs(spark: SparkSession, folder: str, table_path: str, checkpoint: str, parser: str = "auto", year: int | None = None, zone: str = "UTC"):
-    """Store each line of landed files once, as events; running it again goes on where it stopped."""
+    """Store each line of landed files once, as events; running it again goes on where it stopped.
+
+    The report of each batch is kept at ``<table_path>.reports``. Files that grow in place
+    are not landed anew: for those run store_logs again and again with ``modified_after``.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         # At most ``most_files`` names a trigger.
         files = [r[0] for r in batch.select("file").distinct().collect()]
         if files:
-            lines = read_log_lines(batch.sparkSession, files)
-            append_events(parse_events(lines, parser, year, zone), table_path)
+            report = store_logs(batch.sparkSession, files, table_path, parser, year, zone)
+            report.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table_path}.reports/batch={batch_id}")
 
     stream = stream_lines(spark, folder)
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -207,8 +207,14 @@ def test_life_of_alerts(spark):
     assert A.drop_orphans(new, []).count() == 0
     marks = A.with_highlights(frame(spark, new_rows), evidence, new).where("id = 6").first().highlights
     assert [(m.alert_key, m.start) for m in marks] == [("T:192.0.2.9:1", None)]
-    few = A.events_around(new, frame(spark, new_rows))
-    assert sorted(few.collect()) == sorted(A.events_around(new, frame(spark, new_rows), most_broadcast=0).collect())
+    for margin in (None, 2, 5000):
+        spread = [event(100 + k, k * 37 - 3000, ip="192.0.2.7") for k in range(200)]
+        bounds = {r.alert_key: (r.first_seen, r.last_seen) for r in new.collect()}
+        extra = {k: timedelta(seconds=margin if margin is not None else max(60, (b - a).total_seconds() / 4)) for k, (a, b) in bounds.items()}
+        want = {(k, r[0]) for k, (a, b) in bounds.items() for r in new_rows + spread if a - extra[k] <= r[1].replace(tzinfo=None) < b + extra[k] + timedelta(seconds=1)}
+        got = A.events_around(new, frame(spark, new_rows + spread), margin).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want) > 10
+    assert A.events_around(new.limit(0), frame(spark, new_rows)).collect() == []
 
 
 def test_days_do_not_cut_islands(spark):

@@ -52,3 +52,32 @@ def test_following_files(spark, tmp_path):
     S.follow_logs(spark, folder, store, state).awaitTermination()
     S.follow_logs(spark, folder, store, state).awaitTermination()
     assert sorted((r.source_file, r.line_no, r.user) for r in spark.read.parquet(store).collect()) == [("a.log", k + 1, f"u{k}") for k in range(5)] + [("b.log", k - 4, f"u{k}") for k in range(5, 8)]
+
+
+def test_names_growth_and_conflicts(spark, tmp_path):
+    store = str(tmp_path / "events")
+    line = lambda k, n="x": f"{(T0 + timedelta(seconds=k)).strftime('%Y-%m-%dT%H:%M:%S+00:00')} web sshd[1]: Invalid user {n}{k} from 192.0.2.1\n"
+    for host, n in (("h1", "a"), ("h2", "b"), ("h3", "a")):
+        (tmp_path / host).mkdir()
+        (tmp_path / host / "auth.log").write_text("".join(line(k, n) for k in range(3)))
+    rows = lambda: sorted((r.source_file, r.line_no, r.user) for r in spark.read.parquet(store).collect())
+    report = lambda r: sorted(tuple(x) for x in r.collect())
+    folders = [str(tmp_path / h) for h in ("h1", "h2", "h3")]
+    day = T0.strftime("%Y-%m-%d")
+    first = S.store_logs(spark, folders, store)
+    names = {r.user: r.source_file for r in spark.read.parquet(store).collect()}
+    assert {names["a0"], names["b0"]} == {"auth.log", f"auth.log ({day})"}
+    # h3 has the lines of h1, so it is the same file.
+    assert report(first) == sorted([(names["a0"], 6, 3, 0, 3, 0), (names["b0"], 3, 3, 0, 0, 0)])
+    (tmp_path / "h1" / "auth.log").rename(tmp_path / "h1" / "auth.log.1")
+    with (tmp_path / "h1" / "auth.log.1").open("a") as f:
+        f.write(line(3, "a"))
+    (tmp_path / "h1" / "auth.log").write_text(line(9, "c"))
+    (tmp_path / "h2" / "auth.log").write_text(line(0, "b") + line(1, "edited") + line(2, "b"))
+    second = S.store_logs(spark, folders, store)
+    assert {r[0]: r[1:] for r in report(second)} == {names["a0"]: (7, 1, 0, 6, 0), names["b0"]: (3, 0, 0, 2, 1), f"auth.log ({day}, 2)": (1, 1, 0, 0, 0)}
+    assert (names["a0"], 4, "a3") in rows() and len(rows()) == 8 and (names["b0"], 2, "b1") in rows()
+    both = spark.createDataFrame([("f", 1, "p", True, T0), ("f", 1, "q", True, T0), ("f", 1, "p", True, T0)], "source_file string, line_no long, raw string, parsed boolean, ts timestamp")
+    from palisade.sources.lines import append_events
+
+    assert report(append_events(both, str(tmp_path / "other"))) == [("f", 3, 1, 0, 1, 1)]

@@ -73,6 +73,8 @@ def test_years_and_zones(spark):
     assert [r.ts.year for r in rows] == [2023, 2024, 2023, 2024, 2024]
     bad = parsed(spark, "Dec 31 23:59:58 a x: 1", "Feb 28 00:00:01 a x: 2", "Feb 29 00:00:00 a x: 3", year=2021)
     assert bad[2].message == "Feb 29 00:00:00 a x: 3"
+    leap = parsed(spark, "Feb 28 10:00:00 a x: 1", "Feb 29 10:00:00 a x: 2", "Mar  1 10:00:00 a x: 3", year=2023)
+    assert [r.ts for r in leap] == [datetime(2023, 2, 28, 10), datetime(2024, 2, 29, 10), datetime(2024, 3, 1, 10)]
     summer = parsed(spark, "Jan 15 12:00:00 a x: 1", "Mar 15 12:00:00 a x: 1", "Jul 15 12:00:00 a x: 2", zone="Europe/Berlin")
     assert [r.ts.hour for r in summer] == [11, 11, 10]
     guessed = parsed(spark, "Mar  5 12:00:00 a x: 1", year=None, today="2024-03-04")
@@ -89,6 +91,14 @@ def test_undated_and_refused(spark):
     assert [r.source_file for r in refused.collect()] == ["big"] and kept.count() == 1001
 
 
+def test_blocks_do_not_matter(spark, monkeypatch):
+    raw = [f"{m} {d:2d} 10:00:{k % 60:02d} a sshd: Invalid user u{k} from 192.0.2.1" if k % 4 else f"undated {k}" for k, (m, d) in enumerate((m, d) for m in ("Nov", "Dec", "Jan", "Feb") for d in range(1, 30) for _ in range(2))]
+    whole = [tuple(r) for r in parsed(spark, *raw, year=2022)]
+    assert {r[3].year for r in whole} == {2022, 2023, 2024}
+    monkeypatch.setattr(G, "BLOCK", 7)
+    assert [tuple(r) for r in parsed(spark, *raw, year=2022)] == whole
+
+
 def test_files(spark, tmp_path):
     import bz2
     import gzip
