@@ -9,6 +9,7 @@ priority, or of the same priority and longer, is suppressed.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -203,35 +204,71 @@ def _base(norm: Column, n_words: Column) -> dict[str, Column]:
     return {"n_base": sum(n.values(), F.lit(0)).cast("long"), "first_word": F.least(*first).cast("long"), "last_word": F.greatest(*last).cast("long"), "base": F.array_sort(labels)}
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, outside of generated code, which hundreds of rules would make too large."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """The array of what its elements up to each give combined, in as many passes as its size has digits."""
+
+    def passes(start: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(start), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+        return F.aggregate(steps, start, lambda acc, step: F.transform(acc, lambda x, i: F.when(i >= step, combine(F.get(acc, i - step), x)).otherwise(x)))
+
+    return _let(values, passes)
+
+
 def _detections(norm: Column, chosen: list[Rule]) -> Column:
     """Every match of every rule whose keyword occurs, as (a, b, priority, label, confidence)."""
     table = F.array(*[F.struct(*(F.lit(v).alias(k) for k, v in r._asdict().items())) for r in chosen])
-    tried = F.filter(table, lambda r: F.contains(norm, r["keyword"]))
-
-    def matches(rule: Column) -> Column:
-        gaps = F.transform(F.split(norm, rule["pattern"], -1), F.char_length)
-        found = F.transform(F.regexp_extract_all(norm, rule["pattern"], F.lit(0)), F.char_length)
-        empty = F.expr("CAST(array() AS array<struct<a:int,b:int>>)")
-        spans = F.aggregate(
-            F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("len")),
-            F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-            lambda acc, x: F.struct(
-                (acc["at"] + x["gap"] + x["len"]).alias("at"),
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("a"), (acc["at"] + x["gap"] + x["len"]).alias("b")))).alias("spans"),
-            ),
-            lambda acc: acc["spans"],
-        )
-        return F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
-
-    return F.flatten(F.transform(tried, matches))
+    by_keyword: dict[str, list[int]] = {}
+    for k, r in enumerate(chosen):
+        by_keyword.setdefault(r.keyword, []).append(k)
+    nothing = F.expr("CAST(array() AS array<struct<rule:int,found:array<string>>>)")
+
+    def tried(text: Column) -> Column:
+        rule = lambda k: F.struct(F.lit(k).alias("rule"), F.regexp_extract_all(text, F.lit(chosen[k].pattern), F.lit(0)).alias("found"))
+        return F.concat(*[F.when(F.contains(text, F.lit(word)), F.array(*map(rule, ks))).otherwise(nothing) for word, ks in by_keyword.items()])
+
+    def matches(text: Column, rule: Column, found: Column) -> Column:
+        lengths = F.transform(found, F.char_length)
+        gaps = F.slice(F.transform(F.split(text, rule["pattern"], -1), F.char_length), F.lit(1), F.size(found))
+        ends = _running(F.zip_with(gaps, lengths, lambda gap, n: gap + n), lambda x, y: x + y)
+        return F.zip_with(ends, lengths, lambda end, n: F.struct((end - n).alias("a"), end.alias("b"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
+
+    def all_matches(text: Column) -> Column:
+        hit = F.filter(tried(text), lambda t: F.size(t["found"]) > 0)
+        return F.flatten(F.transform(hit, lambda t: matches(text, F.element_at(table, t["rule"] + 1), t["found"])))
+
+    return _let(norm, all_matches)
 
 
 def _unsuppressed(found: Column) -> Column:
-    def inside(d: Column, e: Column) -> Column:
-        longer = (e["b"] - e["a"]) > (d["b"] - d["a"])
-        return (e["a"] <= d["a"]) & (e["b"] >= d["b"]) & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & longer))
+    """What no detection of a higher priority contains, nor a longer one of the same priority.
+
+    In order of start (the longer first) a detection is contained in one before it if the
+    furthest end so far reaches its own; of the first ones to get there the start counts.
+    """
+    levels = sorted({r.priority for r in rules()})
+    reach = lambda end, start: F.struct(end.alias("end"), (-start).alias("back"))
+    none = reach(F.lit(-1), F.lit(0))
+
+    def swept(rows: Column) -> Column:
+        # For each priority, the furthest end so far and the earliest start of one that gets there.
+        fronts = [_running(F.transform(rows, lambda d: F.when(d["priority"] == p, reach(d["b"], d["a"])).otherwise(none)), lambda x, y: F.greatest(x, y)) for p in levels]  # noqa: B023
+
+        def free(d: Column, *so_far: Column) -> Column:
+            higher = F.greatest(F.lit(-1), *(F.when(F.lit(p) > d["priority"], f["end"]).otherwise(F.lit(-1)) for p, f in zip(levels, so_far, strict=True)))
+            own = F.coalesce(*(F.when(d["priority"] == p, f) for p, f in zip(levels, so_far, strict=True)))
+            return (higher < d["b"]) & (own == reach(d["b"], d["a"]))
+
+        zipped = F.arrays_zip(rows.alias("d"), *(f.alias(f"f{k}") for k, f in enumerate(fronts)))
+        kept = F.filter(zipped, lambda z: free(z["d"], *(z[f"f{k}"] for k in range(len(levels)))))
+        return F.transform(kept, lambda z: z["d"])
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: inside(d, e)))
+    order = F.array_sort(F.transform(found, lambda d: F.struct(d["a"].alias("a"), (-d["b"]).alias("z"), (-d["priority"]).alias("y"), d.alias("d"))))
+    return _let(F.transform(order, lambda o: o["d"]), swept)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

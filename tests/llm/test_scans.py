@@ -216,3 +216,16 @@ def test_license_gate_lets_every_rule_through(spark):
 @pytest.mark.parametrize("operator", [secrets.find_secrets, licenses.scan_licenses])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], "doc_id long, text string, labels string")).collect() == []
+
+
+def test_license_detections_of_a_very_long_text(spark):
+    import time
+
+    long = "mit license and gnu general public license version 2, " * 20_000
+    df = spark.createDataFrame([(1, long), (2, long[:54])], "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert time.time() - began < 120
+    one = [(d.a, d.b, d.label) for d in rows[2].detections]
+    assert len(one) == 2 and len(rows[1].detections) == 40_000 and rows[1].n_base == 40_000
+    assert [(d.a, d.b, d.label) for d in rows[1].detections[-2:]] == [(a + 19_999 * 53, b + 19_999 * 53, label) for a, b, label in one]
