@@ -1,10 +1,13 @@
 """Quotation linking of conversations, in DataFrame functions only.
 
-Lines that start with ``>`` are quotes; the number of markers is the level. Every
-quoted line is normalised and hashed and joined to the latest earlier message of the
-conversation that has the line as its own text; a message replies to the message that
-most of its least nested quoted lines come from. Replies hang under what they answer,
-quotes are cut out.
+Lines that start with ``>`` are quotes; the number of markers is the level. Lines in a
+row of one level are a passage, whose words are normalised: case, blanks and line breaks
+do not matter, so a quote that was wrapped anew is still itself. A passage is hashed in
+windows of WINDOW words (a shorter one as a whole) and joined to the latest earlier
+messages of the conversation that have these windows (or that line) as their own text;
+it comes from the message that most of them, and at least half, are found in. A message
+replies to the message that most words of its least nested passages come from. Replies
+hang under what they answer, quotes are cut out.
 """
 
 from __future__ import annotations
@@ -15,37 +18,68 @@ from pyspark.sql import functions as F
 from palisade.llm.common import written
 
 MARK = r"^[ \t]*((?:>[ \t]?)+)"
+#: Words of a passage that are hashed together.
+WINDOW = 6
 
 
-def normalised(line: Column) -> Column:
-    """Lower-case A-Z, blanks made one, ends trimmed."""
-    return F.trim(F.regexp_replace(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[ \t\r]+", " "))
+def words_of(line: Column) -> Column:
+    """Words between blanks, A-Z lower-cased."""
+    return F.array_remove(F.split(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[ \t\r]+", -1), "")
 
 
-def quote_lines(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, at, level, body, norm) of every line of every message; level 0 is own text."""
-    lines = messages.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "line"))
-    mark = F.regexp_extract("line", MARK, 1)
-    level = F.char_length(mark) - F.char_length(F.replace(mark, F.lit(">"), F.lit("")))
-    body = F.when(level > 0, F.regexp_replace("line", MARK, "")).otherwise(F.col("line"))
-    return lines.select("conv_id", "turn", "at", level.alias("level"), body.alias("body"), normalised(body).alias("norm"))
+def passages(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, message, place, level, lines) of every passage of every message: the words of each of its lines; level 0 is own text."""
+    rows = messages.select("conv_id", "turn", F.xxhash64("text").alias("message"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
 
+    def read(line: Column) -> Column:
+        mark = F.regexp_extract(line, MARK, 1)
+        level = F.char_length(mark) - F.char_length(F.replace(mark, F.lit(">"), F.lit("")))
+        return F.struct(level.alias("level"), words_of(F.when(level > 0, F.regexp_replace(line, MARK, "")).otherwise(line)).alias("words"))
+
+    rows = rows.select("conv_id", "turn", "message", F.transform("lines", read).alias("lines"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda k: (k == 1) | (F.get("lines", k - 1)["level"] != F.get("lines", k - 2)["level"]))
+    rows = rows.withColumn("starts", starts)
+    stop = lambda at: F.coalesce(F.get("starts", at + 1), F.size("lines") + 1)
+    cut = F.transform("starts", lambda k, at: F.struct(F.get("lines", k - 1)["level"].alias("level"), F.transform(F.slice("lines", k, stop(at) - k), lambda x: x["words"]).alias("lines")))
+    return rows.select("conv_id", "turn", "message", F.posexplode(cut).alias("place", "p")).select("conv_id", "turn", "message", "place", "p.level", "p.lines")
+
+
+def digest_of(words: Column) -> Column:
+    """96 bits of hash and the number of words."""
+    text = F.array_join(words, " ")
+    return F.struct(F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), F.size(words).alias("n"))
 
-def reply_links(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_to, n_matched): the message each quoting message answers.
 
-    Only messages with a quoted line, and lines of conversations that have one, are
-    looked at further. Passages are compared by 128 bits of hash and level.
+def passage_sources(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, message, place, level, n_words, source): the earlier message that each quoted passage comes from.
+
+    Only conversations that have a quote are looked at further.
     """
-    lines = quote_lines(messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")).where("norm <> ''")
-    digest = F.struct(F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"), F.char_length("norm").alias("n"))
-    quoting = lines.where("level > 0").select("conv_id").distinct()
-    hashed = lines.join(quoting, "conv_id", "left_semi").select("conv_id", "turn", "level", digest.alias("digest"))
-    said = hashed.groupBy("conv_id", "digest", "turn", F.when(F.col("level") > 0, F.col("level")).otherwise(F.lit(0)).alias("level")).agg(F.count("*").alias("times"))
-    # The latest earlier owner of the line: one pass in order of turns, not a join of all pairs.
+    found = passages(messages.where("conv_id IS NOT NULL AND turn IS NOT NULL"))
+    quoting = found.where("level > 0").select("conv_id").distinct()
+    found = found.join(quoting, "conv_id", "left_semi").withColumn("words", F.flatten("lines")).where(F.size("words") > 0)
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - WINDOW, F.lit(0)) + 1), lambda k: F.slice("words", k, WINDOW))
+    # A short quote has to be a whole line, or a whole passage, of the original.
+    short = F.filter("lines", lambda w: (F.col("level") == 0) & (F.size(w) > 0) & (F.size(w) < WINDOW))
+    keys = F.transform(F.concat(windows, short), digest_of)
+    said = found.select("conv_id", "turn", "message", "place", "level", F.size("words").alias("n_words"), F.posexplode(keys).alias("at", "digest"))
+    own = said.where("level = 0").select("conv_id", "digest", "turn").distinct()
+    quotes = said.where("level > 0").distinct()
+    nothing = {c: F.lit(None).cast(quotes.schema[c].dataType) for c in quotes.columns if c not in own.columns}
+    both = own.withColumns(nothing).select(*quotes.columns).unionByName(quotes)
+    # The latest earlier owner: one pass in order of turns, not a join of all pairs.
     before = Window.partitionBy("conv_id", "digest").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    owned = said.withColumn("source", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(before))
-    votes = owned.where("level > 0 AND source IS NOT NULL").groupBy("conv_id", "turn", "level", "source").agg(F.sum("times").alias("matched"))
+    owned = both.withColumn("source", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(before)).where("level IS NOT NULL")
+    passage = ["conv_id", "turn", "message", "place", "level", "n_words"]
+    votes = owned.groupBy(*passage, "source").agg(F.count("*").alias("votes"))
+    best = F.max(F.when(F.col("source").isNotNull(), F.struct("votes", "source")))
+    told = votes.groupBy(*passage).agg(best.alias("best"), F.sum("votes").alias("all"))
+    return told.where(2 * F.col("best.votes") >= F.col("all")).select(*passage, F.col("best.source").alias("source"))
+
+
+def reply_links(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, reply_to, n_matched): the message each quoting message answers, and the quoted words from there."""
+    votes = passage_sources(messages).groupBy("conv_id", "turn", "level", "source").agg(F.sum("n_words").alias("matched"))
     rank = F.struct((-F.col("level")).alias("shallow"), F.col("matched"), F.col("source"))
     return votes.groupBy("conv_id", "turn").agg(F.max(rank).alias("best")).select("conv_id", "turn", F.col("best.source").alias("reply_to"), F.col("best.matched").alias("n_matched"))
 
@@ -74,8 +108,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     answers always comes before it. A message without a resolved quote begins a thread
     of its own (reply_to null, depth 0). A null text counts as empty; messages with a
     null conv_id or turn take no part in linking; of several messages with one turn
-    all answer alike; repeated rows stay repeated; an empty table gives no rows. Only
-    earlier turns can be answered, so there are no cycles.
+    all answer alike; repeated rows stay repeated; very long texts are read whole; other
+    columns are ignored; an empty table gives no rows. Only earlier turns can be
+    answered, so there are no cycles.
     """
     links = written(reply_links(messages), "chat-links")
     placed = links.join(thread_places(links), ["conv_id", "turn"]).drop("n_matched")
@@ -94,3 +129,21 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         "body",
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>")).alias("rendered"),
     )
+
+
+def build_conversations(linked: DataFrame) -> DataFrame:
+    """(conv_id, thread_turn, n_messages, text): each thread of link_quotations as one text in reply order, without quotes.
+
+    A thread is one row, so it has to fit into one; link_quotations itself gathers nothing.
+    """
+    turn = F.struct("depth", "reply_to", "turn", "rendered")
+    threads = linked.groupBy("conv_id", "thread_turn").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return threads.select("conv_id", "thread_turn", F.size("turns").alias("n_messages"), F.array_join(F.transform("turns", lambda t: t["rendered"]), "\n").alias("text"))
+
+
+def quoted_view(messages: DataFrame) -> DataFrame:
+    """messages in which turns quote: each the text of the turn before it, every third also, one level deeper, the one before that."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    quote = lambda back, mark: F.concat(F.lit(mark), F.replace(F.lag("text", back).over(order), F.lit("\n"), F.lit(f"\n{mark}")), F.lit("\n"))
+    deep = F.when(F.col("turn") % 3 == 2, quote(2, "> > "))
+    return messages.select("conv_id", "turn", "role", F.concat(F.coalesce(deep, F.lit("")), F.coalesce(quote(1, "> "), F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palisade.llm import archive, decontaminate, mixing
+from palisade.llm import archive, chat, decontaminate, mixing
 
 UPPER, LOWER = decontaminate.UPPER, decontaminate.LOWER
 
@@ -17,17 +17,32 @@ SELECT p.page_id, p.n AS payload_bytes, sha1(p.html) AS payload_digest,
 FROM p LEFT JOIN owners o ON p.html = o.html"""
 
 _MARK = r"^[ \t]*((?:>[ \t]?)+)"
-OP7 = rf"""
-WITH RECURSIVE texts AS (SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
-raw AS (SELECT conv_id, turn, k, lines[k] AS line, regexp_extract(lines[k], '{_MARK}', 1) AS mark FROM texts, range(1, len(lines) + 1) t(k)),
+_QUOTED_VIEW = """SELECT conv_id, turn, role, coalesce(CASE WHEN turn % 3 = 2 THEN '> > ' || replace(lag(text, 2) OVER o, chr(10), chr(10) || '> > ') || chr(10) END, '')
+  || coalesce('> ' || replace(lag(text, 1) OVER o, chr(10), chr(10) || '> ') || chr(10), '') || coalesce(text, '') AS text FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)"""
+
+
+def quotations(relation: str) -> str:
+    return rf"""
+WITH RECURSIVE rel AS ({relation}),
+texts AS (SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM rel),
+messages AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT conv_id, turn, lines FROM texts WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+raw AS (SELECT id, conv_id, turn, k, lines[k] AS line, regexp_extract(lines[k], '{_MARK}', 1) AS mark FROM messages, range(1, len(lines) + 1) t(k)),
 leveled AS (
-  SELECT conv_id, turn, k, length(mark) - length(replace(mark, '>', '')) AS level,
-    trim(regexp_replace(translate(CASE WHEN mark <> '' THEN regexp_replace(line, '{_MARK}', '') ELSE line END, '{UPPER}', '{LOWER}'), '[ \t\r]+', ' ', 'g')) AS norm FROM raw),
-found AS (
-  SELECT q.conv_id, q.turn, q.level, q.k, max(o.turn) AS source FROM leveled q JOIN leveled o
-    ON o.conv_id = q.conv_id AND o.norm = q.norm AND o.level = 0 AND q.level > 0 AND o.turn < q.turn AND q.norm <> '' GROUP BY ALL),
-votes AS (SELECT conv_id, turn, level, source, count(*) AS matched FROM found GROUP BY ALL),
-links AS (SELECT conv_id, turn, arg_max(source, (-level, matched, source)) AS reply_to FROM votes GROUP BY conv_id, turn),
+  SELECT id, conv_id, turn, k, length(mark) - length(replace(mark, '>', '')) AS level,
+    list_filter(regexp_split_to_array(translate(CASE WHEN mark <> '' THEN regexp_replace(line, '{_MARK}', '') ELSE line END, '{UPPER}', '{LOWER}'), '[ \t\r]+'), lambda x: x <> '') AS w FROM raw),
+steps AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY id ORDER BY k) THEN 0 ELSE 1 END AS step FROM leveled),
+placed AS (SELECT *, sum(step) OVER (PARTITION BY id ORDER BY k) AS p FROM steps),
+passages AS (SELECT id, conv_id, turn, p, any_value(level) AS level, flatten(list(w ORDER BY k)) AS w FROM placed GROUP BY id, conv_id, turn, p),
+windows AS (
+  SELECT id, conv_id, turn, p, level, len(w) AS n, i, array_to_string(w[i:i + {chat.WINDOW - 1}], ' ') AS key FROM passages, range(1, greatest(len(w) - {chat.WINDOW}, 0) + 2) t(i) WHERE len(w) > 0),
+own AS (
+  SELECT conv_id, turn, key FROM windows WHERE level = 0
+  UNION SELECT conv_id, turn, array_to_string(w, ' ') FROM placed WHERE level = 0 AND len(w) BETWEEN 1 AND {chat.WINDOW - 1}),
+found AS (SELECT q.*, max(o.turn) AS source FROM windows q LEFT JOIN own o ON o.conv_id = q.conv_id AND o.key = q.key AND o.turn < q.turn WHERE q.level > 0 GROUP BY ALL),
+votes AS (SELECT id, conv_id, turn, p, level, n, source, count(*) AS votes, sum(count(*)) OVER (PARTITION BY id, p) AS total FROM found GROUP BY id, conv_id, turn, p, level, n, source),
+sources AS (SELECT id, conv_id, turn, p, level, n, arg_max(source, (votes, source)) AS source, max(votes) AS votes, any_value(total) AS total FROM votes WHERE source IS NOT NULL GROUP BY id, conv_id, turn, p, level, n),
+matched AS (SELECT conv_id, turn, level, source, sum(n) AS matched FROM sources WHERE 2 * votes >= total GROUP BY ALL),
+links AS (SELECT conv_id, turn, arg_max(source, (-level, matched, source)) AS reply_to FROM matched GROUP BY conv_id, turn),
 places AS (
   SELECT conv_id, turn, reply_to AS up, 1::BIGINT AS depth FROM links
   UNION ALL
@@ -41,6 +56,9 @@ SELECT b.conv_id, b.turn, b.role, l.reply_to, coalesce(r.thread_turn, b.turn) AS
 FROM bodies b LEFT JOIN links l ON l.conv_id = b.conv_id AND l.turn = b.turn LEFT JOIN roots r ON r.conv_id = b.conv_id AND r.turn = b.turn"""
 
 
+OP7, QUOTED = quotations("SELECT * FROM conversations"), quotations(_QUOTED_VIEW)
+
+
 def _words(name: str, key: str) -> str:
     return rf"SELECT {key}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {name}"
 
@@ -62,4 +80,4 @@ alike AS (SELECT doc_id, item_id, n, s, shared / (m + item_m - shared) AS simila
 SELECT doc_id, item_id, arg_max(s, (similarity, -s))::INT AS first_word, any_value(n)::INT AS n_words, max(similarity) AS similarity
 FROM alike WHERE similarity >= {decontaminate.SIMILARITY} GROUP BY doc_id, item_id"""
 
-ORACLES = {"op4_mixing": OP4, "op5_warc": OP5, "op7_quotations": OP7, "op9_decontamination": OP9}
+ORACLES = {"op4_mixing": OP4, "op5_warc": OP5, "op7_quotations": OP7, "quoted_conversations": QUOTED, "op9_decontamination": OP9}

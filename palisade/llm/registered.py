@@ -45,6 +45,11 @@ def op7_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_quotations(table(spark, sf_dir, "conversations"))
 
 
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's operator over conversations whose turns quote earlier ones at one and two levels."""
+    return chat.link_quotations(chat.quoted_view(table(spark, sf_dir, "conversations")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -74,6 +79,7 @@ def queries() -> dict[str, Query]:
         "op5_warc": op5_warc,
         "op6_suffixes": op6_suffixes,
         "op7_quotations": op7_quotations,
+        "quoted_conversations": quoted_conversations,
         "op8_quality": op8_quality,
         "op9_decontamination": op9_decontamination,
         "op10_licenses": op10_licenses,

@@ -154,6 +154,26 @@ def test_quotation_links(spark):
     assert chat.link_quotations(df.limit(0)).collect() == []
 
 
+def test_wrapped_partial_and_nested_quotes(spark):
+    long = "The first paragraph of this message has a good many words so that it has to be wrapped.\nAnother one follows here, which nobody quotes at all."
+    rows = [
+        (1, 0, "u", long),
+        (1, 1, "u", "Thanks,\nann and a few more words to make this message longer"),
+        (1, 2, "u", "> The first paragraph of this message\n> has a good many words so that it\n> has to be WRAPPED.\n\nIndeed.\n\n> Thanks,"),
+        (1, 3, "u", "> > first paragraph of this message has a good many words\n> Indeed.\nYes."),
+        (1, 4, "u", "> words that stand nowhere in any earlier message, and first paragraph\nno"),
+        (1, 5, "u", None),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS message", "2 AS level", "3 AS place")
+    got = {r.turn: r for r in chat.link_quotations(df).collect()}
+    assert [got[k].reply_to for k in range(6)] == [None, None, 0, 2, None, None]
+    sources = {(r.turn, r.level): r.source for r in chat.passage_sources(df).where("turn = 3").collect()}
+    assert sources == {(3, 2): 0, (3, 1): 2}
+    threads = {r.thread_turn: r for r in chat.build_conversations(chat.link_quotations(df)).collect()}
+    assert threads[0].n_messages == 3 and ">" not in threads[0].text.replace("<|u|>", "").replace("<|end|>", "")
+    assert threads[0].text.index("WRAPPED" if "WRAPPED" in threads[0].text else "wrapped") < threads[0].text.index("Indeed.") < threads[0].text.index("Yes.")
+
+
 def test_long_reply_chains(spark):
     rows = [(1, 0, "u", "line 0")] + [(1, k, "u", f"> line {k - 1}\nline {k}") for k in range(1, 40)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
