@@ -40,8 +40,8 @@ TREE_SAMPLE = 20_000
 LEAF_SIZE, MOST_DEPTH = 256, 14
 BRUTE = 48
 DENSE = 32
-#: Documents whose shingles are counted to put frequent ones last, and the most that are told apart.
-SHINGLE_SAMPLE, MOST_FREQUENT = 5_000, 200_000
+#: One of so many documents has its shingles counted to put frequent ones last; the most that are told apart.
+SAMPLE_SHARE, MOST_FREQUENT = 8, 400_000
 #: Pairs up to which the ids of their documents (16 bytes each) are broadcast.
 MOST_BROADCAST = 1_000_000
 #: Stands for a null doc_id.
@@ -251,7 +251,11 @@ def _shingles(text: bytes, words_per_shingle: int) -> tuple[int, np.ndarray]:
 
 
 def _frequent_shingles(docs: DataFrame, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that a bounded sample of texts holds often, sorted, and the place of each by rising frequency."""
+    """Hashes of the most frequent shingles, sorted, and the place of each by rising frequency.
+
+    Counted in a fixed share of the texts, so that the same number of documents makes a
+    shingle frequent whatever the size of the corpus; what is kept has a bound.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,8 +263,7 @@ def _frequent_shingles(docs: DataFrame, words_per_shingle: int) -> tuple[np.ndar
                 found = [_shingles(t, words_per_shingle)[1] for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
 
-    share = max(1, math.ceil(docs.count() / SHINGLE_SAMPLE))
-    sampled = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(share)) == 0).select("text").mapInArrow(run, "key long")
+    sampled = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SAMPLE_SHARE)) == 0).select("text").mapInArrow(run, "key long")
     found = sampled.groupBy("key").count().where("count >= 3").orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).toPandas()
     keys = found["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
