@@ -94,8 +94,12 @@ def shown(alerts: DataFrame) -> DataFrame:
     return alerts.select("alert_key", "rule_id", "group_key", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "count", "seconds", "ports", "summary")
 
 
-def _alerts_of(rule: Rule):
-    return lambda spark, sf_dir: shown(A.evaluate(log_events(spark, sf_dir), [rule])[0])
+def _alerts_of(rule: Rule, spread: bool | None = None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = log_events(spark, sf_dir)
+        return shown(A.summarize_alerts(D.detect(events.select(*D.RULE_COLUMNS), rule, spread), [rule]))
+
+    return run
 
 
 query("alerts_threshold", alerts_sql("thr", THRESHOLD_SQL))(_alerts_of(THRESHOLD))
@@ -104,6 +108,10 @@ query("alerts_port_scan", alerts_sql("scan", SCAN_SQL))(_alerts_of(SCAN))
 query("alerts_port_scan_general", alerts_sql("scan2", SCAN_SHORT_SQL))(_alerts_of(SCAN_SHORT))
 query("alerts_sequence", alerts_sql("guessed", GUESSED_SQL))(_alerts_of(GUESSED))
 query("alerts_rare_port", alerts_sql("rare", RARE_SQL))(_alerts_of(RARE))
+# The plans for more events than one task may hold of a group.
+query("alerts_threshold_spread", alerts_sql("thr", THRESHOLD_SQL))(_alerts_of(THRESHOLD, True))
+query("alerts_port_scan_spread", alerts_sql("scan", SCAN_SQL))(_alerts_of(SCAN, True))
+query("alerts_sequence_spread", alerts_sql("guessed", GUESSED_SQL))(_alerts_of(GUESSED, True))
 
 _KEYWORD = "regexp_matches(service || ': ' || message, 'licensed under|mit [^\\n]*? license', 'i') AND NOT regexp_matches(service || ': ' || message, 'gnu', 'i')"
 KEYWORD_SQL = f"""

@@ -138,7 +138,7 @@ def lines_after_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("appended_events", f"{E} SELECT count(*) AS events, count(DISTINCT (source_file, line_no)) AS lines, count(DISTINCT ts::DATE) AS days FROM log_events")
 def appended_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/events-{uuid.uuid4().hex}"
-    events = log_events(spark, sf_dir)
+    events = log_events(spark, sf_dir).withColumn("raw", F.col("message"))
     L.append_events(events.where("id % 2 = 0"), path)
     L.append_events(events, path)
     return spark.read.parquet(path).agg(F.count("*").alias("events"), F.countDistinct("source_file", "line_no").alias("lines"), F.countDistinct("event_date").alias("days"))
