@@ -117,7 +117,7 @@ def from_base64(text: str) -> bytes | None:
 
 
 def is_signed_token(text: str) -> bool:
-    """The header decodes to a JSON object that names an algorithm, and the second part decodes."""
+    """The header decodes to a JSON object that names an algorithm other than none, the second part decodes, and there is a signature."""
     parts = text.split(".")
     head = from_base64(parts[0])
     if head is None or not 3 <= len(parts) <= 5 or from_base64(parts[1]) is None:
@@ -126,7 +126,7 @@ def is_signed_token(text: str) -> bool:
         said = json.loads(head)
     except (ValueError, RecursionError):
         return False
-    return isinstance(said, dict) and isinstance(said.get("alg"), str)
+    return isinstance(said, dict) and isinstance(said.get("alg"), str) and said["alg"].lower() != "none" and parts[2] != ""
 
 
 def armour_holds_key(body: str) -> bool:
