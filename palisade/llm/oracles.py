@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palisade.llm import archive, chat, decontaminate, mixing
+from palisade.llm import archive, chat, decontaminate, merkle, mixing, resample, sharding
 
 UPPER, LOWER = decontaminate.UPPER, decontaminate.LOWER
 
@@ -80,4 +80,13 @@ alike AS (SELECT doc_id, item_id, n, s, shared / (m + item_m - shared) AS simila
 SELECT doc_id, item_id, arg_max(s, (similarity, -s))::INT AS first_word, any_value(n)::INT AS n_words, max(similarity) AS similarity
 FROM alike WHERE similarity >= {decontaminate.SIMILARITY} GROUP BY doc_id, item_id"""
 
-ORACLES = {"op4_mixing": OP4, "op5_warc": OP5, "op7_quotations": OP7, "quoted_conversations": QUOTED, "op9_decontamination": OP9}
+ORACLES = {
+    "op4_mixing": OP4,
+    "op5_warc": OP5,
+    "op7_quotations": OP7,
+    "quoted_conversations": QUOTED,
+    "op9_decontamination": OP9,
+    "op11_merkle": merkle.oracle(),
+    "op12_shards": sharding.oracle(),
+    "op13_resample": resample.oracle(),
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import archive, chat, decontaminate, licenses, mixing, quality, secrets, simhash, suffixes, tokens
+from palisade.llm import archive, chat, decontaminate, licenses, merkle, mixing, quality, resample, secrets, sharding, simhash, suffixes, tokens
 from palisade.llm.common import table
 from palisade.llm.oracles import ORACLES
 
@@ -63,6 +63,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,6 +96,9 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_decontamination": op9_decontamination,
         "op10_licenses": op10_licenses,
+        "op11_merkle": op11_merkle,
+        "op12_shards": op12_shards,
+        "op13_resample": op13_resample,
     }
 
 
