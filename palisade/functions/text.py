@@ -45,6 +45,29 @@ def rule_line(service: Column, message: Column) -> Column:
     return F.when(service.isNotNull() & (service != ""), F.concat(service, F.lit(": "), message)).otherwise(message)
 
 
+def folded(text: Column) -> Column:
+    """Text in which a plain word stands as its lowercase letters wherever a case-blind pattern would find it."""
+    # The characters beyond ASCII that such a pattern takes for i, s and k.
+    for letter, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")):
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
+
+
+def has_keyword(keywords: tuple[str, ...], line: Column, plain: Column) -> Column:
+    """Whether a line, given as it is and folded, has any of the keywords.
+
+    A word of ASCII characters is looked for as it stands; of other keywords the longest such
+    piece goes first, and only where it is found the pattern decides.
+    """
+    found = F.lit(False)
+    for keyword in keywords:
+        pieces = keyword_pieces(keyword)
+        ascii_pieces = sorted((p for p in pieces if p.isascii()), key=len)
+        there = F.contains(plain, F.lit(ascii_pieces[-1].lower())) if ascii_pieces else F.lit(True)
+        found |= there if ascii_pieces == pieces[:1] == pieces else there & line.rlike(keyword_regex([keyword]))
+    return found
+
+
 def spans_array(*parts: tuple[Column, Column]) -> Column:
     return F.array(*[F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")) for a, b in parts])
 

@@ -134,6 +134,16 @@ def keyword_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.scan_keywords(text_events(spark, sf_dir), MANY)
 
 
+#: Two hundred rules, each for a pair of syllables.
+PAIRS = [a + b for a in ("ab", "co", "de", "en", "fu", "in", "lo", "ma", "no", "ra", "se", "st", "ti", "un", "ve") for b in ("an", "be", "ca", "do", "er", "in", "la", "mo", "ne", "or", "re", "st", "te", "us")][:200]
+HUNDREDS = [Keyword(id=f"PAIR-{p}", keywords=(p,)) for p in PAIRS]
+
+
+@query("keyword_scan_200", f"WITH {TEXT_EVENTS_SQL} SELECT id AS event_id, 'PAIR-' || w AS rule_id FROM text_events, unnest({PAIRS}) t(w) WHERE contains(lower(coalesce(service || ': ', '') || message), w)")
+def keyword_scan_200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.scan_keywords(text_events(spark, sf_dir), HUNDREDS)
+
+
 def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     events = log_events(spark, sf_dir)
     return events, *A.evaluate(events, RULES)

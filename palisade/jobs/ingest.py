@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators import parse as G
 from palisade.registry import query, table
 from palisade.sources import lines as L
-from palisade.sources.scratch import scratch_dir
+from palisade.sources.scratch import fresh_path
+from palisade.sources.store import append_events
 from palisade.sources.views import LOG_EVENTS_SQL, log_events, log_lines
 
 E = f"WITH {LOG_EVENTS_SQL}"
@@ -88,7 +87,7 @@ def refused_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("numbered_lines", f"{E} SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY line_no) AS line_no, message FROM log_events")
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_dir(spark)}/lines-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "lines")
     files = log_lines(spark, sf_dir).withColumn("file", F.regexp_replace("source_file", r"\.log$", ""))
     files.repartition("file").sortWithinPartitions("file", "line_no").select("file", F.col("raw").alias("value")).write.partitionBy("file").text(path)
     read = L.read_log_lines(spark, path)
@@ -135,13 +134,14 @@ def lines_after_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.lines_after(lines, stored).select("source_file", "line_no")
 
 
-@query("appended_events", f"{E} SELECT count(*) AS events, count(DISTINCT (source_file, line_no)) AS lines, count(DISTINCT ts::DATE) AS days FROM log_events")
+@query("appended_events", f"{E} SELECT source_file, line_no, message, strftime(ts, '%Y-%m-%d') AS event_date, CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END AS step FROM log_events")
 def appended_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_dir(spark)}/events-{uuid.uuid4().hex}"
+    """Half of the events, then all of them: each line once, with the step that stored it."""
+    path = fresh_path(spark, "events")
     events = log_events(spark, sf_dir).withColumn("raw", F.col("message"))
-    L.append_events(events.where("id % 2 = 0"), path)
-    L.append_events(events, path)
-    return spark.read.parquet(path).agg(F.count("*").alias("events"), F.countDistinct("source_file", "line_no").alias("lines"), F.countDistinct("event_date").alias("days"))
+    append_events(events.where("id % 2 = 0"), path)
+    append_events(events, path)
+    return spark.read.parquet(path).select("source_file", "line_no", "message", F.col("event_date").cast("string").alias("event_date"), F.col("step").cast("int").alias("step"))
 
 
 @query("cleaned_lines", "SELECT page_id, (replace(rtrim(html, chr(13) || chr(10)), chr(0), ''))[1:8192] AS line FROM pages")

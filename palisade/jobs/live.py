@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,17 +9,13 @@ from palisade.jobs.detection import ALERTS, ALL_SQL, GUESSED, GUESSED_SQL, RARE,
 from palisade.jobs.reporting import E, _timeline_sql
 from palisade.operators.rules import Rule
 from palisade.registry import query
-from palisade.sources.scratch import scratch_dir
+from palisade.sources.scratch import fresh_path
 from palisade.sources.views import LOG_EVENTS_SQL, log_events, log_lines
 from palisade.streaming import live as S
 
 LAST = "sentinel"
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def landed(spark: SparkSession, sf_dir: str, closing: bool = False) -> DataFrame:
     """log_events as a stream of landed files; ``closing`` adds an event a year later, which moves the watermark past all others."""
     path = fresh_path(spark, "landed")
@@ -72,29 +66,87 @@ query("stream_port_scan", f"WITH {LOG_EVENTS_SQL}, {SCAN_SQL} SELECT group_key,
 query("stream_sequence", f"WITH RECURSIVE {LOG_EVENTS_SQL}, {GUESSED_SQL} SELECT group_key, event_id, alert_key FROM guessed")(_stream_detect(GUESSED))
 
 
+BATCHES = 5
+
+
+def in_batches(spark: SparkSession, sf_dir: str, batches: int = BATCHES) -> DataFrame:
+    """log_events as a stream of so many triggers, each with events of all times: later ones come late for most groups."""
+    path, events = fresh_path(spark, "landed"), log_events(spark, sf_dir)
+    for k in range(batches):
+        events.where(F.pmod("id", F.lit(batches)) == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _kept(spark: SparkSession, sf_dir: str, rules: list[Rule]) -> tuple[S.AlertTables, str]:
+    """Alert tables after five batches."""
+    path = fresh_path(spark, "alert-tables")
+    S.stream_alerts_exact(in_batches(spark, sf_dir), rules, path, fresh_path(spark, "stream-state")).awaitTermination()
+    return S.AlertTables(spark, path, rules), path
+
+
 @query("stream_alerts", f"{ALL_SQL} {ALERTS.format(n='every')}")
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "alert-tables")
-    S.stream_alerts_exact(landed(spark, sf_dir), RULES, path, fresh_path(spark, "stream-state")).awaitTermination()
-    tables = S.AlertTables(spark, path, RULES)
-    return shown(tables.read("alerts", tables.state()[0]))
+    return shown(_kept(spark, sf_dir, RULES)[0].read("alerts"))
+
 
+@query("stream_evidence", f"{ALL_SQL} SELECT rule_id, group_key, alert_key, event_id, t AS ts_us, port FROM every")
+def stream_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence after five batches, each of which redoes only the buckets it touches."""
+    evidence = _kept(spark, sf_dir, RULES)[0].read("evidence")
+    return evidence.select("rule_id", "group_key", "alert_key", "event_id", F.unix_micros("ts").alias("ts_us"), "port")
 
-@query("stream_report", f"{ALL_SQL} SELECT (SELECT count(*) FROM events) AS lines, count(DISTINCT alert_key) AS alerts FROM every")
+
+@query("stream_report", f"WITH {LOG_EVENTS_SQL}, {THRESHOLD_SQL}, b AS (SELECT event_id % {BATCHES} AS batch_id, count(*) AS lines FROM events GROUP BY 1) SELECT batch_id, lines, CASE WHEN batch_id = {BATCHES - 1} THEN (SELECT count(DISTINCT alert_key) FROM thr) END AS alerts FROM b")
 def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "alert-tables")
-    S.stream_alerts_exact(landed(spark, sf_dir), RULES, path, fresh_path(spark, "stream-state")).awaitTermination()
+    """Lines added by each of five batches, and the alerts in all after the last one."""
+    _, path = _kept(spark, sf_dir, [THRESHOLD])
     report = spark.read.schema(S.REPORT).parquet(f"{path}/report")
-    return report.agg(F.sum("lines").alias("lines"), F.max_by("alerts", "batch_id").alias("alerts"))
+    return report.select("batch_id", "lines", F.when(F.col("batch_id") == BATCHES - 1, F.col("alerts")).alias("alerts"))
+
 
+_ROWS = ("host", "service", "action", "user", "src_ip", "dst_port", "message")
+_SHOWN = ", ".join(f'"{c}"' for c in _ROWS)
+_SECONDS = "CASE WHEN service = 'kernel' THEN epoch_us(date_trunc('second', ts)) ELSE epoch_us(ts) END AS ts_us"
 
-@query("stream_lines", f"{E} SELECT count(*) AS events, count(*) FILTER (parsed) AS parsed, count(DISTINCT src_ip) AS sources FROM log_events")
+
+@query("stream_lines", f"{E} SELECT {_SHOWN}, {_SECONDS} FROM log_events")
 def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, store, state = (fresh_path(spark, n) for n in ("logs", "events", "stream-state"))
     lines = log_lines(spark, sf_dir)
     lines.repartition("source_file").sortWithinPartitions("source_file", "line_no").select(F.col("raw").alias("value")).write.text(folder)
     for _ in range(2):  # the second run finds nothing new
         S.follow_logs(spark, folder, store, state, year=2024).awaitTermination()
-    return spark.read.parquet(store).agg(F.count("*").alias("events"), F.count_if("parsed").alias("parsed"), F.countDistinct("src_ip").alias("sources"))
+    return spark.read.parquet(store).select(*_ROWS, F.unix_micros("ts").alias("ts_us"))
+
+
+def place_files(lines: DataFrame, folder: str) -> None:
+    """Lines (file, line_no, raw) as files of these names; a file that is there is replaced."""
+    spark, path = lines.sparkSession, fresh_path(lines.sparkSession, "files")
+    lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", F.col("raw").alias("value")).write.partitionBy("file").text(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    system = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(place(folder))
+    for part in system.globStatus(place(f"{path}/file=*/part-*")):
+        name = place(folder, part.getPath().getParent().getName().removeprefix("file="))
+        system.delete(name, False)
+        system.rename(part.getPath(), name)
 
 
+# Each file grows to two thirds; then it is renamed, with a few more lines, and the rest goes to a new file of its name.
+_THIRDS = "n AS (SELECT max(event_id) + 1 AS n FROM events), parts AS (SELECT l.*, CASE WHEN id < 2 * n // 3 + n // 30 THEN 0 ELSE 1 END AS part FROM log_events l, n)"
+_DAYS = "days AS (SELECT host, strftime(arg_min(ts, id), '%Y-%m-%d') AS day FROM parts WHERE part = 1 GROUP BY host)"
+
+
+@query("followed_logs", f"{E}, {_THIRDS}, {_DAYS} SELECT host || CASE WHEN part = 0 THEN '.log' ELSE '.log (' || day || ')' END AS source_file, row_number() OVER (PARTITION BY host, part ORDER BY id) AS line_no, {_SHOWN}, {_SECONDS} FROM parts LEFT JOIN days USING (host)")
+def followed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs that grow in place and rotate, followed in four triggers: what is parsed later goes on from what is stored."""
+    folder, store, state = (fresh_path(spark, n) for n in ("logs", "events", "stream-state"))
+    lines = log_lines(spark, sf_dir)
+    n = lines.agg(F.max("line_no") + 1).first()[0] or 0
+    old = lambda upto, name: lines.where(F.col("line_no") < upto).select(F.concat("source_file", F.lit(name)).alias("file"), "line_no", "raw")
+    turned = 2 * n // 3 + n // 30
+    rest = lines.where(F.col("line_no") >= turned).select(F.col("source_file").alias("file"), "line_no", "raw")
+    for files in (old(n // 3, ""), old(2 * n // 3, ""), old(turned, ".1").unionByName(rest.where(F.col("line_no") < turned + n // 10)), rest):
+        place_files(files, folder)
+        S.follow_logs(spark, folder, store, state, year=2024).awaitTermination()
+    return spark.read.parquet(store).select("source_file", "line_no", *_ROWS, F.unix_micros("ts").alias("ts_us"))

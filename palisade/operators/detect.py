@@ -1,6 +1,8 @@
 """Detectors: events and a rule to evidence rows (rule_id, group_key, alert_key, event_id, ts, port, spans).
 
-Events of a group are cut into islands at gaps beyond a limit; all later windows run
+First what a rule counts of the events, with the spans it marks (``hits``): from there on
+no text is looked at, so stored hits do as well as events. Then the hits of each group to
+alerts (``detect_hits``). Events of a group are cut into islands at gaps beyond a limit; all later windows run
 inside islands. Up to MOST_IN_TASK events in all, no group can be too large for a
 task, and rows are dealt by group once. Beyond that gaps are found within (group, day)
 and between the days of a group, so a very frequent group is spread over many tasks.
@@ -15,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.functions.text import SPANS, keyword_regex, merge_spans, pattern_spans, port_span, rule_line, span_of
+from palisade.functions.text import SPANS, folded, has_keyword, keyword_regex, merge_spans, pattern_spans, port_span, rule_line, span_of, spans_from_json, spans_to_json
 from palisade.operators.filters import counted_events, match_filter
 from palisade.operators.rules import Keyword, PortScan, RarePort, Rule, Sequence, Threshold
+from palisade.operators.triggers import walked_in_bulk
 
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
 #: Events in all up to which each group may be sorted in one task.
 MOST_IN_TASK = 5_000_000
+#: Windows so many cooldowns long are walked in order: a port scan's candidates could be too close together.
+MOST_COOLDOWNS = 64
+HITS = f"key string, t long, id long, port int, steps long, spans {SPANS}"
 EVIDENCE = f"rule_id string, group_key string, alert_key string, event_id long, ts timestamp, port int, spans {SPANS}"
 
 
@@ -67,26 +73,31 @@ def whole_island() -> Window:
     return Window.partitionBy("key", "island")
 
 
-def as_evidence(rows: DataFrame, rule: Rule, spans: Column, alert: tuple[str, ...] = ("key", "island")) -> DataFrame:
-    """Rows of alerts to evidence; an alert is named after its first event."""
-    first = F.min(F.struct("t", "id")).over(Window.partitionBy(*alert))["id"]
-    named = rows.withColumn("alert_key", F.concat_ws(":", F.lit(rule.id), "key", first.cast("string")))
-    return named.select(F.lit(rule.id).alias("rule_id"), F.col("key").alias("group_key"), "alert_key", F.col("id").alias("event_id"), "ts", F.col("dst_port").cast("int").alias("port"), spans.alias("spans"))
+def as_evidence(rows: DataFrame, rule: Rule, alert: tuple[str, ...] = ("key", "island")) -> DataFrame:
+    """Hits of alerts to evidence; an alert is named after its first event."""
+    return named_evidence(rows.withColumn("first_id", F.min(F.struct("t", "id")).over(Window.partitionBy(*alert))["id"]), rule)
 
 
-def keyword_condition(rule: Keyword) -> Column:
-    """(a keyword or the regex) and one of each ``require`` and none of ``exclude``."""
-    line = rule_line(F.col("service"), F.col("message"))
+def named_evidence(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(key, first_id, t, id, port, spans) to evidence."""
+    alert = F.concat_ws(":", F.lit(rule.id), "key", F.col("first_id").cast("string"))
+    return rows.select(F.lit(rule.id).alias("rule_id"), F.col("key").alias("group_key"), alert.alias("alert_key"), F.col("id").alias("event_id"), F.timestamp_micros("t").alias("ts"), "port", "spans")
+
+
+def keyword_condition(rule: Keyword, line: Column | None = None, plain: Column | None = None) -> Column:
+    """(a keyword or the regex) and one of each ``require`` and none of ``exclude``; with the line and its folded text where these are at hand."""
+    line = rule_line(F.col("service"), F.col("message")) if line is None else line
+    has = (lambda words: line.rlike(keyword_regex(list(words)))) if plain is None else (lambda words: has_keyword(words, line, plain))
     found = F.lit(False)
     if rule.keywords:
-        found |= line.rlike(keyword_regex(list(rule.keywords)))
+        found |= has(rule.keywords)
     if rule.regex is not None:
         # A match of nothing is none: some match must have a character.
         found |= F.exists(F.regexp_extract_all("message", F.lit(rule.regex), F.lit(0)), lambda m: m != "")
     for group in rule.require:
-        found &= line.rlike(keyword_regex(list(group)))
+        found &= has(group)
     if rule.exclude:
-        found &= ~line.rlike(keyword_regex(list(rule.exclude)))
+        found &= ~has(rule.exclude)
     return F.coalesce(found, F.lit(False))
 
 
@@ -97,58 +108,77 @@ def keyword_spans(rule: Keyword) -> Column:
     return pattern_spans(F.col("message"), prefix, rule_line(F.col("service"), F.col("message")), patterns)
 
 
-def detect_keyword(events: DataFrame, rule: Keyword, spread: bool = True) -> DataFrame:
-    """Every line that has what the rule asks for alerts; lines close in time share an alert."""
-    return as_evidence(bursts(events.where(keyword_condition(rule)), rule, spread), rule, keyword_spans(rule))
+def spans_for(rule: Rule) -> Column:
+    """What a rule marks in the message of an event that it counts."""
+    if isinstance(rule, Keyword):
+        return keyword_spans(rule)
+    port = port_span(F.col("message"), F.col("dst_port"))
+    if isinstance(rule, RarePort):
+        return port
+    group = span_of(F.col("message"), F.col("key"))
+    return merge_spans(F.concat(group, port)) if isinstance(rule, PortScan) else group
+
+
+def steps_of(rule: Rule) -> Column:
+    """The steps of a sequence that an event serves, as bits."""
+    steps = F.lit(0)
+    if isinstance(rule, Sequence):
+        steps = sum((F.when(match_filter(s.match), 1 << k).otherwise(0) for k, s in enumerate(rule.steps)), F.lit(0))
+    return steps.cast("long")
+
+
+def hits(events: DataFrame, rule: Rule) -> DataFrame:
+    """What a rule counts: (key, t, id, port, steps, spans), all that is needed of the events from here on."""
+    seen = events.where(keyword_condition(rule)) if isinstance(rule, Keyword) else events
+    return counted_events(seen, rule).select("key", "t", "id", F.col("dst_port").cast("int").alias("port"), steps_of(rule).alias("steps"), spans_for(rule).alias("spans"))
+
+
+def every_hit(rows: DataFrame, rule: Rule, spread: bool = True) -> DataFrame:
+    """Every hit alerts; hits close in time share an alert."""
+    return as_evidence(islands(rows, rule.cooldown_seconds * SECOND, spread=spread), rule)
 
 
 def scan_keywords(events: DataFrame, rules: list[Keyword]) -> DataFrame:
     """(event_id, rule_id) for many keyword rules in one pass over the lines.
 
-    One combined pattern goes first; only lines it finds are tried rule by rule.
-    Rules with a regex cannot share the combined pattern and are always tried.
+    Each line is folded once, and plain words are looked for in that; patterns are tried
+    only where a plain piece of them is found.
     """
     live = [r for r in rules if r.enabled]
     if not live:
         return events.select(F.col("id").alias("event_id"), F.lit(None).cast("string").alias("rule_id")).where("false")
-    hit = lambda rules: F.array_compact(F.array(*[F.when(match_filter(r.match) & keyword_condition(r), F.lit(r.id)) for r in rules]))
-    worded, free = [r for r in live if r.regex is None], [r for r in live if r.regex is not None]
-    words = [k for r in worded for k in r.keywords]
-    gate = rule_line(F.col("service"), F.col("message")).rlike(keyword_regex(words)) if words else F.lit(False)
-    nothing = F.expr("CAST(array() AS array<string>)")
-    hits = F.concat(F.when(gate, hit(worded)).otherwise(nothing) if worded else nothing, hit(free) if free else nothing)
-    return events.select(F.col("id").alias("event_id"), F.explode(hits).alias("rule_id"))
+    line = rule_line(F.col("service"), F.col("message"))
 
+    def found(x: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(match_filter(r.match) & keyword_condition(r, x["line"], x["plain"]), F.lit(r.id)) for r in live]))
 
-def detect_rare_port(events: DataFrame, rule: RarePort, spread: bool = True) -> DataFrame:
-    return as_evidence(bursts(events, rule, spread), rule, port_span(F.col("message"), F.col("dst_port")))
+    told = F.transform(F.array(F.struct(line.alias("line"), folded(line).alias("plain"))), found)
+    return events.select(F.col("id").alias("event_id"), F.explode(told[0]).alias("rule_id"))
 
 
-def detect_threshold(events: DataFrame, rule: Threshold, spread: bool = True) -> DataFrame:
-    """At least N counted events closer than the window. Without Python where the cooldown covers the window."""
-    spans = span_of(F.col("message"), F.col("key"))
+def thresholds(rows: DataFrame, rule: Threshold, spread: bool = True) -> DataFrame:
+    """At least N hits closer than the window. One pass over islands where the cooldown covers the window."""
     if rule.cooldown_seconds < rule.window_seconds:
-        return by_segment(events, rule, spans, spread)
-    rows = bursts(events, rule, spread).withColumn("rn", F.row_number().over(in_island()))
+        return named_evidence(walked_in_bulk(rows, rule), rule)
+    rows = islands(rows, rule.cooldown_seconds * SECOND, spread=spread).withColumn("rn", F.row_number().over(in_island()))
     hit = F.col("t") - F.lag("t", rule.threshold - 1).over(in_island()) < rule.window_seconds * SECOND
     rows = rows.withColumn("hit", F.when(hit, F.col("rn"))).withColumn("trigger", F.min("hit").over(whole_island()))
-    return as_evidence(rows.where(F.col("rn") >= F.col("trigger") - (rule.threshold - 1)), rule, spans)
+    return as_evidence(rows.where(F.col("rn") >= F.col("trigger") - (rule.threshold - 1)), rule)
 
 
-def detect_port_scan(events: DataFrame, rule: PortScan, spread: bool = True) -> DataFrame:
+def port_scans(rows: DataFrame, rule: PortScan, spread: bool = True) -> DataFrame:
     """At least K different ports of a group within the window.
 
     A port is active from a packet until the window after its last packet; the number
     of active ports at each packet is a running sum of starts and ends.
     """
-    both = lambda port: merge_spans(F.concat(span_of(F.col("message"), F.col("key")), port_span(F.col("message"), F.col(port))))
-    spans = both("dst_port")
     if rule.cooldown_seconds < rule.window_seconds:
-        spans = both("port")
-        return by_segment(events, rule, spans, spread)
+        if rule.window_seconds > MOST_COOLDOWNS * rule.cooldown_seconds:
+            return by_segment(rows, rule, spread)
+        return named_evidence(walked_in_bulk(rows, rule), rule)
     window = rule.window_seconds * SECOND
-    rows = bursts(events, rule, spread)
-    by_port = Window.partitionBy("key", "island", "dst_port").orderBy("t", "id")
+    rows = islands(rows, rule.cooldown_seconds * SECOND, spread=spread)
+    by_port = Window.partitionBy("key", "island", "port").orderBy("t", "id")
     back, ahead = F.lag("t").over(by_port), F.lead("t").over(by_port)
     rows = rows.withColumn("back", back).withColumn("ahead", ahead)
     starts = F.when(F.col("back").isNull() | (F.col("t") - F.col("back") >= window), 1).otherwise(0)
@@ -160,12 +190,7 @@ def detect_port_scan(events: DataFrame, rule: PortScan, spread: bool = True) ->
     active = changes.withColumn("n", F.sum("c.step").over(order))
     full = F.when((F.col("c.kind") == 1) & (F.col("n") >= rule.min_ports), F.col("t"))
     active = active.withColumn("trigger_t", F.min(full).over(whole_island()))
-    return as_evidence(active.where((F.col("c.kind") == 1) & (F.col("t") > F.col("trigger_t") - window)).drop("c", "n", "trigger_t"), rule, spans)
-
-
-def detect_sequence(events: DataFrame, rule: Sequence, spread: bool = True) -> DataFrame:
-    """The rule's steps in order, counted back from an event of the last step."""
-    return by_segment(events, rule, span_of(F.col("message"), F.col("key")), spread)
+    return as_evidence(active.where((F.col("c.kind") == 1) & (F.col("t") > F.col("trigger_t") - window)).drop("c", "n", "trigger_t"), rule)
 
 
 class Machine:
@@ -226,50 +251,50 @@ def completes(steps: list[int], counts: list[int]) -> bool:
     return all(sum(1 for _ in zip(range(n), (s for s in todo if s >> k & 1))) == n for k, n in enumerate(counts))
 
 
-def by_segment(events: DataFrame, rule: Rule, spans: Column, spread: bool = True) -> DataFrame:
-    """Any windowed rule: rows are dealt by group (spread: by segment of a group, cut where nothing is carried over a gap) and walked in order.
+def by_segment(rows: DataFrame, rule: Rule, spread: bool = True) -> DataFrame:
+    """Any windowed rule: hits are dealt by group (spread: by segment of a group, cut where nothing is carried over a gap) and walked in order.
 
     A task walks its groups one after the other, in batches, so a group of any length needs the memory of one window.
     """
-    rows = counted_events(events, rule)
     group = ["key"]
     if spread:
         limit = max(rule.cooldown_seconds * SECOND + 1, rule.window * SECOND)
         rows, group = islands(rows, limit, inclusive=True), ["key", "island"]
-    steps = F.lit(0)
-    if isinstance(rule, Sequence):
-        steps = sum((F.when(match_filter(s.match), 1 << k).otherwise(0) for k, s in enumerate(rule.steps)), F.lit(0))
-    slim = rows.select(*group, "t", "id", F.col("dst_port").cast("int").alias("port"), steps.cast("long").alias("steps"), "message")
-    fields = ("key", "t", "id", "port", "message", "first_id")
+    slim = rows.select(*group, "t", "id", "port", "steps", spans_to_json(F.col("spans")).alias("marks"))
+    fields = ("key", "t", "id", "port", "marks", "first_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, machine = None, Machine(rule)
         for batch in batches:
             out = []
             groups = zip(*(batch.column(c).to_pylist() for c in group), strict=True)
-            for of, *row in zip(groups, *(batch.column(c).to_pylist() for c in ("t", "id", "port", "steps", "message")), strict=True):
+            for of, *row in zip(groups, *(batch.column(c).to_pylist() for c in ("t", "id", "port", "steps", "marks")), strict=True):
                 if of != last:
                     last, machine = of, Machine(rule)
-                out += [(of[0], t, i, port, message, first) for (t, i, port, _, message), first in machine.walk(tuple(row))]
+                out += [(of[0], t, i, port, marks, first) for (t, i, port, _, marks), first in machine.walk(tuple(row))]
             columns = list(zip(*out, strict=True)) or [()] * len(fields)
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(fields))
 
     dealt = slim.repartition(*group).sortWithinPartitions(*group, "t", "id")
-    chosen = dealt.mapInArrow(run, "key string, t long, id long, port int, message string, first_id long")
-    alert = F.concat_ws(":", F.lit(rule.id), "key", F.col("first_id").cast("string"))
-    return chosen.select(F.lit(rule.id).alias("rule_id"), F.col("key").alias("group_key"), alert.alias("alert_key"), F.col("id").alias("event_id"), F.timestamp_micros("t").alias("ts"), "port", spans.alias("spans"))
+    chosen = dealt.mapInArrow(run, "key string, t long, id long, port int, marks string, first_id long")
+    return named_evidence(chosen.withColumn("spans", spans_from_json(F.col("marks"))), rule)
 
 
-#: Detector by kind of rule.
-DETECTORS = {Keyword: detect_keyword, Threshold: detect_threshold, Sequence: detect_sequence, PortScan: detect_port_scan, RarePort: detect_rare_port}
+#: Detector by kind of rule, from its hits.
+DETECTORS = {Keyword: every_hit, Threshold: thresholds, Sequence: by_segment, PortScan: port_scans, RarePort: every_hit}
 
 #: The columns rules see, and no others.
 RULE_COLUMNS = ("id", "ts", "host", "service", "level", "action", "user", "src_ip", "dst_port", "message")
 
 
+def detect_hits(rows: DataFrame, rule: Rule, spread: bool = True) -> DataFrame:
+    """Evidence from the hits of one rule."""
+    return DETECTORS[type(rule)](rows, rule, spread)
+
+
 def detect(events: DataFrame, rule: Rule, spread: bool | None = None) -> DataFrame:
-    return DETECTORS[type(rule)](events, rule, is_spread(events) if spread is None else spread)
+    return detect_hits(hits(events, rule), rule, is_spread(events) if spread is None else spread)
 
 
 def evidence_of(events: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -72,10 +72,16 @@ def port_stats(events: DataFrame, ip: str | None = None, k: int = 500) -> DataFr
 
 
 def packet_grid(events: DataFrame, cell_seconds: int) -> DataFrame:
-    """Packets merged per (port, verdict, time cell): count, mean, first and last time in microseconds."""
-    t = F.unix_micros("ts")
-    cell = F.floor(t / (cell_seconds * 1_000_000)).cast("long")
-    return _packets(events, None).groupBy("dst_port", "action", cell.alias("cell")).agg(F.count("*").alias("packets"), F.floor(F.sum(t) / F.count("*")).cast("long").alias("mean_us"), F.min(t).alias("first_us"), F.max(t).alias("last_us"))
+    """Packets merged per (port, verdict, time cell): count, mean (cut to microseconds), first and last time in microseconds.
+
+    Means are taken of the time since the cell's start, as decimals: sums of times since 1970 would soon be too large.
+    """
+    t, width = F.unix_micros("ts"), cell_seconds * 1_000_000
+    placed = _packets(events, None).withColumn("cell", F.floor(t / width).cast("long"))
+    since = F.sum((t - F.col("cell") * width).cast("decimal(20,0)"))
+    cells = placed.groupBy("dst_port", "action", "cell").agg(F.count("*").alias("packets"), since.alias("since"), F.min(t).alias("first_us"), F.max(t).alias("last_us"))
+    mean = F.col("cell") * width + F.expr("since DIV packets")
+    return cells.select("dst_port", "action", "cell", "packets", mean.cast("long").alias("mean_us"), "first_us", "last_us")
 
 
 def events_page(events: DataFrame, after: tuple | None = None, order: str = "asc", limit: int = 100) -> DataFrame:

@@ -6,7 +6,6 @@ import bz2
 import gzip
 import io
 import lzma
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from palisade.functions.text import source_name
-from palisade.sources.scratch import scratch_dir
 
 MAX_LINE = 8192
 LINE_SCHEMA = "source_file string, line_no long, raw string"
@@ -121,14 +119,6 @@ def classify_lines(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(held, ["source_file", "line_no"], "left").withColumn("status", status).drop("stored_raw")
 
 
-def once_each(classified: DataFrame) -> DataFrame:
-    """Of several fresh lines with one file and number the first text stays fresh; the others are its duplicates or in conflict with it."""
-    same = Window.partitionBy("source_file", "line_no").orderBy("raw")
-    again = (F.col("status") == "fresh") & (F.row_number().over(same) > 1)
-    other = F.when(F.col("raw") == F.first("raw").over(same), "duplicate").otherwise("conflict")
-    return classified.withColumn("status", F.when(again, other).otherwise(F.col("status")))
-
-
 def ingest_report(classified: DataFrame) -> DataFrame:
     """Per file: lines = parsed + unparsed + duplicates + conflicts."""
     fresh = F.col("status") == "fresh"
@@ -153,23 +143,6 @@ def read_if_there(spark: SparkSession, path: str, schema: str | StructType) -> D
         return spark.createDataFrame([], schema)
 
 
-def append_events(events: DataFrame, table_path: str) -> DataFrame:
-    """Append events whose (source_file, line_no) the table does not have, partitioned by day; the report of ingest_report.
-
-    A line whose number is stored with another text is not appended and is counted in
-    the report as a conflict. What became of each line is written once, before the table
-    changes, so the report stays true.
-    """
-    spark = events.sparkSession
-    stored = read_if_there(spark, table_path, events.schema)
-    path = f"{scratch_dir(spark)}/classified-{uuid.uuid4().hex}"
-    once_each(classify_lines(events, stored.select("source_file", "line_no", "raw"))).write.parquet(path)
-    told = spark.read.parquet(path)
-    fresh = told.where("status = 'fresh'").select(*events.columns)
-    fresh.withColumn("event_date", F.to_date("ts")).write.mode("append").partitionBy("event_date").parquet(table_path)
-    return ingest_report(told)
-
-
 def write_alerts(alerts: DataFrame, evidence: DataFrame, path: str) -> None:
     """Replace the alerts and evidence of the rules that are in these frames."""
     for name, frame in (("alerts", alerts), ("evidence", evidence)):

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palisade.operators.alerts import ALERT_FIELDS, affected_groups, evaluate, reconcile, reconcile_counts
-from palisade.operators.detect import RULE_COLUMNS, Machine, keyword_condition
+from palisade.operators.alerts import ALERT_FIELDS, reconcile, reconcile_counts
+from palisade.operators.detect import Machine, keyword_condition
 from palisade.operators.filters import counted_events, match_filter
 from palisade.operators.parse import parse_events
 from palisade.operators.reports import BUCKETS
-from palisade.operators.rules import Keyword, Rule, Sequence, fingerprint
-from palisade.sources.lines import append_events, read_if_there, read_log_lines, resolve_sources
-from palisade.sources.scratch import scratch_dir
+from palisade.operators.rules import Keyword, Rule, Sequence
+from palisade.sources.lines import read_if_there, read_log_lines, resolve_sources
+from palisade.sources.scratch import stored
+from palisade.sources.store import EventStore
+from palisade.streaming.keeper import AlertTables
 
 LINE_COLUMNS = ("source_file", "line_no", "raw")
 REPORT = "batch_id long, lines long, alerts long"
@@ -30,107 +32,103 @@ def stream_lines(spark: SparkSession, folder: str, most_files: int = 1000) -> Da
     return text.select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def store_logs(spark: SparkSession, files: str | list[str], table_path: str, parser: str = "auto", year: int | None = None, zone: str = "UTC", modified_after: str | None = None) -> DataFrame:
+def store_logs(spark: SparkSession, files: str | list[str], table_path: str, parser: str = "auto", year: int | None = None, zone: str = "UTC", modified_after: str | None = None, resume: bool = False) -> DataFrame:
     """Store the lines of files that the table does not have yet, as events; the report per file.
 
     A file is known by its first line: one that has grown, or was renamed when logs
-    rotated, goes on under its stored name, and two files of one name are kept apart.
-    Names and first lines stand beside the table, at ``<table_path>.sources``. A step that
-    failed half-way can be run again.
+    rotated, goes on under its stored name, and two files of one name are kept apart. All
+    lines are compared with what is stored of their file. With ``resume`` a file whose last
+    stored line is still in its place is parsed from there on only, and what stands before
+    counts as duplicates. A step that failed half-way can be run again.
     """
+    store = EventStore(spark, table_path)
+    store.begin()
     lines = read_log_lines(spark, files, with_path=True, modified_after=modified_after)
-    by_path = lines.withColumn("base", F.col("source_file")).withColumn("source_file", F.col("path"))
-    parsed = written_once(parse_events(by_path.select(*LINE_COLUMNS), parser, year, zone), "parsed")
-    named = parsed.select(F.col("source_file").alias("path"), "line_no", "raw", "ts").join(by_path.select("path", F.col("base").alias("source_file")).distinct(), "path")
-    sources = read_if_there(spark, f"{table_path}.sources", "name string, fingerprint string")
-    names = written_once(resolve_sources(named, sources), "sources")
-    told = parsed.withColumnRenamed("source_file", "path").join(names.select("path", "name"), "path")
-    report = append_events(told.select(F.col("name").alias("source_file"), *parsed.columns[1:]), table_path)
-    names.where("is_new").select("name", "fingerprint").distinct().write.mode("append").parquet(f"{table_path}.sources")
-    return report
+    first = lines.groupBy("path", "source_file").agg(F.sha2(F.min_by("raw", "line_no"), 256).alias("fingerprint"))
+    known = stored(first.join(store.sources(), "fingerprint", "left"), "files")
+    parsed = lines.withColumn("clock_year", F.lit(None).cast("int"))
+    skipped = None
+    if resume:
+        marks = known.where("name IS NOT NULL").join(store.marks().withColumnRenamed("source_file", "name"), "name").select("path", "name", "last_line", "digest", "dated", "clock")
+        at_mark = lines.join(marks, "path").where((F.col("line_no") == F.col("last_line")) & (F.md5("raw") == F.col("digest")))
+        intact = stored(at_mark.select("path", "name", "last_line", "dated", "clock"), "intact")
+        placed = lines.join(intact.select("path", "name", "last_line"), "path", "left")
+        skipped = placed.where("line_no <= last_line").groupBy(F.col("name").alias("source_file")).agg(F.count("*").alias("skipped"))
+        # What the clock and the undated lines of the rest go on from.
+        clock = intact.where("clock IS NOT NULL").select("path", "clock.line_no", "clock.raw", F.col("clock.year").alias("clock_year"))
+        dated = intact.where("dated IS NOT NULL AND (clock IS NULL OR dated.line_no <> clock.line_no)").select("path", "dated.line_no", "dated.raw", F.lit(None).cast("int").alias("clock_year"))
+        rest = placed.where("last_line IS NULL OR line_no > last_line").withColumn("clock_year", F.lit(None).cast("int"))
+        parsed = rest.select("path", "line_no", "raw", "clock_year").unionByName(clock).unionByName(dated)
+    events = parse_events(parsed.select(F.col("path").alias("source_file"), *LINE_COLUMNS[1:], "clock_year"), parser, year, zone, with_dated=True).withColumnRenamed("source_file", "path")
+    if resume:
+        events = events.join(intact.select("path", "last_line"), "path", "left").where("last_line IS NULL OR line_no > last_line").drop("last_line")
+    events = stored(events, "parsed")
+    new = events.join(known.where("name IS NULL").select("path", "source_file"), "path")
+    names = stored(resolve_sources(new, store.sources()), "sources")
+    named = known.where("name IS NOT NULL").select("path", "name").unionByName(names.select("path", "name"))
+    told = events.join(named, "path").select(F.col("name").alias("source_file"), *(c for c in events.columns if c != "path"), "path")
+    if resume:
+        asked = store.classified(told.join(intact, "path", "left_anti").join(names.select("path"), "path", "left_anti"))
+        fresh = told.join(intact.select("path").unionByName(names.select("path")), "path", "left_semi").withColumn("status", F.lit("fresh"))
+        classified = asked.unionByName(fresh)
+    else:
+        classified = store.classified(told)
+    report = store.write(classified.drop("path"), names.where("is_new"), zone)
+    if skipped is None:
+        return report
+    both = report.join(skipped, "source_file", "full_outer")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    return both.select("source_file", (count("lines") + count("skipped")).alias("lines"), count("parsed").alias("parsed"), count("unparsed").alias("unparsed"), (count("duplicates") + count("skipped")).alias("duplicates"), count("conflicts").alias("conflicts"))
+
+
+def changed_files(spark: SparkSession, folder: str, seen: DataFrame, most: int) -> list[tuple]:
+    """(path, length, modified) of files under a folder that are new or have changed since they were seen; the oldest ``most``."""
+    try:
+        there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    listed = there.select("path", "length", F.unix_micros("modificationTime").alias("modified"))
+    return [tuple(r) for r in listed.join(seen, ["path", "length", "modified"], "left_anti").orderBy("modified", "path").limit(most).collect()]
 
 
-def written_once(df: DataFrame, name: str) -> DataFrame:
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+FILES = "path string, length long, modified long"
 
 
-def follow_logs(spark: SparkSession, folder: str, table_path: str, checkpoint: str, parser: str = "auto", year: int | None = None, zone: str = "UTC"):
-    """Store each line of landed files once, as events; running it again goes on where it stopped.
+def poll_logs(spark: SparkSession, folder: str, table_path: str, batch_id: int, parser: str = "auto", year: int | None = None, zone: str = "UTC", most_files: int = 1000) -> int:
+    """Store what is new in the files of a folder; the number of files that had changed.
 
-    The report of each batch is kept at ``<table_path>.reports``. Files that grow in place
-    are not landed anew: for those run store_logs again and again with ``modified_after``.
+    Files that have not changed are not opened; of one that has grown only the new lines
+    are parsed. At most ``most_files`` names come to the driver at a time.
     """
+    taken = 0
+    while True:
+        seen = read_if_there(spark, f"{table_path}.files", FILES)
+        files = changed_files(spark, folder, seen, most_files)
+        if not files:
+            return taken
+        report = store_logs(spark, [f[0] for f in files], table_path, parser, year, zone, resume=True)
+        report.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table_path}.reports/batch={batch_id}/part={taken}")
+        spark.createDataFrame(files, FILES).write.mode("append").parquet(f"{table_path}.files")
+        taken += len(files)
+
+
+def follow_logs(spark: SparkSession, folder: str, table_path: str, checkpoint: str, parser: str = "auto", year: int | None = None, zone: str = "UTC", every: str | None = None):
+    """Follow the files of a folder as a running query: new ones, those that grow in place, and those that are renamed when logs rotate.
+
+    Each trigger stores what is new, as events, each line once, and keeps its report at
+    ``<table_path>.reports``. ``every`` (as "10 seconds") polls again and again; without it
+    there is one trigger, and running it again goes on where it stopped. A trigger that
+    failed is run again by the next start.
+    """
+
+    def poll(batch: DataFrame, batch_id: int) -> None:
+        poll_logs(batch.sparkSession, folder, table_path, batch_id, parser, year, zone)
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        # At most ``most_files`` names a trigger.
-        files = [r[0] for r in batch.select("file").distinct().collect()]
-        if files:
-            report = store_logs(batch.sparkSession, files, table_path, parser, year, zone)
-            report.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table_path}.reports/batch={batch_id}")
-
-    stream = stream_lines(spark, folder)
-    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-class AlertTables:
-    """Events, alerts and evidence under one path; each batch writes a new version, named by a state row."""
-
-    def __init__(self, spark: SparkSession, path: str, rules: list[Rule]):
-        self.spark, self.path, self.rules = spark, path, rules
-
-    def state(self) -> tuple[int, str] | None:
-        """(version, fingerprint of the rules) after the last batch."""
-        try:
-            last = self.spark.read.schema("version long, rules string").parquet(f"{self.path}/state").orderBy(F.desc("version")).first()
-        except Exception as e:  # noqa: BLE001 - no batch yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        return (last[0], last[1]) if last else None
-
-    def read(self, name: str, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}/version={version}")
-
-    def events(self, upto: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/events").where(F.col("batch") <= upto).drop("batch")
-
-    def step(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """Store a batch, redo the groups it touches (all, where the rules changed), and return what changed."""
-        batch.write.mode("overwrite").parquet(f"{self.path}/events/batch={batch_id}")
-        fresh = self.read_batch(batch_id)
-        before = self.state()
-        everything, now = self.events(batch_id), fingerprint(self.rules)
-        if before is None or before[1] != now:
-            alerts, evidence = evaluate(everything, self.rules)
-            old = self.read("alerts", before[0]) if before else alerts.where("false")
-            changes = reconcile(old, alerts)
-        else:
-            groups = affected_groups(fresh, self.rules)
-            alerts, evidence = self.redone(everything, groups)
-            old, old_evidence = self.read("alerts", before[0]), self.read("evidence", before[0])
-            changes = reconcile(old, alerts, groups)
-            kept = old.join(groups, ["rule_id", "group_key"], "left_anti")
-            alerts = alerts.unionByName(kept)
-            evidence = evidence.unionByName(old_evidence.join(groups, ["rule_id", "group_key"], "left_anti"))
-        alerts.write.mode("overwrite").parquet(f"{self.path}/alerts/version={batch_id}")
-        evidence.write.mode("overwrite").parquet(f"{self.path}/evidence/version={batch_id}")
-        changes.write.mode("overwrite").parquet(f"{self.path}/changes/version={batch_id}")
-        self.spark.createDataFrame([(batch_id, now)], "version long, rules string").write.mode("overwrite").parquet(f"{self.path}/state/of={batch_id}")
-        return self.read("changes", batch_id)
-
-    def read_batch(self, batch_id: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/events/batch={batch_id}")
-
-    def redone(self, everything: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Alerts and evidence of the rules over all events of their touched groups."""
-        alerts = evidence = None
-        for rule in (r for r in self.rules if r.enabled):
-            mine = groups.where(F.col("rule_id") == rule.id).select(F.col("group_key").alias(rule.group_by))
-            a, e = evaluate(everything.join(mine, rule.group_by, "left_semi").select(*RULE_COLUMNS), [rule])
-            alerts, evidence = (a, e) if alerts is None else (alerts.unionByName(a), evidence.unionByName(e))
-        return alerts, evidence
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    writer = ticks.writeStream.foreachBatch(poll).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def stream_alerts_exact(events: DataFrame, rules: list[Rule], path: str, checkpoint: str):

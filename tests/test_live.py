@@ -78,6 +78,6 @@ def test_names_growth_and_conflicts(spark, tmp_path):
     assert {r[0]: r[1:] for r in report(second)} == {names["a0"]: (7, 1, 0, 6, 0), names["b0"]: (3, 0, 0, 2, 1), f"auth.log ({day}, 2)": (1, 1, 0, 0, 0)}
     assert (names["a0"], 4, "a3") in rows() and len(rows()) == 8 and (names["b0"], 2, "b1") in rows()
     both = spark.createDataFrame([("f", 1, "p", True, T0), ("f", 1, "q", True, T0), ("f", 1, "p", True, T0)], "source_file string, line_no long, raw string, parsed boolean, ts timestamp")
-    from palisade.sources.lines import append_events
+    from palisade.sources.store import append_events
 
     assert report(append_events(both, str(tmp_path / "other"))) == [("f", 3, 1, 0, 1, 1)]

@@ -135,14 +135,16 @@ def test_numbers_across_blocks(spark, tmp_path):
 
 
 def test_storing_once(spark, tmp_path):
+    from palisade.sources.store import append_events
+
     df = spark.createDataFrame([("f", 1, H + "a: b"), ("f", 2, H + "sshd: Invalid user x from y")], L.LINE_SCHEMA)
     more = spark.createDataFrame([("f", 1, H + "a: changed"), ("f", 2, H + "sshd: Invalid user x from y"), ("f", 3, H + "a: c"), ("g", 1, H + "a: d")], L.LINE_SCHEMA)
     store = str(tmp_path / "events")
-    L.append_events(G.parse_events(df, year=2024), store)
+    append_events(G.parse_events(df, year=2024), store)
     classified = L.classify_lines(G.parse_events(more, year=2024), spark.read.parquet(store))
     report = {r.source_file: (r.lines, r.parsed, r.unparsed, r.duplicates, r.conflicts) for r in L.ingest_report(classified).collect()}
     assert report == {"f": (3, 0, 1, 1, 1), "g": (1, 0, 1, 0, 0)}
-    L.append_events(G.parse_events(more, year=2024), store)
+    append_events(G.parse_events(more, year=2024), store)
     assert sorted((r.source_file, r.line_no, r.message) for r in spark.read.parquet(store).collect())[0] == ("f", 1, "b")
     assert spark.read.parquet(store).count() == 4
     assert sorted((r.source_file, r.line_no) for r in L.lines_after(more, df).collect()) == [("f", 3), ("g", 1)]
