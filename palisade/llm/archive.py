@@ -3,7 +3,8 @@
 An archive is two tables. ``headers`` has the exact bytes of every WARC record up to
 its payload (record header and, inside the block, the HTTP header), with the payload's
 SHA-256 address. ``payloads`` has every distinct payload once. A response is rebuilt as
-header + payload + CRLF CRLF; a revisit has no payload of its own.
+header + payload + CRLF CRLF; a revisit has no payload of its own, but its response has
+to be there and to have the digest that it states.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from palisade.llm.common import written
 
 #: Payloads of so many bytes and more are stored as revisits of one response.
 LEAST_REVISIT = 1000
+#: Payloads below that are many pages' own responses; their rows are dealt to so many parts of an address.
+SALTS = 16
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -62,7 +65,7 @@ def archive_pages(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> tuple
         F.lit(CRLF),
         http,
     )
-    headers = written(told.select("page_id", "address", F.encode(header, "UTF-8").alias("header")), "warc-headers")
+    headers = written(told.select("page_id", "address", "size", F.encode(header, "UTF-8").alias("header")), "warc-headers")
     return headers, payloads
 
 
@@ -70,12 +73,37 @@ def _field(text: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(text, rf"(?dm)^{name}: ([^\r\n]*)\r$", 1), F.lit(""))
 
 
+def _sound(value: Column, *faults: tuple[Column, str]) -> Column:
+    """value, or an error that names the page where one of the faults holds."""
+    out = value
+    for fault, what in reversed(faults):
+        said = F.concat(F.lit(f"{what}: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+        out = F.when(fault, F.raise_error(said).cast("binary")).otherwise(out)
+    return out
+
+
 def rebuild_records(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(page_id, record): the original record bytes, payloads joined back to responses."""
-    said = headers.withColumn("type", _field(headers["header"].cast("string"), "WARC-Type"))
+    """(page_id, record): the original record bytes, payloads joined back to responses and revisits held against theirs.
+
+    No record is left out: reading fails, naming the page, where a response's payload is
+    missing or does not have the SHA-256 it is stored under, and where a revisit's response is
+    missing or states another digest. A payload below LEAST_REVISIT bytes may belong to any
+    number of responses, so these meet it by address and salt; larger ones have one each.
+    """
+    text = headers["header"].cast("string")
+    said = headers.withColumns({"type": _field(text, "WARC-Type"), "record_id": _field(text, "WARC-Record-ID"), "digest": _field(text, "WARC-Payload-Digest"), "of": _field(text, "WARC-Refers-To")})
+    small = F.col("size") < LEAST_REVISIT
+    salted = said.where("type IS NULL OR type <> 'revisit'").withColumn("salt", F.when(small, F.pmod(F.xxhash64("page_id", "record_id"), F.lit(SALTS))).otherwise(F.lit(0)))
+    salts = F.when(F.octet_length("payload") < LEAST_REVISIT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    kept = payloads.withColumn("salt", F.explode(salts).cast("bigint")).withColumn("true_address", F.sha2("payload", 256))
     end = F.encode(F.lit(CRLF * 2), "UTF-8")
-    whole = said.where("type = 'response'").join(payloads, "address").select("page_id", F.concat("header", "payload", end).alias("record"))
-    return whole.unionByName(said.where("type = 'revisit'").select("page_id", F.concat("header", end).alias("record")))
+    whole = _sound(F.concat("header", "payload", end), (~F.coalesce(F.col("type") == "response", F.lit(False)), "neither response nor revisit"), (F.col("payload").isNull(), "no payload is stored"), (F.col("true_address") != F.col("address"), "payload and header differ, it has another SHA-256"))
+    responses = salted.join(kept, ["address", "salt"], "left").select("page_id", whole.alias("record"))
+    # Any number of responses may have one id only if they are repeated rows, alike in all.
+    stated = said.where("type = 'response'").groupBy(F.col("record_id").alias("of")).agg(F.max("digest").alias("stated"))
+    alone = _sound(F.concat("header", end), (F.col("stated").isNull(), "the response of a revisit is missing"), (F.col("stated") != F.col("digest"), "revisit and response differ"))
+    revisits = said.where("type = 'revisit'").join(stated, "of", "left").select("page_id", alone.alias("record"))
+    return responses.unionByName(revisits)
 
 
 def read_records(records: DataFrame) -> DataFrame:

@@ -33,6 +33,8 @@ MOST_BROADCAST = 400_000
 #: Counters of a fingerprint's bits: three of 21 bits to a long, so items may have 2**21 - 1 words.
 LANE, LANES = 21, 3
 NO_ID = -(2**63)
+#: Window starts of a piece of a stretch.
+PIECE = 128
 
 
 def words_of(text: Column) -> Column:
@@ -117,6 +119,11 @@ def window_bounds(hits: DataFrame) -> DataFrame:
     return marked.groupBy("k1", "k2", "n", "size", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
 
+def pieces(stretch: Column) -> Column:
+    """A stretch (n, size, lo, hi) of window starts in pieces of PIECE at most: what a window is made from is bounded, however long a match goes on."""
+    return F.transform(F.sequence(stretch["lo"], stretch["hi"], F.lit(PIECE)), lambda lo: F.struct(stretch["n"].alias("n"), stretch["size"].alias("size"), lo.alias("lo"), F.least(lo + (PIECE - 1), stretch["hi"]).alias("hi")))
+
+
 def matched_shingles(worded: DataFrame, sizes: list[tuple[int, int]], similarity: float) -> DataFrame:
     """(k1, k2, size, doc_words, pos, sh): shingles of each size in use, at a stride that loses no window."""
 
@@ -163,6 +170,7 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, size: int = SHIN
     chosen = bounds.groupBy("k1", "k2").agg(F.collect_list(F.struct("n", "size", "lo", "hi")).alias("ranges"))
     # Texts are moved once here, at every size alike; what is left is small and written.
     near = rows.join(chosen.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", words_of(F.col("text")).alias("words"), F.explode("ranges").alias("r"))
+    near = near.select("k1", "k2", "words", F.explode(pieces(F.col("r"))).alias("r"))
     cut = F.slice("words", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo") + F.col("r.n"))
     near = tables.written(near.select("k1", "k2", "r.n", "r.lo", shingles(cut, F.col("r.size")).alias("shs"), (F.col("r.hi") - F.col("r.lo")).alias("more"), F.col("r.size").alias("size")), "bench-near")
     windows = near.select("k1", "k2", "n", "lo", F.explode(F.sequence(F.lit(0), "more")).alias("k"), "shs", "size")

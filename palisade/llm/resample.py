@@ -34,12 +34,12 @@ COUNTED = "n_words long, n_features long, buckets array<int>, counts array<long>
 
 def features_sql(longest: int, buckets: int) -> str:
     """Per row of ``texts`` (row, text) with a word: its words, features, and the count of each bucket."""
-    runs = " UNION ALL ".join(
-        f"SELECT \"row\", array_to_string(w[i:i + {n - 1}], ' ') AS feature FROM words, unnest(range(1, len(w) - {n} + 2)) AS t(i)" if n > 1 else 'SELECT "row", unnest(w) AS feature FROM words' for n in range(1, longest + 1)
-    )
+    ahead = lambda n: " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER o" for k in range(1, n))])
+    runs = " UNION ALL ".join(f'SELECT "row", {ahead(n)} AS feature FROM placed' + (' WINDOW o AS (PARTITION BY "row" ORDER BY i)' if n > 1 else "") for n in range(1, longest + 1))
     return rf"""
 WITH words AS MATERIALIZED (SELECT "row", regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM texts),
-counted AS (SELECT "row", feature, count(*) AS n FROM ({runs}) GROUP BY ALL),
+placed AS (SELECT "row", unnest(w) AS word{", generate_subscripts(w, 1) AS i" if longest > 1 else ""} FROM words),
+counted AS (SELECT "row", feature, count(*) AS n FROM ({runs}) WHERE feature IS NOT NULL GROUP BY ALL),
 hashed AS (SELECT feature, crc(feature) % {buckets} AS bucket FROM (SELECT DISTINCT feature FROM counted)),
 sums AS (SELECT "row", bucket, sum(n)::BIGINT AS n FROM counted JOIN hashed USING (feature) GROUP BY ALL),
 lists AS (SELECT "row", list(bucket::INT ORDER BY bucket) AS buckets, list(n ORDER BY bucket) AS counts, sum(n)::BIGINT AS n_features FROM sums GROUP BY "row")

@@ -122,6 +122,37 @@ def test_archive_files_and_damage(spark, tmp_path):
     assert archive.rebuild_records(*archive.archive_pages(pages(spark).limit(0))).collect() == []
 
 
+def test_archive_loses_no_record(spark):
+    import pytest
+
+    headers, payloads = archive.archive_pages(pages(spark))
+    read = lambda h, p: archive.verified(archive.read_records(archive.rebuild_records(h, p))).collect()
+    address = headers.where("page_id = 9").first().address
+    with pytest.raises(Exception, match="no payload is stored: page 9"):
+        read(headers, payloads.where(f"address <> '{address}'"))
+    with pytest.raises(Exception, match="the response of a revisit is missing: page (1|3|null)"):
+        read(headers.where("page_id IS NULL OR page_id <> 7"), payloads)
+    other = headers.selectExpr("page_id", "address", "size", "if(page_id = 7, encode(replace(cast(header AS string), 'sha1:', 'sha1:0'), 'UTF-8'), header) AS header")
+    with pytest.raises(Exception, match="revisit and response differ"):
+        archive.rebuild_records(other, payloads).collect()
+    # A sound SHA-1 does not make up for a payload that is kept under a wrong SHA-256.
+    moved = payloads.selectExpr("if(address = '%s', repeat('0', 64), address) AS address" % address, "payload")
+    renamed = headers.selectExpr("page_id", "if(page_id = 9, repeat('0', 64), address) AS address", "size", "header")
+    with pytest.raises(Exception, match="another SHA-256: page 9"):
+        read(renamed, moved)
+    broken = headers.selectExpr("page_id", "address", "size", "if(page_id = 5, encode('x', 'UTF-8'), header) AS header")
+    with pytest.raises(Exception, match="neither response nor revisit: page 5"):
+        read(broken, payloads)
+
+
+def test_archive_of_many_pages_with_one_payload_and_a_long_one(spark):
+    rows = spark.range(3000).selectExpr("id AS page_id", "'u' AS url", "CASE WHEN id = 5 THEN repeat('long ', 400000) WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN repeat('copy ', 300) ELSE string(id) END AS html")
+    read = archive.verified(archive.read_records(archive.rebuild_records(*archive.archive_pages(rows)))).collect()
+    kinds = Counter((r.record_type, r.payload_bytes in (0, 1500), r.refers_to) for r in read)
+    assert kinds == {("response", True, None): 1001, ("revisit", True, 2998): 999, ("response", False, None): 1000}
+    assert {r.page_id for r in read} == set(range(3000)) and max(r.payload_bytes for r in read) == 2_000_000
+
+
 def test_quotation_links(spark):
     rows = [
         (1, 0, "user", "How do I sort a list?\nAnd a dict?"),
