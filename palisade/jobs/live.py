@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.jobs.detection import ALERTS, ALL_SQL, GUESSED, GUESSED_SQL, RARE, RARE_SQL, RULES, SCAN, SCAN_SQL, THRESHOLD, THRESHOLD_SQL, shown
-from palisade.jobs.reporting import E, _timeline_sql
+from palisade.jobs.reporting import E
 from palisade.operators.rules import Rule
 from palisade.registry import query
 from palisade.sources.scratch import fresh_path
@@ -16,19 +16,35 @@ from palisade.streaming import live as S
 LAST = "sentinel"
 
 
-def landed(spark: SparkSession, sf_dir: str, closing: bool = False) -> DataFrame:
-    """log_events as a stream of landed files; ``closing`` adds an event a year later, which moves the watermark past all others."""
-    path = fresh_path(spark, "landed")
-    events = log_events(spark, sf_dir)
+#: Time slices, one a trigger, and what comes later than its slice: a tenth of the events three triggers later, which is
+#: behind the watermark (that of the trigger before the last one decides), and of a slice's last day another tenth one
+#: trigger later, which is not.
+SLICES, TOO_LATE, LATE, WATERMARK = 5, 3, 5, "2 days"
+_SLICE = f"(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * {SLICES} // (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events)"
+#: The events that are in time.
+IN_TIME_SQL = LOG_EVENTS_SQL.replace("log_events AS (", "whole AS (", 1) + f", log_events AS (SELECT * FROM whole WHERE NOT (id % 10 = {TOO_LATE} AND {_SLICE} < {SLICES - 1}))"
+
+
+def landed(spark: SparkSession, sf_dir: str, closing: bool = True) -> DataFrame:
+    """log_events as a stream of eight triggers, some lines late and some too late; the last has events a year later, which move the watermark past all others."""
+    path, events = fresh_path(spark, "landed"), log_events(spark, sf_dir)
+    t = F.unix_micros("ts")
+    first, last = events.agg(F.min(t), F.max(t)).first()
+    piece = F.expr(f"(unix_micros(ts) - {first or 0}) * {SLICES} DIV {(last or 0) - (first or 0) + 1}")
+    end = F.lit(first or 0) + (piece + 1) * (((last or 0) - (first or 0) + 1) // SLICES)
+    too_late = (F.pmod("id", F.lit(10)) == TOO_LATE) & (piece < SLICES - 1)
+    late = (F.pmod("id", F.lit(10)) == LATE) & (t >= end - 86_400_000_000)
+    dealt = events.withColumn("trigger", piece + F.when(too_late, 3).when(late, 1).otherwise(0))
+    for k in range(SLICES + 2):
+        dealt.where(F.col("trigger") == k).drop("trigger").coalesce(1).write.mode("append").parquet(path)
     if closing:
-        last = events.orderBy(F.desc("ts")).limit(1)
-        events = events.unionByName(last.withColumns({"id": F.lit(-1).cast("long"), "ts": F.col("ts") + F.expr("INTERVAL 365 DAYS"), "action": F.lit("auth_fail"), "src_ip": F.lit(LAST)}))
-        events = events.unionByName(last.withColumns({"id": F.lit(-2).cast("long"), "ts": F.col("ts") + F.expr("INTERVAL 365 DAYS"), "action": F.lit("conn_allow"), "src_ip": F.lit(LAST), "dst_port": F.lit(22)}))
-    events.write.parquet(path)
-    return spark.readStream.schema(events.schema).parquet(path)
+        newest = events.orderBy(F.desc("ts")).limit(1)
+        ends = [newest.withColumns({"id": F.lit(-k).cast("long"), "ts": F.col("ts") + F.expr("INTERVAL 365 DAYS"), "src_ip": F.lit(LAST), **own}) for k, own in ((1, {"action": F.lit("auth_fail")}), (2, {"action": F.lit("conn_allow"), "dst_port": F.lit(22)}))]
+        ends[0].unionByName(ends[1]).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def finished(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
+def finished(stream: DataFrame, spark: SparkSession, mode: str = "append", told=None) -> DataFrame:
     """All rows of a stream that reads what there is: appended, or the last complete result."""
     out = fresh_path(spark, "stream-out")
 
@@ -36,34 +52,50 @@ def finished(stream: DataFrame, spark: SparkSession, mode: str = "append") -> Da
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}" if mode == "append" else f"{out}/batch=0")
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", fresh_path(spark, "stream-state"))
-    writer.trigger(availableNow=True).start().awaitTermination()
+    running = writer.trigger(availableNow=True).start()
+    running.awaitTermination()
+    if told is not None:
+        told(running)
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
-@query("stream_timeline", _timeline_sql(3600))
+def in_time(*ctes: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join((IN_TIME_SQL, *ctes))}"
+
+
+@query("stream_timeline", f"{in_time()} SELECT epoch_us(ts) // 3600000000 * 3600 AS bucket_start, count(*) AS events, count(*) FILTER (level = 'warning') AS warnings FROM log_events GROUP BY 1")
 def stream_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finished(S.stream_timeline(landed(spark, sf_dir), "1h"), spark, "complete")
+    """Closed hours, without the lines that came behind the watermark."""
+    first = log_events(spark, sf_dir).agg(F.max("ts")).first()[0]
+    out = finished(S.stream_timeline(landed(spark, sf_dir), "1h", WATERMARK), spark)
+    return out.where(F.timestamp_seconds("bucket_start") <= F.lit(first))
 
 
-@query("stream_bursts", f"WITH {LOG_EVENTS_SQL}, {RARE_SQL} SELECT group_key, min(t) AS first_us, max(t) AS last_us, count(*) AS count FROM rare GROUP BY group_key, alert_key")
+@query("stream_bursts", f"{in_time(RARE_SQL)} SELECT group_key, min(t) AS first_us, max(t) AS last_us, count(*) AS count FROM rare GROUP BY group_key, alert_key")
 def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = finished(S.stream_bursts(landed(spark, sf_dir, closing=True), RARE), spark)
+    out = finished(S.stream_bursts(landed(spark, sf_dir), RARE, WATERMARK), spark)
     return out.where(F.col("group_key") != LAST).select("group_key", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "count")
 
 
 def _stream_detect(rule: Rule):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = finished(S.stream_detect(landed(spark, sf_dir, closing=True), rule), spark)
+        out = finished(S.stream_detect(landed(spark, sf_dir), rule, WATERMARK), spark)
         return out.where(F.col("group_key") != LAST).select("group_key", "event_id", F.concat_ws(":", F.lit(rule.id), "group_key", F.col("first_id").cast("string")).alias("alert_key"))
 
     return run
 
 
-query("stream_threshold", f"WITH {LOG_EVENTS_SQL}, {THRESHOLD_SQL} SELECT group_key, event_id, alert_key FROM thr")(_stream_detect(THRESHOLD))
-query("stream_port_scan", f"WITH {LOG_EVENTS_SQL}, {SCAN_SQL} SELECT group_key, event_id, alert_key FROM scan")(_stream_detect(SCAN))
+query("stream_threshold", f"{in_time(THRESHOLD_SQL)} SELECT group_key, event_id, alert_key FROM thr")(_stream_detect(THRESHOLD))
+query("stream_port_scan", f"{in_time(SCAN_SQL)} SELECT group_key, event_id, alert_key FROM scan")(_stream_detect(SCAN))
+query("stream_sequence", f"{in_time(GUESSED_SQL, recursive=True)} SELECT group_key, event_id, alert_key FROM guessed")(_stream_detect(GUESSED))
 
 
-query("stream_sequence", f"WITH RECURSIVE {LOG_EVENTS_SQL}, {GUESSED_SQL} SELECT group_key, event_id, alert_key FROM guessed")(_stream_detect(GUESSED))
+@query("stream_dropped", f"{in_time()} SELECT (SELECT count(*) FROM whole WHERE action = 'auth_fail') - (SELECT count(*) FROM log_events WHERE action = 'auth_fail') AS dropped")
+def stream_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the threshold rule's lines came behind the watermark, by the query's own progress."""
+    n: list[int] = []
+    finished(S.stream_detect(landed(spark, sf_dir), THRESHOLD, WATERMARK), spark, told=lambda q: n.append(S.dropped_behind_watermark(q)))
+    return spark.range(1).select(F.lit(n[0]).cast("long").alias("dropped"))
 
 
 BATCHES = 5

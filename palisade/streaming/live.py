@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from palisade.operators.alerts import ALERT_FIELDS, reconcile, reconcile_counts
-from palisade.operators.detect import Machine, keyword_condition
-from palisade.operators.filters import counted_events, match_filter
+from palisade.operators.detect import Machine, keyword_condition, steps_of
+from palisade.operators.filters import counted_events
 from palisade.operators.parse import parse_events
 from palisade.operators.reports import BUCKETS
-from palisade.operators.rules import Keyword, Rule, Sequence
+from palisade.operators.rules import Keyword, Rule
 from palisade.sources.lines import read_if_there, read_log_lines, resolve_sources
 from palisade.sources.scratch import stored
 from palisade.sources.store import EventStore
@@ -173,39 +172,89 @@ def stream_bursts(events: DataFrame, rule: Rule, watermark: str = "10 minutes")
     return grouped.select(F.col("key").alias("group_key"), "first_seen", "last_seen", "count")
 
 
+#: Rows that wait for the watermark, or stand in the window, and the open alert.
+ROW, OPEN = "t long, id long, port int, steps long", "first_id long, last_t long"
+EVIDENCE = "group_key string, event_id long, first_id long"
+ROCKS_DB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class RuleProcessor(StatefulProcessor):
+    """The walk of one group along the watermark, its state in pieces.
+
+    New rows are appended to those that wait and nothing else is touched. A timer, of which
+    a group has one at a time, goes off once the watermark has passed the first row that waits: then all rows
+    that it has passed are taken in order. After that a timer clears the state as soon
+    as nothing can follow any more.
+    """
+
+    def __init__(self, rule: Rule):
+        self.rule, self.hold_ms = rule, max(rule.cooldown_seconds, rule.window) * 1000 + 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting, self.recent = handle.getListState("waiting", ROW), handle.getListState("recent", ROW)
+        self.open = handle.getValueState("open", OPEN)
+
+    def close(self) -> None:
+        pass
+
+    def ring_at(self, when_ms: int) -> None:
+        """One timer: the earlier of what is set and what is asked for."""
+        timers = list(self.handle.listTimers())
+        if not timers or when_ms < min(timers):
+            for other in timers:
+                self.handle.deleteTimer(other)
+            self.handle.registerTimer(when_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        first = None
+        for batch in rows:
+            ports = [None if pd.isna(p) else int(p) for p in batch["port"]]
+            new = list(zip(batch["t"].tolist(), batch["id"].tolist(), ports, batch["steps"].tolist(), strict=True))
+            if new:
+                self.waiting.appendList(new)
+                first = min([first, *(w[0] for w in new)], key=lambda t: (t is None, t))
+        if first is not None:
+            self.ring_at(max(first // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(map(tuple, self.waiting.get()), key=lambda w: w[:2])
+        ready, waiting = [w for w in waiting if w[0] // 1000 < mark], [w for w in waiting if w[0] // 1000 >= mark]
+        first_id, last_t = self.open.get() if self.open.exists() else (None, 0)
+        machine = Machine(self.rule, list(map(tuple, self.recent.get())), first_id, last_t or 0)
+        found = [row for w in ready for row in machine.push(*w)]
+        last = max([machine.last_t, *(r[0] for r in machine.recent)]) // 1000 + self.hold_ms
+        alive = (machine.recent or machine.first_id is not None) and mark < last
+        for state, held in ((self.waiting, waiting), (self.recent, list(machine.recent) if alive else [])):
+            state.clear()
+            if held:
+                state.put(held)
+        self.open.clear()
+        if alive:
+            self.open.update((machine.first_id, machine.last_t))
+        for other in list(self.handle.listTimers()):
+            self.handle.deleteTimer(other)
+        if waiting or alive:
+            self.handle.registerTimer(max(mark + 1, waiting[0][0] // 1000 + 1 if waiting else last))
+        if found:
+            yield pd.DataFrame([(key[0], *row) for row in found], columns=["group_key", "event_id", "first_id"])
+
+
 def stream_detect(events: DataFrame, rule: Rule, watermark: str = "10 minutes") -> DataFrame:
     """Evidence (group_key, event_id, first_id) of a threshold, sequence or port-scan rule.
 
     Rows wait until the watermark has passed them and are then taken in (ts, id)
-    order, so the evidence is that of the batch detector. The state of a group is its
-    waiting rows, its window and its open alert; it goes when nothing can follow any more.
+    order, so the evidence is that of the batch detector over all rows but those that came
+    behind the watermark. State of this kind needs RocksDB, to which the session's state store is set.
     """
+    events.sparkSession.conf.set(*ROCKS_DB)
     rows = counted_events(events, rule)
-    steps = F.lit(0)
-    if isinstance(rule, Sequence):
-        steps = sum((F.when(match_filter(s.match), 1 << k).otherwise(0) for k, s in enumerate(rule.steps)), F.lit(0))
-    slim = rows.select("key", "id", "ts", "t", F.col("dst_port").cast("int").alias("port"), steps.cast("long").alias("steps")).withWatermark("ts", watermark)
-    hold_ms = max(rule.cooldown_seconds, rule.window) * 1000 + 1000
-
-    def run(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"waiting": [], "recent": [], "first_id": None, "last_t": 0}
-        waiting = [tuple(w) for w in held["waiting"]]
-        if not state.hasTimedOut:
-            for b in batches:
-                ports = [None if pd.isna(p) else int(p) for p in b["port"]]
-                waiting += list(zip(b["t"].tolist(), b["id"].tolist(), ports, b["steps"].tolist(), strict=True))
-        mark = state.getCurrentWatermarkMs()
-        ready = sorted((w for w in waiting if w[0] // 1000 < mark), key=lambda w: w[:2])
-        waiting = sorted((w for w in waiting if w[0] // 1000 >= mark), key=lambda w: w[:2])
-        machine = Machine(rule, held["recent"], held["first_id"], held["last_t"])
-        found = [row for w in ready for row in machine.push(*w)]
-        last = max([machine.last_t, *(r[0] for r in machine.recent)]) // 1000 + hold_ms
-        if waiting or (mark < last and (machine.recent or machine.first_id is not None)):
-            kept = {"waiting": waiting, "recent": list(machine.recent), "first_id": machine.first_id, "last_t": machine.last_t}
-            state.update((json.dumps(kept),))
-            state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 + 1 if waiting else last))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([(key[0], *row) for row in found], columns=["group_key", "event_id", "first_id"])
-
-    return slim.groupBy("key").applyInPandasWithState(run, "group_key string, event_id long, first_id long", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    slim = rows.select("key", "id", "ts", "t", F.col("dst_port").cast("int").alias("port"), steps_of(rule).alias("steps")).withWatermark("ts", watermark)
+    return slim.groupBy("key").transformWithStateInPandas(RuleProcessor(rule), EVIDENCE, "append", "eventTime")
+
+
+def dropped_behind_watermark(query) -> int:
+    """Rows that a query's operators left out, of its last progress reports, as they came too late."""
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])
