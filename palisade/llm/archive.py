@@ -95,7 +95,7 @@ def rebuild_records(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     small = F.col("size") < LEAST_REVISIT
     salted = said.where("type IS NULL OR type <> 'revisit'").withColumn("salt", F.when(small, F.pmod(F.xxhash64("page_id", "record_id"), F.lit(SALTS))).otherwise(F.lit(0)))
     salts = F.when(F.octet_length("payload") < LEAST_REVISIT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    kept = payloads.withColumn("salt", F.explode(salts).cast("bigint")).withColumn("true_address", F.sha2("payload", 256))
+    kept = payloads.withColumn("salt", F.explode(salts.cast("array<bigint>"))).withColumn("true_address", F.sha2("payload", 256))
     end = F.encode(F.lit(CRLF * 2), "UTF-8")
     whole = _sound(F.concat("header", "payload", end), (~F.coalesce(F.col("type") == "response", F.lit(False)), "neither response nor revisit"), (F.col("payload").isNull(), "no payload is stored"), (F.col("true_address") != F.col("address"), "payload and header differ, it has another SHA-256"))
     responses = salted.join(kept, ["address", "salt"], "left").select("page_id", whole.alias("record"))

@@ -284,3 +284,14 @@ def test_long_pre_tokens_in_every_document(spark):
     assert tokens.head_key(" " + "=" * 200) in head and all(len(k) < tokens.LONG_PIECE for k in head)
     got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df).collect()}
     assert got == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+
+
+def test_contamination_of_a_text_that_repeats_an_item(spark):
+    """A match that goes on for a hundred thousand words is cut into pieces; its windows cost what they cost apart."""
+    words = [f"w{k}" for k in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(reversed(words)))], "item_id long, text string")
+    text = " ".join(words * 1700)
+    assert len(text) > 300_000
+    rows = [(7, "before it " + text), (8, " ".join(words[:30] + ["x"] * 200 + words[30:])), (9, " ".join(["y"] * 130 + words))]
+    got = decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.first_word, r.n_words, r.similarity) for r in got) == [(7, 1, 2, 60, 1.0), (9, 1, 130, 60, 1.0)]
