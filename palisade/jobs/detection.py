@@ -191,9 +191,14 @@ def alert_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("alert_context", f"{ALL_SQL}, a AS (SELECT alert_key, min(t) AS a, max(t) AS b FROM every WHERE rule_id = 'LOGIN-1' GROUP BY alert_key), m AS (SELECT *, greatest(60000000, round((b - a) * 0.25))::BIGINT AS margin FROM a) SELECT alert_key, count(*) AS n_events, min(id) AS first_id, max(id) AS last_id FROM m JOIN log_events l ON epoch_us(l.ts) >= a - margin AND epoch_us(l.ts) < b + margin + 1000000 GROUP BY alert_key")
 def alert_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = log_events(spark, sf_dir)
-    alerts, _ = A.evaluate(events, [THRESHOLD])
-    around = A.events_around(alerts, events)
-    return around.groupBy("alert_key").agg(F.count("*").alias("n_events"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return A.context_counts(A.evaluate(events, [THRESHOLD])[0], events)
+
+
+@query("alert_context_events", f"{ALL_SQL}, a AS (SELECT alert_key, min(t) AS a, max(t) AS b FROM every GROUP BY alert_key) SELECT alert_key, id FROM a JOIN log_events l ON epoch_us(l.ts) >= a - 60000000 AND epoch_us(l.ts) < b + 61000000 WHERE alert_key LIKE 'PORT%'")
+def alert_context_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events within a minute around the alerts of the port rule, pair by pair."""
+    events = log_events(spark, sf_dir)
+    return A.events_around(A.evaluate(events, [RARE])[0], events, 60)
 
 
 @query("orphans_dropped", f"{ALL_SQL} SELECT DISTINCT alert_key FROM every WHERE rule_id <> 'PORT-1'")
@@ -296,17 +301,24 @@ def allowlisted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_events(spark, sf_dir).where(P.not_allowlisted(F.col("src_ip"), nets)).select("id", "src_ip")
 
 
-@query("stored_alerts", f"{ALL_SQL} SELECT rule_id, count(DISTINCT alert_key) AS alerts, count(*) AS evidence FROM every GROUP BY rule_id")
+#: Ten thousand nets: every other block of eight addresses of the space that the sources are from, and IPv6 ones.
+MANY_NETS = [f"198.{18 + k // 8192}.{k // 32 % 256}.{k % 32 * 8}/29" for k in range(0, 16_384, 2)] + [f"2001:db8:{k:x}::/48" for k in range(1808)]
+
+
+@query("allowlisted_by_ten_thousand_nets", f"WITH {LOG_EVENTS_SQL} SELECT id, src_ip FROM log_events WHERE NOT coalesce(split_part(src_ip, '.', 4)::INT // 8 % 2 = 0, false)")
+def allowlisted_by_ten_thousand_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_events(spark, sf_dir).where(P.not_allowlisted(F.col("src_ip"), MANY_NETS)).select("id", "src_ip")
+
+
+@query("stored_alerts", f"{ALL_SQL} SELECT rule_id, alert_key, event_id, count(*) OVER (PARTITION BY alert_key) AS count FROM every")
 def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts and evidence stored twice, which replaces them, and read back."""
-    import uuid
-
     from palisade.sources.lines import write_alerts
-    from palisade.sources.scratch import scratch_dir
+    from palisade.sources.scratch import fresh_path
 
-    path = f"{scratch_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "alerts")
     _, alerts, evidence = _evaluated(spark, sf_dir)
     for _ in range(2):
         write_alerts(alerts, evidence, path)
-    n = spark.read.parquet(f"{path}/evidence").groupBy("rule_id").agg(F.count("*").alias("evidence"))
-    return spark.read.parquet(f"{path}/alerts").groupBy("rule_id").agg(F.count("*").alias("alerts")).join(n, "rule_id")
+    told = spark.read.parquet(f"{path}/alerts").select("alert_key", "count")
+    return spark.read.parquet(f"{path}/evidence").select("rule_id", "alert_key", "event_id").join(told, "alert_key")

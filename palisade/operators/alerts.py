@@ -93,6 +93,43 @@ def events_around(alerts: DataFrame, events: DataFrame, fixed_seconds: int | Non
     return placed.join(pieces, ["width", "piece"]).where((F.col("t") >= F.col("lo")) & (F.col("t") < F.col("hi"))).select("alert_key", "id")
 
 
+#: Microseconds of time that are put in order together.
+STRETCH = 600_000_000
+
+
+def context_counts(alerts: DataFrame, events: DataFrame, fixed_seconds: int | None = None) -> DataFrame:
+    """(alert_key, n_events, first_id, last_id): how many events there are around each alert, and the first and last of them in time.
+
+    No event meets an alert. Both ends of an alert's time take their places among the
+    events, dealt once by stretches of time; counts are differences of places. Only a row
+    of each stretch, and the ends, are looked at by anything else. An alert without any
+    events around it has a count of 0 and no ids.
+    """
+    lo, hi = context_bounds(F.col("first_seen"), F.col("last_seen"), fixed_seconds)
+    ends = F.explode(F.array(F.struct(F.lit("lo").alias("end"), lo.alias("t")), F.struct(F.lit("hi").alias("end"), hi.alias("t"))))
+    bounds = alerts.select("alert_key", ends.alias("b")).select("alert_key", "b.end", "b.t", F.lit(None).cast("long").alias("id"))
+    placed = events.select(F.lit(None).cast("string").alias("alert_key"), F.lit(None).cast("string").alias("end"), F.unix_micros("ts").alias("t"), "id")
+    rows = placed.unionByName(bounds).withColumn("stretch", F.expr(f"t DIV {STRETCH}"))
+    # An end stands before the events of its very time.
+    is_event = F.col("end").isNull()
+    up = Window.partitionBy("stretch").orderBy("t", is_event, "id").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("stretch").orderBy(F.desc("t"), F.desc(is_event), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"n": F.count("id").over(up), "back": F.last("id", ignorenulls=True).over(up), "ahead": F.last("id", ignorenulls=True).over(down)})
+    newest = F.max_by("id", F.when(is_event, F.struct("t", "id")))
+    totals = rows.groupBy("stretch").agg(F.count("id").alias("events"), F.min_by("id", F.when(is_event, F.struct("t", "id"))).alias("first"), newest.alias("last"))
+    order = Window.partitionBy(F.lit(0)).orderBy("stretch")
+    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0)).orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("stretch", F.coalesce(F.sum("events").over(earlier), F.lit(0)).alias("before"), F.last("first", ignorenulls=True).over(later).alias("next"), F.last("last", ignorenulls=True).over(earlier).alias("previous"))
+    ends = rows.where(~is_event).join(totals, "stretch")
+    lo_, hi_ = F.col("end") == "lo", F.col("end") == "hi"
+    at = F.col("before") + F.col("n")
+    met = ends.groupBy("alert_key").agg(
+        (F.max(F.when(hi_, at)) - F.max(F.when(lo_, at))).alias("n_events"), F.max(F.when(lo_, F.coalesce("ahead", "next"))).alias("first_id"), F.max(F.when(hi_, F.coalesce("back", "previous"))).alias("last_id")
+    )
+    some = F.col("n_events") > 0
+    return met.select("alert_key", "n_events", F.when(some, F.col("first_id")).alias("first_id"), F.when(some, F.col("last_id")).alias("last_id"))
+
+
 def drop_orphans(alerts: DataFrame, rules: list[Rule]) -> DataFrame:
     """Alerts whose rule is still enabled."""
     live = rules_frame(alerts.sparkSession, rules).where("enabled").select("rule_id")
