@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palisade.jobs import detection, ingest, live, reporting
+from palisade.jobs import detection, ingest, live, reporting, stored
 from palisade.registry import ORACLES, QUERIES, Query
 
-MODULES = (ingest, detection, reporting, live)
+MODULES = (ingest, detection, reporting, live, stored)
 
 
 def queries() -> dict[str, Query]:
