@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.operators import parse as G
 from palisade.registry import query, table
 from palisade.sources import lines as L
-from palisade.sources.scratch import fresh_path
+from palisade.sources.scratch import fresh_path, place_files
 from palisade.sources.store import append_events
 from palisade.sources.views import LOG_EVENTS_SQL, log_events, log_lines
 
@@ -95,6 +95,16 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.concat(host, F.lit(".log")).alias("source_file"), "line_no", F.regexp_extract("raw", r"(?:kernel: \[12345\.678901\]|sshd\[77\]:|shop\[77\]:) (.*)$", 1).alias("message"))
 
 
+@query("packed_lines", f"{E} SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY id) AS line_no, message FROM log_events")
+def packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files packed in three ways, all under plain names: told by their first bytes."""
+    folder, lines = fresh_path(spark, "packed"), log_lines(spark, sf_dir).withColumn("file", F.col("source_file"))
+    for k, way in enumerate(("gzip", "bzip2", "none")):
+        place_files(lines.where(F.substring("file", 6, 1).cast("int") % 3 == k), folder, way)
+    read = L.read_log_lines(spark, folder, sniff=True)
+    return read.select("source_file", "line_no", F.regexp_extract("raw", r"(?:kernel: \[12345\.678901\]|sshd\[77\]:|shop\[77\]:) (.*)$", 1).alias("message"))
+
+
 _FIRST = "SELECT source_file, sha256(arg_min(message, line_no)) AS fingerprint FROM log_events GROUP BY source_file"
 
 

@@ -9,7 +9,7 @@ from palisade.jobs.detection import ALERTS, ALL_SQL, GUESSED, GUESSED_SQL, RARE,
 from palisade.jobs.reporting import E
 from palisade.operators.rules import Rule
 from palisade.registry import query
-from palisade.sources.scratch import fresh_path
+from palisade.sources.scratch import fresh_path, place_files
 from palisade.sources.views import LOG_EVENTS_SQL, log_events, log_lines
 from palisade.streaming import live as S
 
@@ -151,19 +151,6 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(store).select(*_ROWS, F.unix_micros("ts").alias("ts_us"))
 
 
-def place_files(lines: DataFrame, folder: str) -> None:
-    """Lines (file, line_no, raw) as files of these names; a file that is there is replaced."""
-    spark, path = lines.sparkSession, fresh_path(lines.sparkSession, "files")
-    lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", F.col("raw").alias("value")).write.partitionBy("file").text(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    system = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    system.mkdirs(place(folder))
-    for part in system.globStatus(place(f"{path}/file=*/part-*")):
-        name = place(folder, part.getPath().getParent().getName().removeprefix("file="))
-        system.delete(name, False)
-        system.rename(part.getPath(), name)
-
-
 # Each file grows to two thirds; then it is renamed, with a few more lines, and the rest goes to a new file of its name.
 _THIRDS = "n AS (SELECT max(event_id) + 1 AS n FROM events), parts AS (SELECT l.*, CASE WHEN id < 2 * n // 3 + n // 30 THEN 0 ELSE 1 END AS part FROM log_events l, n)"
 _DAYS = "days AS (SELECT host, strftime(arg_min(ts, id), '%Y-%m-%d') AS day FROM parts WHERE part = 1 GROUP BY host)"

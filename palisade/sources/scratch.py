@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -34,3 +35,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def place_files(lines: DataFrame, folder: str, compression: str = "none") -> None:
+    """Lines (file, line_no, raw) as files of just these names, packed or not; a file that is there is replaced."""
+    spark, path = lines.sparkSession, fresh_path(lines.sparkSession, "files")
+    lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", F.col("raw").alias("value")).write.option("compression", compression).partitionBy("file").text(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    system = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(place(folder))
+    for part in system.globStatus(place(f"{path}/file=*/part-*")):
+        name = place(folder, part.getPath().getParent().getName().removeprefix("file="))
+        system.delete(name, False)
+        system.rename(part.getPath(), name)

@@ -65,3 +65,12 @@ def test_pages_of_files(spark, tmp_path):
     assert "PushedFilters: [" in (plan := some._jdf.queryExecution().executedPlan().toString()) and "GreaterThanOrEqual(ts" in plan
     none = OrderedEvents(spark, str(tmp_path / "none"))
     assert none.ranges().collect() == []
+
+
+def test_packet_means_of_full_cells(spark):
+    """Six thousand packets in a cell: sums of times since 1970 would not fit, and a mean through a double would be off."""
+    rows = [event(k, 0, "conn_block", "192.0.2.1", 22) for k in range(6000)]
+    events = frame(spark, rows).withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("id") * 599_999 + 1))
+    t = [r.t for r in events.select(F.unix_micros("ts").alias("t")).collect()]
+    cell = R.packet_grid(events, 3600).first()
+    assert (cell.packets, cell.mean_us, cell.first_us, cell.last_us) == (6000, sum(t) // 6000, min(t), max(t))
