@@ -57,6 +57,7 @@ FROM bodies b LEFT JOIN links l ON l.conv_id = b.conv_id AND l.turn = b.turn LEF
 
 
 OP7, QUOTED = quotations("SELECT * FROM conversations"), quotations(_QUOTED_VIEW)
+BUILT = f"SELECT conv_id, thread_turn, count(*)::INT AS n_messages, string_agg(rendered, chr(10) ORDER BY depth, reply_to NULLS FIRST, turn, rendered) AS text FROM ({QUOTED}) GROUP BY conv_id, thread_turn"
 
 
 def _words(name: str, key: str) -> str:
@@ -85,6 +86,7 @@ ORACLES = {
     "op5_warc": OP5,
     "op7_quotations": OP7,
     "quoted_conversations": QUOTED,
+    "built_conversations": BUILT,
     "op9_decontamination": OP9,
     "op11_merkle": merkle.oracle(),
     "op12_shards": sharding.oracle(),

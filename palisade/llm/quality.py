@@ -200,7 +200,10 @@ def document_statistics(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = LABEL_SAMPLE) -> Forest:
-    """Fit on at most ``sample`` labelled documents; the cut spares all but a few good held-out ones.
+    """Fit on at most ``sample`` labelled documents; the cut spares all but FALSE_REJECTS of the good ones.
+
+    The trees are fitted without every HELD_OUT-th document; the cut is set on all good ones,
+    those included.
 
     Labels with a null doc_id or quality are left out. With fewer than 50 usable
     labels, or one class only, the trees reject nothing.

@@ -50,6 +50,11 @@ def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_quotations(chat.quoted_view(table(spark, sf_dir, "conversations")))
 
 
+def built_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threads of quoted_conversations, each as one text in the order of replies."""
+    return chat.build_conversations(quoted_conversations(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -93,6 +98,7 @@ def queries() -> dict[str, Query]:
         "op6_suffixes": op6_suffixes,
         "op7_quotations": op7_quotations,
         "quoted_conversations": quoted_conversations,
+        "built_conversations": built_conversations,
         "op8_quality": op8_quality,
         "op9_decontamination": op9_decontamination,
         "op10_licenses": op10_licenses,
