@@ -16,6 +16,7 @@ all alerts of a group, so a bucket that has had alerts is always written anew wi
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -90,9 +91,10 @@ class AlertTables:
         dealt = rows.repartition("rule_version", "bucket")
         dealt.write.mode("overwrite").partitionBy("rule_version", "bucket").parquet(f"{self.path}/hits/part={part}")
 
-    def evidence_from(self, rows: DataFrame) -> DataFrame:
-        """Evidence of stored hits, rule by rule, with the bucket of each group."""
-        found = [detect_hits(rows.where(F.col("rule_version") == v).select("key", "t", "id", "port", "steps", "spans"), r).withColumn("rule_version", F.lit(v)) for v, r in self.versions.items()]
+    def evidence_from(self, rows: DataFrame, versions: Iterable[str] | None = None) -> DataFrame:
+        """Evidence of stored hits, rule by rule (of some versions only, where these are named), with the bucket of each group."""
+        named = [(v, r) for v, r in self.versions.items() if versions is None or v in versions]
+        found = [detect_hits(rows.where(F.col("rule_version") == v).select("key", "t", "id", "port", "steps", "spans"), r).withColumn("rule_version", F.lit(v)) for v, r in named]
         whole = reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], f"{EVIDENCE}, rule_version string")
         return whole.withColumn("bucket", bucket_of(F.col("group_key"), self.buckets))
 
@@ -119,7 +121,7 @@ class AlertTables:
         touched = self.touched(batch_id)
         if touched:
             place = reduce(lambda a, b: a | b, ((F.col("rule_version") == v) & F.col("bucket").isin(*b) for v, b in sorted(touched.items())))
-            evidence = self.stored(self.evidence_from(self.stored_hits(batch_id, base).where(place)), f"redone/evidence-{batch_id}")
+            evidence = self.stored(self.evidence_from(self.stored_hits(batch_id, base).where(place), touched), f"redone/evidence-{batch_id}")
             placed = evidence.select("alert_key", "rule_version", "bucket").distinct()
             alerts = self.stored(summarize_alerts(evidence, self.rules).join(placed, "alert_key"), f"redone/alerts-{batch_id}")
             old = self._table("alerts", f"{self.alert_schema()}, {PLACE}").where(place)
