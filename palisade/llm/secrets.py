@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -26,8 +27,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Lines of base64, the ends of which may be written out as \\n or \\r\\n.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,}+(?:(?:\r?\n|(?:\\r)?\\n)[\x20\t]*+[A-Za-z0-9+/]++={0,2})++")
+LINE = re.compile(r"(?:\\[rn]|\s)*+([A-Za-z0-9+/]++={0,2})")
+CUT_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----((?:[A-Za-z0-9+/=\s]|\\[rn])*+)")
+COLON_HEX = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::\s*+[0-9A-Fa-f]{2}){31,}+(?![0-9A-Fa-f])")
+#: What armour says of its cipher: name and initial vector.
+CIPHER = re.compile(r"DEK-Info:\s*([A-Z0-9-]+),([0-9A-Fa-f]+)")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)+")
+#: A header begins with a brace and a quotation mark or white space.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)+")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Object identifiers of encryption by password begin so (PKCS#5, PKCS#12).
 BY_PASSWORD = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
@@ -130,11 +139,64 @@ def is_signed_token(text: str) -> bool:
 
 
 def armour_holds_key(body: str) -> bool:
-    """Line ends may be written out as \\n and \\r, as in JSON; header lines are passed over."""
+    """Line ends may be written out as \\n and \\r, as in JSON; header lines are passed over.
+
+    What a header calls encrypted has to name a cipher, with an initial vector of one
+    block, and to be of whole blocks.
+    """
     body = re.sub(r"\\+[nr]", "\n", body)
-    lines = [x for x in body.split("\n") if ":" not in x]
-    data = from_base64("".join("".join(lines).split()))
-    return data is not None and (is_private_key(data) or (":" in body and len(data) >= 32))
+    data = from_base64("".join("".join(x for x in body.split("\n") if ":" not in x).split()))
+    if data is None:
+        return False
+    if (cipher := CIPHER.search(body)) and "Proc-Type:" in body:
+        block = 8 if "DES" in cipher[1] else 16
+        return len(cipher[2]) == 2 * block and len(data) >= 32 and len(data) % block == 0
+    return is_private_key(data)
+
+
+def begins_private_key(data: bytes) -> bool:
+    """The head of a private key whose end is lost: the container's magic, or a SEQUENCE longer than what is left with a version and a fitting element after it."""
+    if data.startswith(OPENSSH):
+        return len(data) >= 64
+    if len(data) < 32 or data[0] != 0x30 or not 0x81 <= data[1] <= 0x84:
+        return False
+    at = 2 + data[1] - 0x80
+    return int.from_bytes(data[2:at], "big") > len(data) - at and data[at : at + 2] == b"\x02\x01" and data[at + 2] <= 1 and data[at + 3] in (0x02, 0x04, 0x30)
+
+
+def cut_armour_end(text: str, m: re.Match) -> int | None:
+    """Where armour without its last line ends, if its lines hold a private key or the head of one."""
+    end = m.start(1) + len(re.sub(r"(?:\\[rn]|\s)++\Z", "", m[1]))
+    body = re.sub(r"\\[rn]|\s", "", m[1]).rstrip("=")
+    data = from_base64(body[: len(body) - (len(body) % 4 == 1)])
+    return end if data is not None and (is_private_key(data) or begins_private_key(data)) else None
+
+
+def keys_after_path(run: str) -> Iterator[int]:
+    """Places in a run of base64, after a slash, from which an encoded key reaches exactly to the run's end."""
+    body = run.rstrip("=")
+    for m in re.finditer(r"/(?=M|b3BlbnNzaC1rZXktdjEA)", body):
+        at = m.end()
+        if body[at] == "M":
+            head = base64.b64decode(body[at : at + 8].replace("-", "+").replace("_", "/").ljust(8, "A"))
+            wide = head[1] - 0x80 if head[1] > 0x80 else 0
+            size = 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
+            if wide > 4 or -(-size * 4 // 3) != len(body) - at:
+                continue
+        yield at
+
+
+def wrapped_key(m: re.Match) -> tuple[int, int] | None:
+    """The place of a private key in lines of one width and a last one of at most that width."""
+    lines = list(LINE.finditer(m[0]))
+    width = len(lines[0][1])
+    n = next((k for k, x in enumerate(lines) if len(x[1]) != width), len(lines))
+    longest = n + (n < len(lines) and len(lines[n][1]) < width)
+    for take in sorted({n, longest}, reverse=True):
+        data = from_base64("".join(x[1] for x in lines[:take]))
+        if take > 1 and data is not None and is_private_key(data):
+            return m.start(), m.start() + lines[take - 1].end()
+    return None
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -146,23 +208,39 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    pems: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
-        pems = [(m.start(), 3, m.end()) for m in PEM.finditer(text) if armour_holds_key(m[2])]
-        found += pems
-    outside = lambda m: not any(a <= m.start() < b for a, _, b in pems)
+        taken = [m.span() for m in PEM.finditer(text) if armour_holds_key(m[2])]
+        begun = {a for a, _ in taken}
+        cut = ((m.start(), cut_armour_end(text, m)) for m in CUT_PEM.finditer(text) if m.start() not in begun)
+        taken = sorted(taken + [(a, end) for a, end in cut if end is not None])
+        found += [(a, 3, b) for a, b in taken]
+    wrapped = [span for m in WRAPPED.finditer(text) if not inside(taken, m.start()) and (span := wrapped_key(m))]
+    found += [(a, 4, b) for a, b in wrapped]
+    taken = sorted(taken + wrapped)
     for m in BASE64.finditer(text):
+        if inside(taken, m.start()):
+            continue
         data = from_base64(m[0])
-        if data is not None and outside(m) and (is_private_key(data) or (b"PRIVATE KEY-----" in data and any(armour_holds_key(x[2]) for x in PEM.finditer(data.decode("latin-1"))))):
+        if data is not None and (is_private_key(data) or (b"PRIVATE KEY-----" in data and any(armour_holds_key(x[2]) for x in PEM.finditer(data.decode("latin-1"))))):
             found.append((m.start(), 4, m.end()))
+        else:
+            after = (at for at in keys_after_path(m[0]) if (part := from_base64(m[0][at:])) is not None and is_private_key(part))
+            found += [(m.start() + at, 4, m.end()) for at in after]
     for m in LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
             found.append((m.start(), 5, m.end()))
-    if "eyJ" in text:
-        found += [(m.start(), 6, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+    found += [(m.start(), 5, m.end()) for m in COLON_HEX.finditer(text) if is_private_key(bytes.fromhex(re.sub(r"[:\s]", "", m[0])))]
+    found += [(m.start(), 6, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     return sorted(found)
 
 
+def inside(spans: list[tuple[int, int]], place: int) -> bool:
+    """Whether one of disjoint spans, in order, holds a place."""
+    k = bisect.bisect_right(spans, place, key=lambda s: s[0])
+    return k > 0 and place < spans[k - 1][1]
+
+
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -185,7 +263,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Offsets are code points, ends exclusive. A null text counts as empty (no spans,
     digest of the empty string); repeated rows are scanned as often as they occur;
-    an empty table gives no rows; other columns are ignored.
+    an empty table gives no rows; other columns are ignored; very long texts are scanned
+    whole, in time that grows with their length, one at a time in a task's memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +286,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with every span in text replaced by a mark and n_chars, where present, kept in step; nulls stay null."""
+    """docs with every span in text replaced by a mark and n_chars, where present, kept in step.
+
+    Nulls in text and n_chars stay null; repeated rows stay; an empty table gives none;
+    other columns, whatever their names, pass through; very long texts are treated whole.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
