@@ -78,6 +78,44 @@ def test_armoured_forms_are_found_and_redacted():
     assert [secrets.KINDS[k] for _, k, _ in secrets.spans_of(open_end)] == ["pem"]
 
 
+def folded(text, width=64):
+    return "\n".join(text[k : k + width] for k in range(0, len(text), width))
+
+
+def test_keys_in_other_dress():
+    spans = lambda t: [(secrets.KINDS[k], t[a:b]) for a, k, b in secrets.spans_of(t) if k >= secrets.N_BASE]
+    key = rsa_key()
+    good = base64.b64encode(key).decode()
+    for line in ("", "\nthe end", "\n" + "x" * 64, "\nx"):
+        assert spans(f"see\n{folded(good)}{line}") == [("key64", folded(good))]
+    whole = base64.b64encode(der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48")), der(4, bytes(82)))).decode()
+    assert len(whole) == 128 and spans(f"{folded(whole)}\nafter") == [("key64", folded(whole))]
+    assert spans(f"a/{good} b") == [("key64", good)] and spans(f"/etc/M/keys/{good}") == [("key64", good)]
+    assert spans(f"a/{good.rstrip('=')}AAAA b") == [] == spans(folded(good[:-8]))
+    colons = key.hex(":")
+    lines = ":\n    ".join(colons[k : k + 44] for k in range(0, len(colons), 45))
+    assert spans(f"x {colons} y") == [("keyhex", colons)] and spans(f"x {lines} y") == [("keyhex", lines)] and spans(colons[3:]) == []
+    head = "-----BEGIN RSA PRIVATE KEY-----\n"
+    for text in (head + folded(good), head + folded(good[:200]), head + folded(good[:201])):
+        assert spans(f"see {text}\n...") == [("pem", text)]
+    assert spans(f"{head}Proc-Type: 4,ENCRYPTED\n{folded(good[:200])}") == []
+    assert spans(f"{head}note: hi\n{'q' * 40}\n-----END RSA PRIVATE KEY-----") == []
+    locked = f"{head}Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,%s\n\n{base64.b64encode(bytes(40)).decode()}\n-----END RSA PRIVATE KEY-----"
+    assert spans(locked % ("AB" * 8)) == [("pem", locked % ("AB" * 8))] and spans(locked % ("AB" * 7)) == []
+    for said in (b'{ "alg": "HS256"}', b'{\n"alg": "HS256"}', b'{\r\n "alg": "HS256"}', b'{\t"alg": "HS256"}'):
+        signed = base64.urlsafe_b64encode(said).decode().rstrip("=") + ".eyJzdWIiOjF9.abcd"
+        assert spans(f"Bearer {signed}") == [("token", signed)]
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    for piece in ("/M", "A" * 64 + "\n", "ab:", "-----BEGIN RSA PRIVATE KEY-----\nMIIE", "ey.", "/MIIE", "a" * 63 + "\\n"):
+        secrets.spans_of(piece * (2_000_000 // len(piece)))
+    assert time.time() - began < 60
+
+
 def test_redaction_and_edges(spark):
     t = "a password=abcdefghijkl b"
     df = spark.createDataFrame([(1, t, "s", 25), (1, t, "s", 25), (None, None, None, None)], "doc_id long, text string, spans string, n_chars long")
@@ -170,18 +208,54 @@ def test_license_rules(spark):
 def plain_detections(text):
     import re
 
-    norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.low(text))) + " "
+    lines = []
+    for line in brute.low(text).split("\n"):
+        head, tag, expression = line.partition("spdx-license-identifier:")
+        lines.append(head + tag + re.sub(r"(?<=[\s)])(or|and)(?=[\s(])", tag, expression) if tag else line)
+    plus = re.sub(r"(\d)\+(?![0-9a-z])", r"\1 plus ", "\n".join(lines))
+    norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", plus)) + " "
     found = [(m.start(), m.end(), r.priority, r.label) for r in licenses.rules() if r.keyword in norm for m in re.finditer(r.pattern, norm)]
     return sorted(d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or (e[2] == d[2] and e[1] - e[0] > d[1] - d[0])) for e in found))
 
 
 def test_license_suppression_equals_brute_force(spark):
     texts = LICENSE_TEXTS[2:] + ["released under the terms of the Mozilla Public License 2.0, see http://www.apache.org/licenses/LICENSE-2.0", "Creative Commons Attribution-ShareAlike 3.0 https://creativecommons.org/licenses/by-sa/3.0/"]
+    texts += list(NOTICES)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in licenses.scan_licenses(df).collect():
         assert sorted((d.a, d.b, d.priority, d.label) for d in r.detections) == plain_detections(texts[r.doc_id])
 
 
+#: Texts of real notices with the labels that they should get, told apart from the rules.
+NOTICES = {
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by\n the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl,gpl-3.0-or-later",
+    "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "lgpl-2.1-or-later",
+    "the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.": "gpl,gpl-2.0",
+    "licensed under the GNU General Public License version 2 or later": "gpl,gpl-2.0-or-later",
+    "This work is licensed under GPLv3": "gpl-3.0",
+    "It uses the LGPL v2.1 here": "lgpl-2.1",
+    "GPL-2.0+ code": "gpl-2.0-or-later",
+    "GPLv2+ code, 3+ years": "gpl-2.0-or-later",
+    "SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0-only",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0-or-later",
+    "SPDX-License-Identifier: GPL-2.0": "gpl-2.0",
+    "// SPDX-License-Identifier: MIT OR Apache-2.0": "apache-2.0,mit",
+    "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nmy work or isc": "apache-2.0,bsd-3-clause,mit",
+    "SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note OR MIT": "gpl-2.0,linux-syscall-note,mit",
+    "Distributed under the Boost Software License, Version 1.0.": "bsl-1.0",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\"": "0bsd,isc",
+    "The Software shall be used for Good, not Evil.": "json",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.": "ofl-1.1",
+    "a gpl of 2 years, mit or not, 1+1 and no licence": "",
+}
+
+
+def test_notices_get_their_labels(spark):
+    texts = list(NOTICES)
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {texts[r.doc_id]: r.labels for r in rows} == NOTICES
+
+
 UNGATED = {
     "this program is released under the GNU GPL version 3": "gpl,gpl-3.0",
     "see mozilla.org/MPL/2.0": "mpl-2.0",
