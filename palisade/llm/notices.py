@@ -28,12 +28,14 @@ HEADERS = (
     ("cddl-1.0", "distribution", "the contents of this file are subject to the terms of the common development and distribution licen[sc]e"),
     ("epl-1.0", "eclipse", "accompanying materials are made available under the terms of the eclipse public licen[sc]e v ?1 0"),
     ("epl-2.0", "eclipse", "accompanying materials are made available under the terms of the eclipse public licen[sc]e v?(?:ersion)? ?2 0"),
-    ("ofl-1.1", "font", "this font software is licensed under the sil open font licen[sc]e version 1 1"),
+    ("ofl-1.1", "font software", "this font software is licensed under the sil open font licen[sc]e version 1 1"),
     ("perl", "perl", "under the same terms as perl itself"),
 )
 #: Bare grants by a short name.
 GRANTS = (
-    ("mit", "mit", "(?:licensed|released|distributed) under (?:the |an? )?mit"),
+    ("mit", "under mit", "(?:licensed|released|distributed) under mit"),
+    ("mit", "under the mit", "(?:licensed|released|distributed) under the mit"),
+    ("mit", "under an mit", "(?:licensed|released|distributed) under an mit"),
     ("bsd", "bsd", "(?:licensed|released|distributed) under (?:the |an? )?bsd"),
     ("gpl", "gpl", "(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gpl"),
     ("lgpl", "lgpl", "(?:licensed|released|distributed) under (?:the )?(?:terms of the )?lgpl"),
@@ -44,7 +46,7 @@ BODIES = (
     ("mit", "furnished", "permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("mit-0", "furnished", "permit persons to whom the software is furnished to do so the software is provided as is"),
     ("ncsa", "deal with", "to deal with the software without restriction including without limitation the rights"),
-    ("json", "evil", "the software shall be used for good not evil"),
+    ("json", "not evil", "the software shall be used for good not evil"),
     ("x11", "consortium", "the name of the x consortium shall not be used in advertising"),
     ("hpnd", "supporting", "both that copyright notice and this permission notice appear in supporting documentation"),
     ("isc", "fee", "for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
@@ -54,7 +56,7 @@ BODIES = (
     ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
     ("unlicense", "compile", "anyone is free to copy modify publish use compile sell or distribute this software"),
     ("wtfpl", "verbatim", "copies of this license document and changing it is allowed as long as the name is changed"),
-    ("beerware", "beer", "you can buy me a beer in return"),
+    ("beerware", "a beer in return", "you can buy me a beer in return"),
     ("apache-1.1", "apache", "this product includes software developed by the apache software foundation"),
     ("apache-2.0", "contributor", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual"),
     ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
@@ -62,7 +64,7 @@ BODIES = (
     ("python-2.0", "psf", "this license agreement is between the python software foundation psf and the individual or organization"),
     ("artistic-1.0", "intent", "the intent of this document is to state the conditions under which a package may be copied"),
     ("artistic-2.0", "establishes", "this license establishes the terms under which a given free software package may be copied"),
-    ("ofl-1.1", "font", "the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects"),
+    ("ofl-1.1", "open font", "the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects"),
     ("ms-pl", "governs", "this license governs use of the accompanying software if you use the software you accept this license"),
     ("gpl", "freedom", "the licenses for most software are designed to take away your freedom to share and change it"),
     ("gpl-3.0", "practical", "the licenses for most software and other practical works are designed to take away your freedom"),
@@ -73,7 +75,7 @@ BODIES = (
     ("sspl-1.0", "service", "available to third parties as a service you must make the service source code available"),
     ("busl-1.1", "production", "redistribute and make non production use of the licensed work"),
     ("elastic-2.0", "managed", "you may not provide the software to third parties as a hosted or managed service"),
-    ("commons-clause", "sell", "the license does not grant to you the right to sell the software"),
+    ("commons-clause", "right to sell", "the license does not grant to you the right to sell the software"),
     ("cc0-1.0", "waived", "has waived all copyright and related or neighbou?ring rights"),
     ("cc0-1.0", "deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
     ("public-domain", "domain", "this (?:work|software|file|code|program|document) is in the public domain"),
@@ -92,7 +94,7 @@ EXCEPTIONS = (
     ("gcc-exception", "runtime", "gcc runtime library exception"),
     ("llvm-exception", "llvm", "llvm exceptions?"),
     ("linux-syscall-note", "syscall", "linux syscall note"),
-    ("font-exception", "font", "font exception 2 0"),
+    ("font-exception", "font exception", "font exception 2 0"),
     ("bison-exception", "bison", "bison exception"),
     ("autoconf-exception", "autoconf", "autoconf exception"),
 )
@@ -104,7 +106,7 @@ NAMES = (
     ("ipl-1.0", "ibm", "ibm public licen[sc]e(?: (?:version |v ?)?1 0)?"),
     ("qpl-1.0", "q public", "q public licen[sc]e"),
     ("sleepycat", "sleepycat", "sleepycat licen[sc]e"),
-    ("vim", "vim", "vim licen[sc]e"),
+    ("vim", " vim ", "vim licen[sc]e"),
     ("w3c", "w3c", "w3c software (?:notice and )?licen[sc]e"),
     ("apsl-2.0", "apple", "apple public source licen[sc]e(?: (?:version |v ?)?2 0)?"),
     ("lppl-1.3c", "latex", "latex project public licen[sc]e(?: (?:version |v ?)?1 3c?)?"),
