@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palisade.jobs.detection import ALERTS, ALL_SQL, GUESSED, GUESSED_SQL, RARE, RARE_SQL, RULES, SCAN, SCAN_SQL, THRESHOLD, THRESHOLD_SQL, shown
 from palisade.jobs.reporting import E
@@ -25,6 +26,38 @@ _SLICE = f"(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * {SLICES} //
 IN_TIME_SQL = LOG_EVENTS_SQL.replace("log_events AS (", "whole AS (", 1) + f", log_events AS (SELECT * FROM whole WHERE NOT (id % 10 = {TOO_LATE} AND {_SLICE} < {SLICES - 1}))"
 
 
+#: Rows, about, of a file that lands; a trigger has as many files as its rows need.
+ROWS_A_FILE = 50_000
+
+
+def land(dealt: DataFrame, triggers: int, path: str) -> int:
+    """Rows with their ``trigger`` into a folder, trigger by trigger and each in the same number of files, which is returned."""
+    spark, staged = dealt.sparkSession, fresh_path(dealt.sparkSession, "staged")
+    dealt = dealt.withColumn("trigger", F.col("trigger").cast("int"))
+    dealt.write.partitionBy("trigger").parquet(staged)
+    rows = spark.read.schema(dealt.schema).parquet(staged)
+    most = rows.groupBy("trigger").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    files = max(1, -(-most // ROWS_A_FILE))
+    for k in range(triggers):
+        rows.where(F.col("trigger") == k).drop("trigger").repartition(files, "id").write.mode("append").parquet(path)
+        fill_up(spark, path, dealt.drop("trigger").schema, files * (k + 1))
+    return files
+
+
+def fill_up(spark: SparkSession, path: str, schema: StructType, files: int) -> None:
+    """Files without rows into a folder that has fewer than so many."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    system = place(path).getFileSystem(conf)
+    missing = files - len(system.globStatus(place(f"{path}/part-*")))
+    if missing > 0:
+        empty = fresh_path(spark, "empty")
+        spark.createDataFrame([], schema).coalesce(1).write.parquet(empty)
+        [source] = system.globStatus(place(f"{empty}/part-*"))
+        for k in range(missing):
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(system, source.getPath(), system, place(path, f"part-none-{files - k}.parquet"), False, conf)
+
+
 def landed(spark: SparkSession, sf_dir: str, closing: bool = True) -> DataFrame:
     """log_events as a stream of eight triggers, some lines late and some too late; the last has events a year later, which move the watermark past all others."""
     path, events = fresh_path(spark, "landed"), log_events(spark, sf_dir)
@@ -35,13 +68,13 @@ def landed(spark: SparkSession, sf_dir: str, closing: bool = True) -> DataFrame:
     too_late = (F.pmod("id", F.lit(10)) == TOO_LATE) & (piece < SLICES - 1)
     late = (F.pmod("id", F.lit(10)) == LATE) & (t >= end - 86_400_000_000)
     dealt = events.withColumn("trigger", piece + F.when(too_late, 3).when(late, 1).otherwise(0))
-    for k in range(SLICES + 2):
-        dealt.where(F.col("trigger") == k).drop("trigger").coalesce(1).write.mode("append").parquet(path)
+    files = land(dealt, SLICES + 2, path)
     if closing:
         newest = events.orderBy(F.desc("ts")).limit(1)
         ends = [newest.withColumns({"id": F.lit(-k).cast("long"), "ts": F.col("ts") + F.expr("INTERVAL 365 DAYS"), "src_ip": F.lit(LAST), **own}) for k, own in ((1, {"action": F.lit("auth_fail")}), (2, {"action": F.lit("conn_allow"), "dst_port": F.lit(22)}))]
         ends[0].unionByName(ends[1]).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        fill_up(spark, path, events.schema, files * (SLICES + 3))
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def finished(stream: DataFrame, spark: SparkSession, mode: str = "append", told=None) -> DataFrame:
@@ -52,7 +85,13 @@ def finished(stream: DataFrame, spark: SparkSession, mode: str = "append", told=
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}" if mode == "append" else f"{out}/batch=0")
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", fresh_path(spark, "stream-state"))
-    running = writer.trigger(availableNow=True).start()
+    # Each trigger opens every partition of the state; a stream keeps the number that is set when it first starts.
+    many = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(many), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        running = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", many)
     running.awaitTermination()
     if told is not None:
         told(running)
@@ -104,9 +143,8 @@ BATCHES = 5
 def in_batches(spark: SparkSession, sf_dir: str, batches: int = BATCHES) -> DataFrame:
     """log_events as a stream of so many triggers, each with events of all times: later ones come late for most groups."""
     path, events = fresh_path(spark, "landed"), log_events(spark, sf_dir)
-    for k in range(batches):
-        events.where(F.pmod("id", F.lit(batches)) == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = land(events.withColumn("trigger", F.pmod("id", F.lit(batches))), batches, path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _kept(spark: SparkSession, sf_dir: str, rules: list[Rule]) -> tuple[S.AlertTables, str]:

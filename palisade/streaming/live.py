@@ -172,18 +172,20 @@ def stream_bursts(events: DataFrame, rule: Rule, watermark: str = "10 minutes")
     return grouped.select(F.col("key").alias("group_key"), "first_seen", "last_seen", "count")
 
 
-#: Rows that wait for the watermark, or stand in the window, and the open alert.
-ROW, OPEN = "t long, id long, port int, steps long", "first_id long, last_t long"
+#: Rows that wait for the watermark, or stand in the window of a group, and the open alert of a group.
+ROW, OPEN = "key string, t long, id long, port int, steps long", "key string, first_id long, last_t long"
 EVIDENCE = "group_key string, event_id long, first_id long"
 ROCKS_DB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: What groups are dealt to. A trigger asks the state some times for each of these, not for each group.
+GROUP_BUCKETS = 1024
 
 
 class RuleProcessor(StatefulProcessor):
-    """The walk of one group along the watermark, its state in pieces.
+    """The walks of the groups of one bucket along the watermark, their state in pieces.
 
     New rows are appended to those that wait and nothing else is touched. A timer, of which
-    a group has one at a time, goes off once the watermark has passed the first row that waits: then all rows
-    that it has passed are taken in order. After that a timer clears the state as soon
+    a bucket has one at a time, goes off once the watermark has passed the first row that waits: then all rows
+    that it has passed are taken in order, group by group. What is held of a group goes as soon
     as nothing can follow any more.
     """
 
@@ -192,8 +194,7 @@ class RuleProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting, self.recent = handle.getListState("waiting", ROW), handle.getListState("recent", ROW)
-        self.open = handle.getValueState("open", OPEN)
+        self.waiting, self.recent, self.open = handle.getListState("waiting", ROW), handle.getListState("recent", ROW), handle.getListState("open", OPEN)
 
     def close(self) -> None:
         pass
@@ -210,36 +211,46 @@ class RuleProcessor(StatefulProcessor):
         first = None
         for batch in rows:
             ports = [None if pd.isna(p) else int(p) for p in batch["port"]]
-            new = list(zip(batch["t"].tolist(), batch["id"].tolist(), ports, batch["steps"].tolist(), strict=True))
+            new = list(zip(batch["key"].tolist(), batch["t"].tolist(), batch["id"].tolist(), ports, batch["steps"].tolist(), strict=True))
             if new:
                 self.waiting.appendList(new)
-                first = min([first, *(w[0] for w in new)], key=lambda t: (t is None, t))
+                first = min([first, *(w[1] for w in new)], key=lambda t: (t is None, t))
         if first is not None:
             self.ring_at(max(first // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(map(tuple, self.waiting.get()), key=lambda w: w[:2])
-        ready, waiting = [w for w in waiting if w[0] // 1000 < mark], [w for w in waiting if w[0] // 1000 >= mark]
-        first_id, last_t = self.open.get() if self.open.exists() else (None, 0)
-        machine = Machine(self.rule, list(map(tuple, self.recent.get())), first_id, last_t or 0)
-        found = [row for w in ready for row in machine.push(*w)]
-        last = max([machine.last_t, *(r[0] for r in machine.recent)]) // 1000 + self.hold_ms
-        alive = (machine.recent or machine.first_id is not None) and mark < last
-        for state, held in ((self.waiting, waiting), (self.recent, list(machine.recent) if alive else [])):
+        waiting, ready, recent = [], {}, {}
+        for group, *row in self.waiting.get():
+            if row[0] // 1000 < mark:
+                ready.setdefault(group, []).append(tuple(row))
+            else:
+                waiting.append((group, *row))
+        for group, *row in self.recent.get():
+            recent.setdefault(group, []).append(tuple(row))
+        opened = {group: (first_id, last_t) for group, first_id, last_t in self.open.get()}
+        found, held, still_open, ends = [], [], [], []
+        for group in sorted({*ready, *recent, *opened}):
+            machine = Machine(self.rule, recent.get(group), *opened.get(group, (None, 0)))
+            found += [(group, *out) for row in sorted(ready.get(group, ()), key=lambda w: w[:2]) for out in machine.push(*row)]
+            last = max([machine.last_t, *(r[0] for r in machine.recent)]) // 1000 + self.hold_ms
+            if mark < last:
+                held += [(group, *row) for row in machine.recent]
+                if machine.first_id is not None:
+                    still_open.append((group, machine.first_id, machine.last_t))
+                if machine.recent or machine.first_id is not None:
+                    ends.append(last)
+        for state, rows in ((self.waiting, waiting), (self.recent, held), (self.open, still_open)):
             state.clear()
-            if held:
-                state.put(held)
-        self.open.clear()
-        if alive:
-            self.open.update((machine.first_id, machine.last_t))
+            if rows:
+                state.put(rows)
         for other in list(self.handle.listTimers()):
             self.handle.deleteTimer(other)
-        if waiting or alive:
-            self.handle.registerTimer(max(mark + 1, waiting[0][0] // 1000 + 1 if waiting else last))
+        if waiting or ends:
+            self.handle.registerTimer(max(mark + 1, min(w[1] for w in waiting) // 1000 + 1 if waiting else min(ends)))
         if found:
-            yield pd.DataFrame([(key[0], *row) for row in found], columns=["group_key", "event_id", "first_id"])
+            yield pd.DataFrame(found, columns=["group_key", "event_id", "first_id"])
 
 
 def stream_detect(events: DataFrame, rule: Rule, watermark: str = "10 minutes") -> DataFrame:
@@ -251,8 +262,9 @@ def stream_detect(events: DataFrame, rule: Rule, watermark: str = "10 minutes")
     """
     events.sparkSession.conf.set(*ROCKS_DB)
     rows = counted_events(events, rule)
-    slim = rows.select("key", "id", "ts", "t", F.col("dst_port").cast("int").alias("port"), steps_of(rule).alias("steps")).withWatermark("ts", watermark)
-    return slim.groupBy("key").transformWithStateInPandas(RuleProcessor(rule), EVIDENCE, "append", "eventTime")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(GROUP_BUCKETS)).cast("int").alias("bucket")
+    slim = rows.select(bucket, "key", "id", "ts", "t", F.col("dst_port").cast("int").alias("port"), steps_of(rule).alias("steps")).withWatermark("ts", watermark)
+    return slim.groupBy("bucket").transformWithStateInPandas(RuleProcessor(rule), EVIDENCE, "append", "eventTime")
 
 
 def dropped_behind_watermark(query) -> int:
