@@ -40,3 +40,11 @@ def test_triggers_of_several_files_and_few_state_keys(spark, tmp_path, monkeypat
     columns, want = from_sql(folder, name)
     got = catalog.queries()[name](spark, folder).select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_report_tells_alerts_of_all_rules_after_every_batch():
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
+    report = dict((r[0], r[2]) for r in con.execute(catalog.oracle_sql()["stream_report"]).fetchall())
+    every = con.execute(catalog.oracle_sql()["stream_alerts"]).fetchall()
+    assert report[4] == len(every) and sorted(report.values()) == [report[k] for k in range(5)] and len(report) == 5
