@@ -61,6 +61,11 @@ def fingerprint(text: bytes, words_per_shingle: int = 4) -> int:
     stops = (ends[words_per_shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    return _majority(hashes)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some hashes; 0 of none."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -311,12 +316,14 @@ def _keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64("text").alias("k2"), "text")
 
 
-def similar_nodes(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_nodes(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """(node, row, root) of each different text: texts linked by a Jaccard similarity of shingle sets, transitively.
 
-    Two sets that similar share one of the first shingles of each in any order that
-    holds for all documents, here rare ones first. Every node is first compared with
-    one centre, of those of its shared shingles the one with the fewest rare shingles;
+    First the SimHash trees: sets whose fingerprints are linked within ``radius`` bits are
+    compared exactly. Sets that similar can be further apart, so an exact way finds the rest:
+    two of them share one of the first shingles of each in any order that
+    holds for all documents, here rare ones first. A node is compared with
+    one centre outside its component, of those of its shared shingles the one with the fewest rare shingles;
     then nodes that share a shingle and are in different components yet are compared
     pair by pair. The sample behind the order decides the work only, never the links.
     ``row`` is the first row (k1, k2) of the node, a null doc_id last.
@@ -334,7 +341,7 @@ def similar_nodes(docs: DataFrame, words_per_shingle: int = 5, similarity: float
         return np.where(known[at] == keys, place[at], 0)
 
     def first_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "node", "size", "rare", "end_rank", "end_key", "prefix"]
+        names = ["k1", "k2", "node", "fp", "size", "rare", "end_rank", "end_key", "prefix"]
         for batch in batches:
             for first, texts in slices(batch.column(2), CHUNK_BYTES):
                 numbers, prefixes = [], []
@@ -345,14 +352,14 @@ def similar_nodes(docs: DataFrame, words_per_shingle: int = 5, similarity: float
                     chosen = np.lexsort((signed, rank))[:n]
                     prefixes.append(signed[chosen])
                     end = (rank[chosen[-1]], signed[chosen[-1]]) if n else (0, 0)
-                    numbers.append((np.uint64(node).view(np.int64), len(keys), int((rank == 0).sum()), *end))
+                    numbers.append((np.uint64(node).view(np.int64), np.uint64(_majority(keys)).view(np.int64), len(keys), int((rank == 0).sum()), *end))
                 own = (batch.column(c).slice(first, len(texts)) for c in range(2))
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.array(c, np.int64)) for c in zip(*numbers, strict=True)), pa.array(prefixes, pa.list_(pa.int64()))], names)
 
-    fields = "k1 long, k2 long, node long, size long, rare long, end_rank long, end_key long, prefix array<long>"
+    fields = "k1 long, k2 long, node long, fp long, size long, rare long, end_rank long, end_key long, prefix array<long>"
     first_row = F.min(F.struct((F.col("k1") == NO_ID).alias("nameless"), "k1", "k2")).alias("row")
     rows = _keyed_texts(docs).mapInArrow(first_shingles, fields)
-    nodes = tables.written(rows.groupBy("node").agg(first_row, *(F.first(c).alias(c) for c in ("size", "rare", "end_rank", "end_key", "prefix"))), "similar-nodes")
+    nodes = tables.written(rows.groupBy("node").agg(first_row, *(F.first(c).alias(c) for c in ("fp", "size", "rare", "end_rank", "end_key", "prefix"))), "similar-nodes")
 
     def possible(size_a: str, at_a: str, size_b: str, at_b: str) -> Column:
         """From these places on, enough can be shared; holds at the first shingle that a similar pair shares."""
@@ -364,13 +371,20 @@ def similar_nodes(docs: DataFrame, words_per_shingle: int = 5, similarity: float
     def links(pairs: DataFrame) -> DataFrame:
         return _links(pairs.distinct(), nodes, docs, words_per_shingle, up, down, tables)
 
+    heads = tables.written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "similar-heads")
+    met = fingerprint_links(heads.select("fp"), radius).join(heads.toDF("a", "head_a"), "a").join(heads.toDF("b", "head_b"), "b")
+    near = met.select(*pair("head_a", "head_b")).union(nodes.join(heads, "fp").where("node <> head").select(*pair("node", "head")))
+    near = links(near)
+    trees = connected_components(near).toDF("node", "tree")
+
     keyed = nodes.select("node", F.posexplode("prefix").alias("at", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
-    held = tables.written(keyed.join(shared, "key").join(nodes.select("node", "size", "rare"), "node"), "similar-held")
-    centres = held.groupBy("key").agg(F.min(F.struct("rare", "node", "size", "at")).alias("best"))
-    stars = held.join(centres, "key").where("node <> best.node").where(possible("size", "at", "best.size", "best.at"))
+    placed = nodes.select("node", "size", "rare").join(trees, "node", "left").withColumn("tree", F.coalesce("tree", "node"))
+    held = tables.written(keyed.join(shared, "key").join(placed, "node"), "similar-held")
+    centres = held.groupBy("key").agg(F.min(F.struct("rare", "node", "size", "at", "tree")).alias("best"))
+    stars = held.join(centres, "key").where("tree <> best.tree").where(possible("size", "at", "best.size", "best.at"))
     stars = stars.groupBy("node").agg(F.min("best").alias("best")).select(*pair("node", "best.node"))
-    roots = connected_components(links(stars))
+    roots = connected_components(near.unionByName(links(stars)))
     rooted = tables.written(held.join(roots, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root")), "similar-rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = tables.written(rooted.join(mixed, "key"), "similar-left")

@@ -192,3 +192,16 @@ def test_similar_groups_equal_brute_force(spark):
     kept = simhash.keep_one_of_each(df)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
     assert simhash.similar_groups(df.limit(0)).collect() == []
+
+
+def test_similar_groups_go_through_the_trees_and_lose_no_link(spark, monkeypatch):
+    met, real = [], simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda nodes, radius: met.append((nodes.count(), radius)) or real(nodes, radius))
+    rng = random.Random(3)
+    rows = []
+    for k in range(12):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(120)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join([*words, "end"])), (3 * k + 2, " ".join([*words[:60], "other", *words[61:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert got == plain_similar(rows) and met == [(len({simhash._majority(simhash._shingles(t.encode(), 5)[1]) for _, t in rows}), 4)]
