@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 from palisade.llm.common import written
 
 MARK = r"^[ \t]*((?:>[ \t]?)+)"
+#: A text with a line that MARK is found in.
+QUOTES = r"(?:^|\n)[ \t]*>"
 #: Words of a passage that are hashed together.
 WINDOW = 6
+#: Bytes of text whose windows a task makes.
+PIECE = 4 << 20
 
 
 def words_of(line: Column) -> Column:
@@ -50,26 +54,31 @@ def digest_of(words: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), F.size(words).alias("n"))
 
 
+def quoting_messages(messages: DataFrame) -> tuple[DataFrame, int]:
+    """(conv_id, turn, text) of the conversations that have a quote, repeated rows once; dealt so that each of so many tasks has about PIECE bytes of text."""
+    placed = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    quoting = placed.where(F.col("text").rlike(QUOTES)).select("conv_id").distinct()
+    found = written(placed.join(quoting, "conv_id", "left_semi").distinct(), "chat-messages")
+    pieces = -(-(found.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 1) // PIECE)
+    return found.repartition(pieces, "conv_id", "turn", F.xxhash64("text")), pieces
+
+
 def passage_sources(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, message, place, level, n_words, source): the earlier message that each quoted passage comes from.
 
-    Only conversations that have a quote are looked at further.
+    Only conversations that have a quote are looked at further. Windows, many more than messages, are dealt anew by what
+    they are joined on, to as many tasks as the text needs: a task's memory does not grow with the table or a conversation.
     """
-    found = passages(messages.where("conv_id IS NOT NULL AND turn IS NOT NULL"))
-    quoting = found.where("level > 0").select("conv_id").distinct()
-    found = found.join(quoting, "conv_id", "left_semi").withColumn("words", F.flatten("lines")).where(F.size("words") > 0)
+    messages, pieces = quoting_messages(messages)
+    found = passages(messages).withColumn("words", F.flatten("lines")).where(F.size("words") > 0)
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - WINDOW, F.lit(0)) + 1), lambda k: F.slice("words", k, WINDOW))
     # A short quote has to be a whole line, or a whole passage, of the original.
     short = F.filter("lines", lambda w: (F.col("level") == 0) & (F.size(w) > 0) & (F.size(w) < WINDOW))
     keys = F.transform(F.concat(windows, short), digest_of)
-    said = found.select("conv_id", "turn", "message", "place", "level", F.size("words").alias("n_words"), F.posexplode(keys).alias("at", "digest"))
-    own = said.where("level = 0").select("conv_id", "digest", "turn").distinct()
-    quotes = said.where("level > 0").distinct()
-    nothing = {c: F.lit(None).cast(quotes.schema[c].dataType) for c in quotes.columns if c not in own.columns}
-    both = own.withColumns(nothing).select(*quotes.columns).unionByName(quotes)
+    said = found.select("conv_id", "turn", "message", "place", "level", F.size("words").alias("n_words"), F.explode(keys).alias("digest"))
     # The latest earlier owner: one pass in order of turns, not a join of all pairs.
     before = Window.partitionBy("conv_id", "digest").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    owned = both.withColumn("source", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(before)).where("level IS NOT NULL")
+    owned = said.repartition(pieces, "conv_id", "digest").withColumn("source", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(before)).where("level > 0")
     passage = ["conv_id", "turn", "message", "place", "level", "n_words"]
     votes = owned.groupBy(*passage, "source").agg(F.count("*").alias("votes"))
     best = F.max(F.when(F.col("source").isNotNull(), F.struct("votes", "source")))

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 from tests.llm import brute
@@ -205,6 +206,19 @@ def test_wrapped_partial_and_nested_quotes(spark):
     assert threads[0].text.index("WRAPPED" if "WRAPPED" in threads[0].text else "wrapped") < threads[0].text.index("Indeed.") < threads[0].text.index("Yes.")
 
 
+def test_windows_of_one_conversation_are_dealt(spark, monkeypatch):
+    """The windows of a conversation are many rows, which do not have to fit into one task."""
+    words = [" ".join(f"w{turn}x{k}" for k in range(20)) for turn in range(30)]
+    rows = [(1, turn, "user", f"> {words[turn - 1]}\n{words[turn]}" if turn else words[0]) for turn in range(30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    monkeypatch.setattr(chat, "PIECE", 1000, raising=False)
+    sources = chat.passage_sources(df)
+    plan = sources._jdf.queryExecution().executedPlan().toString()
+    [pieces] = {int(n) for n in re.findall(r"hashpartitioning\(conv_id#\d+L, digest#\d+, (\d+)\)", plan)}
+    assert pieces == -(-sum(len(r[3]) for r in rows) // 1000) > 4
+    assert sorted((r.turn, r.source) for r in sources.collect()) == [(turn, turn - 1) for turn in range(1, 30)]
+
+
 def test_long_reply_chains(spark):
     rows = [(1, 0, "u", "line 0")] + [(1, k, "u", f"> line {k - 1}\nline {k}") for k in range(1, 40)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
