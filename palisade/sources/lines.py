@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from palisade.functions.text import source_name
+from palisade.sources.scratch import stored
 
 MAX_LINE = 8192
 LINE_SCHEMA = "source_file string, line_no long, raw string"
@@ -33,8 +34,8 @@ def read_log_lines(spark: SparkSession, path: str | list[str], sniff: bool = Fal
     ``with_path`` adds the whole path, which tells files of one name apart;
     ``modified_after`` leaves out files that have not changed since.
 
-    Blank lines count but are left out. Lines are numbered within each block that Spark
-    reads, and the blocks' counts are summed up. With ``sniff`` files are told by their
+    Blank lines count but are left out. Lines are read once, in order within each block that Spark
+    reads, and stored with their places; the blocks' counts are summed up. With ``sniff`` files are told by their
     first bytes, and compressed ones unpacked whatever their name.
     """
     if sniff:
@@ -42,14 +43,13 @@ def read_log_lines(spark: SparkSession, path: str | list[str], sniff: bool = Fal
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
     text = (reader if modified_after is None else reader.option("modifiedAfter", modified_after)).text(path)
     rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), clean_line(F.col("value")).alias("raw"))
-    inside = Window.partitionBy("file", "block").orderBy("at")
-    placed = rows.withColumn("local", F.row_number().over(inside))
-    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
-    base = blocks.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("base"))
-    numbered = placed.join(base, ["file", "block"])
+    rows = stored(rows, "lines")
+    blocks = stored(rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first")), "blocks")
+    base = blocks.select("file", "block", "first", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("base"))
+    numbered = rows.join(base, ["file", "block"])
     named = source_name(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))).alias("source_file")
     path_of = [F.col("file").alias("path")] if with_path else []
-    return numbered.select(*path_of, named, (F.col("base") + F.col("local")).alias("line_no"), "raw").where("trim(raw) <> ''")
+    return numbered.select(*path_of, named, (F.col("base") + F.col("at") - F.col("first") + 1).alias("line_no"), "raw").where("trim(raw) <> ''")
 
 
 def unpack(files: DataFrame) -> DataFrame:

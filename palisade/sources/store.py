@@ -112,10 +112,13 @@ class EventStore:
         self.begin()  # before anything of a failed step is read
         return self.write(self.classified(events), sources, zone)
 
-    def write(self, classified: DataFrame, sources: DataFrame | None = None, zone: str = "UTC") -> DataFrame:
-        """One step: the fresh ones of classified events (with ``dated`` where that is known), and new names."""
+    def write(self, classified: DataFrame, sources: DataFrame | None = None, zone: str = "UTC", once: bool = False) -> DataFrame:
+        """One step: the fresh ones of classified events (with ``dated`` where that is known), and new names.
+
+        With ``once`` no two of them have one file and number.
+        """
         step = self.begin()
-        told = stored(once_each(classified), "classified")
+        told = stored(classified if once else once_each(classified), "classified")
         fresh = told.where("status = 'fresh'").drop("status")
         fresh.drop("dated").withColumn("event_date", F.to_date("ts")).write.partitionBy("event_date").parquet(f"{self.path}/step={step}")
         index = fresh.select("source_file", "line_no", F.md5("raw").alias("digest"), bucket_of(F.col("source_file"), F.col("line_no")).alias("bucket"))

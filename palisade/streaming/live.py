@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from palisade.operators.alerts import ALERT_FIELDS, reconcile, reconcile_counts
 from palisade.operators.detect import Machine, keyword_condition, steps_of
 from palisade.operators.filters import counted_events
-from palisade.operators.parse import parse_events
+from palisade.operators.parse import parse_events, split_header
 from palisade.operators.reports import BUCKETS
 from palisade.operators.rules import Keyword, Rule
 from palisade.sources.lines import read_if_there, read_log_lines, resolve_sources
@@ -43,7 +43,8 @@ def store_logs(spark: SparkSession, files: str | list[str], table_path: str, par
     store = EventStore(spark, table_path)
     store.begin()
     lines = read_log_lines(spark, files, with_path=True, modified_after=modified_after)
-    first = lines.groupBy("path", "source_file").agg(F.sha2(F.min_by("raw", "line_no"), 256).alias("fingerprint"))
+    begins = lines.groupBy("path").agg(F.min("line_no").alias("line_no"))
+    first = lines.join(F.broadcast(begins), ["path", "line_no"]).withColumn("fingerprint", F.sha2("raw", 256))  # one row a file
     known = stored(first.join(store.sources(), "fingerprint", "left"), "files")
     parsed = lines.withColumn("clock_year", F.lit(None).cast("int"))
     skipped = None
@@ -58,11 +59,12 @@ def store_logs(spark: SparkSession, files: str | list[str], table_path: str, par
         dated = intact.where("dated IS NOT NULL AND (clock IS NULL OR dated.line_no <> clock.line_no)").select("path", "dated.line_no", "dated.raw", F.lit(None).cast("int").alias("clock_year"))
         rest = placed.where("last_line IS NULL OR line_no > last_line").withColumn("clock_year", F.lit(None).cast("int"))
         parsed = rest.select("path", "line_no", "raw", "clock_year").unionByName(clock).unionByName(dated)
-    events = parse_events(parsed.select(F.col("path").alias("source_file"), *LINE_COLUMNS[1:], "clock_year"), parser, year, zone, with_dated=True).withColumnRenamed("source_file", "path")
+    headed = stored(split_header(parsed.select(F.col("path").alias("source_file"), *LINE_COLUMNS[1:], "clock_year")), "headed")
+    events = parse_events(headed, parser, year, zone, with_dated=True).withColumnRenamed("source_file", "path")
     if resume:
         events = events.join(intact.select("path", "last_line"), "path", "left").where("last_line IS NULL OR line_no > last_line").drop("last_line")
     events = stored(events, "parsed")
-    new = events.join(known.where("name IS NULL").select("path", "source_file"), "path")
+    new = events.groupBy("path").agg(F.min("ts").alias("ts")).join(known.where("name IS NULL").select("path", "source_file", *LINE_COLUMNS[1:]), "path")
     names = stored(resolve_sources(new, store.sources()), "sources")
     named = known.where("name IS NOT NULL").select("path", "name").unionByName(names.select("path", "name"))
     told = events.join(named, "path").select(F.col("name").alias("source_file"), *(c for c in events.columns if c != "path"), "path")
@@ -72,7 +74,9 @@ def store_logs(spark: SparkSession, files: str | list[str], table_path: str, par
         classified = asked.unionByName(fresh)
     else:
         classified = store.classified(told)
-    report = store.write(classified.drop("path"), names.where("is_new"), zone)
+    # Lines of one path are there once; only files that go by one name can have the same line.
+    once = named.groupBy("name").agg(F.count("*").alias("files")).where("files > 1").isEmpty()
+    report = store.write(classified.drop("path"), names.where("is_new"), zone, once)
     if skipped is None:
         return report
     both = report.join(skipped, "source_file", "full_outer")

@@ -108,3 +108,20 @@ def test_an_edited_file_is_compared_line_by_line(spark, tmp_path):
     told = spark.read.parquet(f"{store}.reports").where("batch_id = 1").first()
     assert (told.lines, told.parsed, told.duplicates, told.conflicts) == (6, 1, 4, 1)
     assert len(rows_of(spark, store)) == 6
+
+
+def test_lines_of_many_blocks_are_read_once(spark, tmp_path):
+    """Numbers come from places in blocks that were stored with the lines: no line is shuffled or read again for them."""
+    from palisade.sources.lines import read_log_lines
+
+    for name, n in (("a.log", 120), ("b.log", 7)):
+        (tmp_path / name).write_text("".join(f"{name} {k}\n" if k % 5 else "\n" for k in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        lines = read_log_lines(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.source_file, r.line_no, r.raw) for r in lines.collect()) == sorted((name, k, f"{name} {k}") for name, n in (("a.log", 120), ("b.log", 7)) for k in range(1, n + 1) if k % 5)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "Scan text" not in plan and "raw" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x or "Sort [" in x)
+    assert "row_number" not in plan
