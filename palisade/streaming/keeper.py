@@ -121,18 +121,24 @@ class AlertTables:
         touched = self.touched(batch_id)
         if touched:
             place = reduce(lambda a, b: a | b, ((F.col("rule_version") == v) & F.col("bucket").isin(*b) for v, b in sorted(touched.items())))
-            evidence = self.stored(self.evidence_from(self.stored_hits(batch_id, base).where(place), touched), f"redone/evidence-{batch_id}")
-            placed = evidence.select("alert_key", "rule_version", "bucket").distinct()
-            alerts = self.stored(summarize_alerts(evidence, self.rules).join(placed, "alert_key"), f"redone/alerts-{batch_id}")
+            # Buckets of evidence are written at once in their place, and alerts made from what stands there.
+            self.write_buckets("evidence", self.evidence_from(self.stored_hits(batch_id, base).where(place), touched))
+            evidence = self._table("evidence", f"{EVIDENCE}, {PLACE}").where(place)
+            version = F.element_at(F.create_map(*(F.lit(x) for v, r in self.versions.items() for x in (r.id, v))), F.col("rule_id"))
+            placed = summarize_alerts(evidence, self.rules).withColumns({"rule_version": version, "bucket": bucket_of(F.col("group_key"), self.buckets)})
+            alerts = self.stored(placed, f"redone/alerts-{batch_id}")
             old = self._table("alerts", f"{self.alert_schema()}, {PLACE}").where(place)
             self.stored(reconcile(old, alerts), f"changes/batch={batch_id}")
-            for name, rows in (("alerts", alerts), ("evidence", evidence)):
-                rows.repartition("rule_version", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rule_version", "bucket").parquet(f"{self.path}/{name}")
+            self.write_buckets("alerts", alerts)
         else:
             self.stored(self.spark.createDataFrame([], "alert_key string, status string"), f"changes/batch={batch_id}")
         self.write_state(batch_id, base)
         return self.read("changes", batch_id)
 
+    def write_buckets(self, name: str, rows: DataFrame) -> None:
+        """One file for each bucket in rows; other buckets stay."""
+        rows.repartition("rule_version", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rule_version", "bucket").parquet(f"{self.path}/{name}")
+
     def write_state(self, batch_id: int, base: int) -> None:
         self.stored(self.spark.createDataFrame([(batch_id, base, list(self.versions))], STATE), f"state/of={batch_id}")
 

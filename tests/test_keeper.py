@@ -94,3 +94,16 @@ def test_a_small_batch_writes_few_files_and_searches_no_old_text(spark, tmp_path
     assert scanned <= 2 * sum(map(len, touched.values())) < read
     only = tables.stored_hits(1, -1).where(place).select("key").distinct().collect()
     assert {r.key for r in only} <= {r.key for r in spark.createDataFrame([(address(g),) for g in range(600)], "key string").where(bucket_of(F.col("key"), places).isin(*{b for x in touched.values() for b in x})).collect()}
+
+
+def test_evidence_is_written_once(spark, tmp_path):
+    """A step writes the evidence of its buckets in its place and nowhere else, and alerts stand in the buckets of their groups."""
+    rows = random_rows(120, 9)
+    tables = AlertTables(spark, str(tmp_path), RULES[:2], buckets=4)
+    for k in range(2):
+        tables.step(frame(spark, rows[k * 60 : (k + 1) * 60]), k)
+    holding = {f.relative_to(tmp_path).parts[0] for f in tmp_path.rglob("part-*") if {"alert_key", "event_id"} <= set(spark.read.parquet(str(f)).columns)}
+    assert holding == {"evidence"}
+    placed = spark.read.parquet(f"{tmp_path}/alerts").select("alert_key", "rule_id", "rule_version", "bucket", bucket_of(F.col("group_key"), 4).alias("own")).collect()
+    assert placed and all(r.bucket == r.own and r.rule_version.startswith(f"{r.rule_id}@") for r in placed)
+    is_full_run(spark, tables, rows, RULES[:2])
